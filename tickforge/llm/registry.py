@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality
+from . import chat, decontaminate, mixing, quality
 
-MODULES = (mixing, chat, quality)
+MODULES = (mixing, chat, decontaminate, quality)
 
 
 def queries() -> dict:
