@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, quality
+from . import chat, decontaminate, mixing, pii, quality
 
-MODULES = (mixing, chat, decontaminate, quality)
+MODULES = (mixing, chat, decontaminate, quality, pii)
 
 
 def queries() -> dict:
