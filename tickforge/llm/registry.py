@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, pii, quality
+from . import chat, decontaminate, mixing, pii, quality, simhash
 
-MODULES = (mixing, chat, decontaminate, quality, pii)
+MODULES = (mixing, chat, decontaminate, quality, pii, simhash)
 
 
 def queries() -> dict:
