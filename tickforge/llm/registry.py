@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, pii, quality, simhash
+from . import chat, decontaminate, mixing, pii, quality, simhash, substrings
 
-MODULES = (mixing, chat, decontaminate, quality, pii, simhash)
+MODULES = (mixing, chat, decontaminate, quality, pii, simhash, substrings)
 
 
 def queries() -> dict:
