@@ -59,6 +59,18 @@ def drop_scratch(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Identifiers up to this number (a few MB) are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 200_000
+
+
+def without_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """df without the rows whose id is in ids (one column, written already, so that it is cheap to count)."""
+    ids = ids.toDF("_gone")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids, F.col(id_col) == F.col("_gone"), "left_anti")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, though body names it often."""
     return F.transform(F.array(value), body)[0]

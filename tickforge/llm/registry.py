@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, pii, quality, simhash, substrings
+from . import chat, decontaminate, language, mixing, pii, quality, simhash, substrings, warc
 
-MODULES = (mixing, chat, decontaminate, quality, pii, simhash, substrings)
+MODULES = (mixing, chat, decontaminate, language, quality, pii, simhash, substrings, warc)
 
 
 def queries() -> dict:

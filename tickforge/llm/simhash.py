@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize, table
+from .common import arrow_batches, materialize, table, without_ids
 from .components import components
 from .textbytes import segments
 
@@ -217,9 +217,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Of rows that repeat an id one stays, whichever; rows without an id all stay.
     """
     found = near_duplicates(docs, id_col, text_col, radius, shingle)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    found = materialize(found.select("doc_id", "component_id"), "components")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     twice = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice")
-    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    kept = without_ids(docs, id_col, gone)
     if not twice.limit(1).count():
         return kept
     once = kept.join(twice, F.col(id_col) == F.col("_twice"), "left_anti")
