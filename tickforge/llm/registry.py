@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, mixing, pii, quality, simhash, substrings, warc
+import corpus_pipeline
 
-MODULES = (mixing, chat, decontaminate, language, quality, pii, simhash, substrings, warc)
+from . import chat, decontaminate, extract, language, mixing, pii, quality, simhash, substrings, warc
+
+MODULES = (extract, pii, mixing, simhash, warc, substrings, chat, language, decontaminate, quality)
 
 
 def queries() -> dict:
-    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {k: v for m in MODULES for k, v in m.SQL.items()}
+    return {k: v for m in MODULES for k, v in m.SQL.items()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
