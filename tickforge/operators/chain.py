@@ -13,7 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickforge.sources.scratch import written
+
 BLOCK = 200_000
+NEVER = 1 << 62
 
 
 def greedy_chain(candidates: DataFrame, seq: str, next_free: str, block: int = BLOCK) -> DataFrame:
@@ -23,7 +26,8 @@ def greedy_chain(candidates: DataFrame, seq: str, next_free: str, block: int = B
     start; a null next_free ends the chain.  The chain starts at the smallest seq.
     """
     spark = candidates.sparkSession
-    slim = candidates.select(F.col(seq).cast("long").alias("s"), F.col(next_free).cast("long").alias("f"), F.floor(F.col(seq) / block).alias("b"))
+    candidates = written(candidates, "chain-candidates")
+    slim = candidates.select(F.col(seq).cast("long").alias("s"), F.coalesce(F.col(next_free).cast("long"), F.lit(NEVER)).alias("f"), F.floor(F.col(seq) / block).alias("b"))
 
     def steps(s: np.ndarray, f: np.ndarray) -> np.ndarray:
         """The place in s of the next candidate, len(s) if it lies behind the block."""
@@ -31,27 +35,27 @@ def greedy_chain(candidates: DataFrame, seq: str, next_free: str, block: int = B
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("s")
-        s, f = pdf["s"].to_numpy(), pdf["f"].fillna(np.iinfo(np.int64).max).to_numpy(np.int64)
+        s, f = pdf["s"].to_numpy(), pdf["f"].to_numpy()
         out, nxt = f.copy(), steps(s, f)
         for i in range(len(s) - 1, -1, -1):
             if nxt[i] < len(s):
                 out[i] = out[nxt[i]]
         return pd.DataFrame({"s": s, "out": out, "b": pdf["b"].to_numpy()})
 
-    through = slim.groupBy("b").applyInPandas(exits, "s long, out long, b long").persist()
+    through = slim.groupBy("b").applyInPandas(exits, "s long, out long, b long")
+    through = written(through, "chain-exits")
     entries: list[int] = []
-    free = np.iinfo(np.int64).min
-    while row := through.where((F.col("s") >= int(free)) & (F.col("b") >= int(max(free, 0)) // block)).agg(F.min_by(F.struct("s", "out"), "s").alias("x")).first()["x"]:
+    free = -NEVER
+    while row := through.where((F.col("s") >= free) & (F.col("b") >= free // block)).agg(F.min_by(F.struct("s", "out"), "s").alias("x")).first()["x"]:
         entries.append(row["s"])
-        if row["out"] == np.iinfo(np.int64).max:
+        if row["out"] == NEVER:
             break
         free = row["out"]
-    through.unpersist()
     starts = spark.createDataFrame([(e,) for e in entries], "e long").withColumn("eb", F.floor(F.col("e") / block))
 
     def taken(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("s")
-        s, f = pdf["s"].to_numpy(), pdf["f"].fillna(np.iinfo(np.int64).max).to_numpy(np.int64)
+        s, f = pdf["s"].to_numpy(), pdf["f"].to_numpy()
         nxt, at, out = steps(s, f), int(np.searchsorted(s, pdf["e"].iloc[0])), []
         while at < len(s):
             out.append(s[at])
@@ -59,4 +63,4 @@ def greedy_chain(candidates: DataFrame, seq: str, next_free: str, block: int = B
         return pd.DataFrame({"t": np.array(out, np.int64)})
 
     chosen = slim.join(F.broadcast(starts), F.col("b") == F.col("eb")).groupBy("b").applyInPandas(taken, "t long")
-    return candidates.join(chosen, F.col(seq) == F.col("t"), "left_semi")
+    return written(candidates.join(chosen, F.col(seq) == F.col("t"), "left_semi"), "chain")

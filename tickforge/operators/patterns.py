@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickforge.functions.market import TICK_SIZE, clip
+from tickforge.sources.scratch import written
 
 from .asof import asof_join
 from .bars import bar_time, seconds
@@ -139,19 +140,22 @@ def first_touch(entries: DataFrame, numbered_ticks: DataFrame, width: str) -> Da
 
 def pattern_events(bars: DataFrame, ticks: DataFrame, width: str = "1 minute", min_bars: int = 5, max_bars: int = 10, min_volume: float = 2000, min_balance: float = 0.4, min_body: float = 4, max_retrace_bars: int = 5, min_retrace: float = 0.5, target_ticks: int = 50, stop_ticks: int = 20) -> DataFrame:
     """One row a pattern, with the 31 fields of an event."""
+    bars = written(bars, "pattern-bars")
+    numbers = written(tick_numbers(ticks).select("ts", "tick_no", "price"), "pattern-ticks")
     zones = consolidation_zones(bars, min_bars, max_bars, min_volume)
-    profile = volume_profile(zones, bars, ticks, width)
+    profile = written(volume_profile(zones, bars, ticks, width), "pattern-profile")
     shape = profile_metrics(profile, zone_summary(zones, bars)).where(F.col("balance") >= min_balance)
     found = breakouts(zones, bars, min_body).join(shape, "zone_id")
-    back = retracements(found, bars, max_retrace_bars, min_retrace)
+    found = written(found, "pattern-breakouts")
+    back = written(retracements(found, bars, max_retrace_bars, min_retrace), "pattern-retracements")
     levels = level_class(profile, back.select("zone_id", F.col("retrace_extreme").alias("at")))
     step = F.expr(f"INTERVAL {seconds(width)} SECONDS")
     d = found.join(back, "zone_id").join(levels, "zone_id").withColumn("entry_time", F.col("last_time") + step)
-    numbers = tick_numbers(ticks).select("ts", "tick_no", "price")
     d = asof_join(d, numbers, "entry_time", "ts", "forward", "tick_no").where(F.col("match").isNotNull())
     sign = F.when(F.col("breakout_direction") == "UP", 1).otherwise(-1)
     d = d.withColumns({"entry_price": F.col("match.price"), "entry_no": F.col("match.tick_no"), "entry_tick_ts": F.col("match.ts")})
     d = d.withColumns({"target": F.col("entry_price") + sign * target_ticks * TICK_SIZE, "stop": F.col("entry_price") - sign * stop_ticks * TICK_SIZE})
+    d = written(d, "pattern-entries")
     touched = first_touch(d.select(F.col("zone_id").alias("event_id"), F.col("breakout_direction").alias("side"), "entry_no", "entry_tick_ts", "target", "stop"), numbers, width)
     last = numbers.agg(F.max("tick_no").alias("last_no"), F.max_by("ts", "tick_no").alias("last_ts"))
     d = d.join(touched, F.col("zone_id") == F.col("event_id"), "left").join(F.broadcast(last))

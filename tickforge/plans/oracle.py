@@ -4,7 +4,7 @@ from __future__ import annotations
 
 TICKS = """
 e AS (SELECT event_id, ts, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events),
-e2 AS (SELECT *, CAST(4000 AS DOUBLE) + CAST(0.25 AS DOUBLE) * CAST(sum(k % 9 - 4) OVER (ORDER BY ts, event_id) AS DOUBLE) AS price, CAST(1 + event_id % 2 AS DOUBLE) AS s,
+e2 AS MATERIALIZED (SELECT *, CAST(4000 AS DOUBLE) + CAST(0.25 AS DOUBLE) * CAST(sum(k % 9 - 4) OVER (ORDER BY ts, event_id) AS DOUBLE) AS price, CAST(1 + event_id % 2 AS DOUBLE) AS s,
        CASE WHEN event_type IN ('purchase', 'signup') THEN 1 WHEN event_type IN ('click', 'view') THEN -1 ELSE 0 END AS side FROM e),
 ticks AS (SELECT event_id AS record_num, ts, price, CASE side WHEN 1 THEN price - s WHEN -1 THEN price ELSE price - s / 2 END AS level_low,
        CASE side WHEN 1 THEN price WHEN -1 THEN price + s ELSE price + s / 2 END AS level_high, k + 1 AS txn_count, side AS direction, side * (k + 1) AS volume_delta,
@@ -19,12 +19,12 @@ tb AS (SELECT *, time_bucket(INTERVAL '{width}', ts) AS bar_time FROM ticks),
 isl AS (SELECT bar_time, direction, row_number() OVER (PARTITION BY bar_time ORDER BY ts, record_num) - row_number() OVER (PARTITION BY bar_time, direction ORDER BY ts, record_num) AS g FROM tb),
 rn AS (SELECT bar_time, coalesce(max(CASE WHEN direction = 1 THEN n END), 0) AS max_buy_run, coalesce(max(CASE WHEN direction = -1 THEN n END), 0) AS max_sell_run
        FROM (SELECT bar_time, direction, g, count(*) AS n FROM isl GROUP BY ALL) GROUP BY bar_time),
-b0 AS (SELECT bar_time, arg_min(price, (ts, record_num)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, record_num)) AS close, CAST(sum(txn_count) AS BIGINT) AS volume, count(*) AS num_events,
+b0 AS MATERIALIZED (SELECT bar_time, arg_min(price, (ts, record_num)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, record_num)) AS close, CAST(sum(txn_count) AS BIGINT) AS volume, count(*) AS num_events,
        CAST(sum(CASE WHEN direction = 1 THEN txn_count ELSE 0 END) AS BIGINT) AS buy_volume, CAST(sum(CASE WHEN direction = -1 THEN txn_count ELSE 0 END) AS BIGINT) AS sell_volume,
        avg(CASE WHEN level_high - level_low >= 2 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS wide_spread_frac, max(txn_count) AS max_single_txn,
        coalesce(max(CASE WHEN direction = 1 THEN txn_count END), 0) AS max_single_buy, coalesce(max(CASE WHEN direction = -1 THEN txn_count END), 0) AS max_single_sell,
        sum(price * txn_count) AS price_volume FROM tb GROUP BY bar_time),
-bars AS (SELECT b0.*, CAST(buy_volume - sell_volume AS DOUBLE) / nullif(volume, 0) AS flow_imbalance, num_events / CAST({seconds} AS DOUBLE) AS intensity, price_volume / nullif(volume, 0) AS vwap,
+bars AS MATERIALIZED (SELECT b0.*, CAST(buy_volume - sell_volume AS DOUBLE) / nullif(volume, 0) AS flow_imbalance, num_events / CAST({seconds} AS DOUBLE) AS intensity, price_volume / nullif(volume, 0) AS vwap,
        max_buy_run, max_sell_run, row_number() OVER (ORDER BY bar_time) - 1 AS bar_seq FROM b0 JOIN rn USING (bar_time))"""
 
 
@@ -32,7 +32,7 @@ ROUND = 6
 
 
 def r(x: str, name: str) -> str:
-    return f"round({x}, {ROUND}) AS {name}"
+    return f"round({x}, {ROUND}) + 0.0 AS {name}"
 
 
 def full(agg: str, x: str, n: int) -> str:
@@ -58,7 +58,7 @@ def feature_ctes(width: str) -> str:
     return f"""{bars(width)},
 f1 AS (SELECT *, {tr()} AS tr, buy_volume - sell_volume AS delta, high - low AS bar_range, sign(close - open) AS price_direction, sign(buy_volume - sell_volume) AS delta_direction,
        volume / greatest((high - low) / 0.25, CAST(1 AS DOUBLE)) AS vol_per_tick, CAST(sum(buy_volume - sell_volume) OVER (ORDER BY bar_seq) AS BIGINT) AS cvd, {change('close', 1)} AS return_1 FROM bars),
-f2 AS (SELECT *, {atr(5)} AS atr_5, {atr(14)} AS atr_14, CAST(round_even(CAST(least(greatest({atr(14)} * 1.5, 2.0), 8.0) AS DOUBLE) / 0.25, 0) AS DOUBLE) * 0.25 AS sl_points FROM f1)"""
+f2 AS MATERIALIZED (SELECT *, {atr(5)} AS atr_5, {atr(14)} AS atr_14, CAST(round_even(CAST(least(greatest({atr(14)} * 1.5, 2.0), 8.0) AS DOUBLE) / 0.25, 0) AS DOUBLE) * 0.25 AS sl_points FROM f1)"""
 
 
 ET = "timezone('America/New_York', timezone('UTC', bar_time))"
@@ -90,14 +90,15 @@ def zones_ctes(width: str, volume: int) -> str:
     case = "CASE " + " ".join(f"WHEN NOT {x} THEN {n - 1 if n > 5 else 0}" for n, x in zip(range(5, 11), ok, strict=True)) + " ELSE 10 END"
     win = ", ".join(f"w{n} AS (ORDER BY bar_seq ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)" for n in range(5, 11))
     return f"""{bars(width)},
-best AS (SELECT bar_seq, {case} AS len FROM bars WINDOW {win}),
-walk AS (SELECT min(bar_seq) AS s FROM best WHERE len > 0 UNION ALL SELECT (SELECT min(b.bar_seq) FROM best b WHERE b.len > 0 AND b.bar_seq >= w.s + (SELECT len FROM best WHERE bar_seq = w.s)) FROM walk w WHERE w.s IS NOT NULL),
-zones AS (SELECT s AS zone_id, s AS start_seq, s + len - 1 AS end_seq FROM walk JOIN best ON s = bar_seq),
+best AS MATERIALIZED (SELECT bar_seq, {case} AS len FROM bars WINDOW {win}),
+nx AS MATERIALIZED (SELECT a.bar_seq AS s, b.bar_seq AS n FROM (SELECT * FROM best WHERE len > 0) a ASOF LEFT JOIN (SELECT bar_seq FROM best WHERE len > 0) b ON a.bar_seq + a.len <= b.bar_seq),
+walk AS (SELECT min(s) AS s FROM nx UNION ALL SELECT n FROM walk JOIN nx USING (s) WHERE n IS NOT NULL),
+zones AS MATERIALIZED (SELECT s AS zone_id, s AS start_seq, s + len - 1 AS end_seq FROM walk JOIN best ON s = bar_seq),
 zb AS (SELECT zone_id, bars.* FROM zones JOIN bars ON bar_seq BETWEEN start_seq AND end_seq),
 zs AS (SELECT zone_id, min(bar_time) AS consol_start, max(bar_time) AS last_bar, count(*) AS consol_bars, max(high) AS consol_high, min(low) AS consol_low, (max(high) - min(low)) / 0.25 AS consol_range_ticks,
        avg(volume) AS consol_avg_vol, max(max_single_buy) AS max_single_buy_pre, max(max_single_sell) AS max_single_sell_pre, CASE WHEN max(max_single_buy) >= max(max_single_sell) THEN 'BUY' ELSE 'SELL' END AS dominant_side_pre,
        greatest(max(max_single_buy), max(max_single_sell)) AS dominant_strength_pre FROM zb GROUP BY zone_id),
-vp AS (SELECT zone_id, price, CAST(sum(CASE WHEN direction = 1 THEN txn_count ELSE 0 END) AS BIGINT) AS buy_vol, CAST(sum(CASE WHEN direction = -1 THEN txn_count ELSE 0 END) AS BIGINT) AS sell_vol, CAST(sum(txn_count) AS BIGINT) AS total_vol
+vp AS MATERIALIZED (SELECT zone_id, price, CAST(sum(CASE WHEN direction = 1 THEN txn_count ELSE 0 END) AS BIGINT) AS buy_vol, CAST(sum(CASE WHEN direction = -1 THEN txn_count ELSE 0 END) AS BIGINT) AS sell_vol, CAST(sum(txn_count) AS BIGINT) AS total_vol
        FROM tb JOIN (SELECT zone_id, bar_time FROM zb) z USING (bar_time) GROUP BY zone_id, price),
 pm0 AS (SELECT zone_id, sum(CASE WHEN price >= (consol_low + consol_high) / 2 THEN total_vol ELSE 0 END) AS top, sum(CASE WHEN price < (consol_low + consol_high) / 2 THEN total_vol ELSE 0 END) AS bottom,
        arg_max(price, (total_vol, -price)) AS poc_price, any_value((consol_low + consol_high) / 2) AS mid, any_value((consol_high - consol_low) / 2) AS half FROM vp JOIN zs USING (zone_id) GROUP BY zone_id),
@@ -118,8 +119,8 @@ rt3 AS (SELECT * FROM rt2 WHERE coalesce(pct, 0) >= 0.5 QUALIFY row_number() OVE
 md AS (SELECT zone_id, median(total_vol) AS med FROM vp GROUP BY zone_id),
 lv AS (SELECT rt3.zone_id, CASE WHEN total_vol < med * 0.5 THEN 'low_activity' WHEN buy_vol + sell_vol > 0 AND CAST(greatest(buy_vol, sell_vol) AS DOUBLE) / (buy_vol + sell_vol) > 0.65 THEN 'high_one_sided' ELSE 'neutral' END AS level_type
        FROM rt3 JOIN vp USING (zone_id) JOIN md USING (zone_id) QUALIFY row_number() OVER (PARTITION BY rt3.zone_id ORDER BY abs(price - extreme), price) = 1),
-tn AS (SELECT *, row_number() OVER (ORDER BY ts, record_num) - 1 AS tick_no FROM ticks),
-en AS (SELECT rt3.*, rt3.last_time + INTERVAL {step} AS entry_time, t.price AS entry_price, t.tick_no AS entry_no FROM rt3 JOIN tn t ON t.tick_no = (SELECT min(tick_no) FROM tn WHERE tn.ts >= rt3.last_time + INTERVAL {step})),
+tn AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ts, record_num) - 1 AS tick_no FROM ticks),
+en AS MATERIALIZED (SELECT rt3.*, rt3.last_time + INTERVAL {step} AS entry_time, t.price AS entry_price, t.tick_no AS entry_no FROM rt3 JOIN tn t ON t.tick_no = (SELECT min(tick_no) FROM tn WHERE tn.ts >= rt3.last_time + INTERVAL {step})),
 tc AS (SELECT en.zone_id, arg_min(CASE WHEN CASE WHEN {up} THEN t.price >= entry_price + {target} * 0.25 ELSE t.price <= entry_price - {target} * 0.25 END THEN 'success' ELSE 'fail' END, t.tick_no) AS outcome, min(t.tick_no) AS touch_no, arg_min(t.ts, t.tick_no) AS touch_ts
        FROM en JOIN tn t ON t.tick_no > entry_no AND CASE WHEN {up} THEN t.price >= entry_price + {target} * 0.25 OR t.price <= entry_price - {stop} * 0.25 ELSE t.price <= entry_price - {target} * 0.25 OR t.price >= entry_price + {stop} * 0.25 END GROUP BY en.zone_id),
 ev AS (SELECT bo2.consol_start, bo2.last_bar + INTERVAL {step} AS consol_end, bo2.consol_bars, bo2.consol_high, bo2.consol_low, bo2.consol_range_ticks, bo2.consol_avg_vol, bo2.balance AS consol_balance_score, bo2.poc_centrality AS consol_poc_centrality,
@@ -142,12 +143,13 @@ c1 AS (SELECT *, close + side * 0.25 AS entry_price, close + side * 0.25 - side
 x0 AS (SELECT c.bar_seq, {hit(lost)} AS sl, {hit(won)} AS tp, {hit('p.closing')} AS eod, c.bar_seq + 60 AS late, (SELECT max(bar_seq) FROM bars) AS last FROM c1 c LEFT JOIN sc p ON p.bar_seq > c.bar_seq AND p.bar_seq <= c.bar_seq + 60 GROUP BY c.bar_seq),
 x1 AS (SELECT *, least(coalesce(sl, 1e12), coalesce(tp, 1e12), coalesce(eod, 1e12), late) AS first FROM x0),
 x2 AS (SELECT bar_seq, CASE WHEN first > last THEN last ELSE first END AS exit_seq, CASE WHEN first > last THEN 'END' WHEN first = sl THEN 'SL' WHEN first = tp THEN 'TP' WHEN first = eod THEN 'EOD' ELSE 'TIMEOUT' END AS exit_reason FROM x1),
-x3 AS (SELECT c.*, CAST(x2.exit_seq AS BIGINT) AS exit_seq, exit_reason, p.bar_time AS exit_time, CASE exit_reason WHEN 'SL' THEN slp - side * 0.25 WHEN 'TP' THEN tpp - side * 0.25 WHEN 'END' THEN p.close ELSE p.close - side * 0.25 END AS exit_price
+x3 AS MATERIALIZED (SELECT c.*, CAST(x2.exit_seq AS BIGINT) AS exit_seq, exit_reason, p.bar_time AS exit_time, CASE exit_reason WHEN 'SL' THEN slp - side * 0.25 WHEN 'TP' THEN tpp - side * 0.25 WHEN 'END' THEN p.close ELSE p.close - side * 0.25 END AS exit_price
        FROM c1 c JOIN x2 USING (bar_seq) JOIN sc p ON p.bar_seq = x2.exit_seq),
-walk AS (SELECT min(bar_seq) AS s FROM x3 UNION ALL SELECT (SELECT min(x.bar_seq) FROM x3 x WHERE x.bar_seq >= (SELECT exit_seq FROM x3 WHERE bar_seq = w.s AND exit_reason <> 'END')) FROM walk w WHERE w.s IS NOT NULL),
+nx AS MATERIALIZED (SELECT a.bar_seq AS s, b.bar_seq AS n FROM (SELECT * FROM x3 WHERE exit_reason <> 'END') a ASOF LEFT JOIN (SELECT bar_seq FROM x3) b ON a.exit_seq <= b.bar_seq),
+walk AS (SELECT min(bar_seq) AS s FROM x3 UNION ALL SELECT n FROM walk JOIN nx USING (s) WHERE n IS NOT NULL),
 ex AS (SELECT c.bar_seq, greatest(coalesce(max(CASE WHEN c.side = 1 THEN c.entry_price - p.low ELSE p.high - c.entry_price END), 0), 0) AS mae, greatest(coalesce(max(CASE WHEN c.side = 1 THEN p.high - c.entry_price ELSE c.entry_price - p.low END), 0), 0) AS mfe
        FROM x3 c LEFT JOIN sc p ON p.bar_seq > c.bar_seq AND p.bar_seq <= c.exit_seq GROUP BY c.bar_seq),
-taken AS (SELECT bar_seq, bar_time AS entry_time, exit_time, CASE side WHEN 1 THEN 'LONG' ELSE 'SHORT' END AS direction, entry_price, exit_price, slp AS sl_price, tpp AS tp_price, exit_reason, (exit_price - entry_price) * side AS pnl_points,
+taken AS MATERIALIZED (SELECT bar_seq, bar_time AS entry_time, exit_time, CASE side WHEN 1 THEN 'LONG' ELSE 'SHORT' END AS direction, entry_price, exit_price, slp AS sl_price, tpp AS tp_price, exit_reason, (exit_price - entry_price) * side AS pnl_points,
        (exit_price - entry_price) * side * 50 - 5 AS pnl_dollars, CAST(exit_seq - bar_seq AS INTEGER) AS bars_held, mae, mfe, exit_seq FROM x3 JOIN ex USING (bar_seq) WHERE bar_seq IN (SELECT s FROM walk)),
 dd AS (SELECT *, sum(pnl_dollars) OVER o AS cum_pnl FROM taken WINDOW o AS (ORDER BY exit_time, entry_time)),
 dd2 AS (SELECT *, max(cum_pnl) OVER (ORDER BY exit_time, entry_time) AS peak FROM dd)"""

@@ -29,8 +29,8 @@ def query(sql: str | None = None):
 
 
 def rounded(df: DataFrame, *keep: str) -> DataFrame:
-    """Doubles to six places, as sums in another order differ in the last bits."""
-    return df.select(*(F.round(c, o.ROUND).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if not keep or c in keep))
+    """Doubles to six places, as sums in another order differ in the last bits; and no negative zero."""
+    return df.select(*((F.round(c, o.ROUND) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if not keep or c in keep))
 
 
 def hour_bars(spark: SparkSession, d: str, width: str = HOUR) -> DataFrame:
@@ -42,10 +42,10 @@ def cols(sql_from: str, exact: str, round_: str) -> str:
     return "SELECT " + ", ".join([*exact.split(), *(o.r(c, c) for c in round_.split())]) + f" FROM {sql_from}"
 
 
-@query(f"WITH {o.TICKS} SELECT record_num, ts, price, level_low, level_high, txn_count, direction, CASE direction WHEN 1 THEN 'BUY' WHEN -1 THEN 'SELL' ELSE 'UNKNOWN' END AS direction_name, volume_delta, session_date FROM ticks")
+@query(f"WITH {o.TICKS} SELECT record_num, ts, price, level_low, level_high, txn_count, direction, CASE direction WHEN 1 THEN 'BUY' WHEN -1 THEN 'SELL' ELSE 'UNKNOWN' END AS direction_name, volume_delta, CAST(session_date AS VARCHAR) AS session_date FROM ticks")
 def tick_decode_view(spark, d):
     t = events.ticks(spark, d)
-    return t.select("record_num", "ts", "price", "level_low", "level_high", "txn_count", "direction", market.direction_name(F.col("direction")).alias("direction_name"), "volume_delta", "session_date")
+    return t.select("record_num", "ts", "price", "level_low", "level_high", "txn_count", "direction", market.direction_name(F.col("direction")).alias("direction_name"), "volume_delta", F.col("session_date").cast("string"))
 
 
 @query(f"WITH {o.bars(HOUR)} SELECT bar_time, open, high, low, close, volume, num_events FROM bars")
@@ -74,9 +74,9 @@ CVD = f"""WITH {o.bars(HOUR)},
 cv AS (SELECT *, CAST(sum(volume_delta) OVER (PARTITION BY session_date ORDER BY record_num) AS BIGINT) AS cvd FROM tb)"""
 
 
-@query(f"{CVD} SELECT record_num, session_date, cvd AS cumulative_volume_delta FROM cv")
+@query(f"{CVD} SELECT record_num, CAST(session_date AS VARCHAR) AS session_date, cvd AS cumulative_volume_delta FROM cv")
 def session_cvd(spark, d):
-    return bars.session_cvd(events.ticks(spark, d)).select("record_num", "session_date", "cumulative_volume_delta")
+    return bars.session_cvd(events.ticks(spark, d)).select("record_num", F.col("session_date").cast("string"), "cumulative_volume_delta")
 
 
 @query(f"{CVD} SELECT bar_time, arg_min(cvd, (ts, record_num)) AS cvd_open, max(cvd) AS cvd_high, min(cvd) AS cvd_low, arg_max(cvd, (ts, record_num)) AS cvd_close, arg_max(price, (ts, record_num)) >= arg_min(price, (ts, record_num)) AS up FROM cv GROUP BY bar_time")
@@ -119,12 +119,12 @@ def footprint_diagonal(spark, d):
     return bars.diagonal_imbalance(bars.footprint(events.ticks(spark, d), HOUR, known_only=False)).select("bar_time", "price", "net", "buy_imbalance", "sell_imbalance")
 
 
-@query(f"{CVD} SELECT 'events' AS source_file, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, min(price) AS min_price, max(price) AS max_price, CAST(sum(txn_count) AS BIGINT) AS total_txn, max(txn_count) AS max_txn, count_if(direction = 1) AS n_buy, count_if(direction = -1) AS n_sell, round(count_if(direction = 1) * 100.0 / count(*), 6) AS pct_buy, round(count_if(direction = -1) * 100.0 / count(*), 6) AS pct_sell, arg_max(cvd, record_num) AS last_cvd FROM cv")
+@query(f"{CVD} SELECT 'events' AS source_file, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, min(price) AS min_price, max(price) AS max_price, CAST(sum(txn_count) AS BIGINT) AS total_txn, max(txn_count) AS max_txn, CAST(count_if(direction = 1) AS BIGINT) AS n_buy, CAST(count_if(direction = -1) AS BIGINT) AS n_sell, round(CAST(count_if(direction = 1) AS BIGINT) * 100.0 / count(*), 6) AS pct_buy, round(CAST(count_if(direction = -1) AS BIGINT) * 100.0 / count(*), 6) AS pct_sell, arg_max(cvd, record_num) AS last_cvd FROM cv")
 def file_summary(spark, d):
     return rounded(bars.tick_summary(events.ticks(spark, d)))
 
 
-@query(f"WITH {o.bars(HOUR)} SELECT count(*) AS n, min(bar_time) AS first_bar, max(bar_time) AS last_bar, min(low) AS min_low, max(high) AS max_high, CAST(sum(volume) AS BIGINT) AS total_volume, CAST(sum(buy_volume) AS BIGINT) AS total_buy, CAST(sum(sell_volume) AS BIGINT) AS total_sell, count_if(close - open > 1e-9) AS n_up, count_if(close - open < -1e-9) AS n_down, count_if(abs(close - open) <= 1e-9) AS n_flat FROM bars")
+@query(f"WITH {o.bars(HOUR)} SELECT count(*) AS n, min(bar_time) AS first_bar, max(bar_time) AS last_bar, min(low) AS min_low, max(high) AS max_high, CAST(sum(volume) AS BIGINT) AS total_volume, CAST(sum(buy_volume) AS BIGINT) AS total_buy, CAST(sum(sell_volume) AS BIGINT) AS total_sell, CAST(count_if(close - open > 1e-9) AS BIGINT) AS n_up, CAST(count_if(close - open < -1e-9) AS BIGINT) AS n_down, CAST(count_if(abs(close - open) <= 1e-9) AS BIGINT) AS n_flat FROM bars")
 def bar_file_summary(spark, d):
     return bars.bar_summary(bars.time_bars(events.ticks(spark, d), HOUR, runs=False))
 
@@ -203,7 +203,7 @@ def multi_timeframe(spark, d):
     return rounded(features.second_generation(hour_bars(spark, d)), "bar_time", *(f"tf{n}_{k}" for n in (5, 15) for k in ("high", "low", "range", "close_pos", "delta_sum", "vol_sum", "imbalance")))
 
 
-@query(f"WITH {o.bars(HALF)}, h AS (SELECT bar_time, hour(bar_time) AS h, 2 * pi() * (hour(bar_time) + minute(bar_time) / 60.0) / 24 AS a FROM bars) SELECT bar_time, round(sin(a), 6) AS hour_sin, round(cos(a), 6) AS hour_cos, CAST(h >= 1 AND h < 9 AS INTEGER) AS session_asia, CAST(h >= 9 AND h < 16 AS INTEGER) AS session_europe, CAST(h >= 16 OR h < 1 AS INTEGER) AS session_us FROM h")
+@query(f"WITH {o.bars(HALF)}, h AS (SELECT bar_time, hour(bar_time) AS h, 2 * pi() * (hour(bar_time) + minute(bar_time) / 60.0) / 24 AS a FROM bars) SELECT bar_time, round(sin(a), 6) + 0.0 AS hour_sin, round(cos(a), 6) + 0.0 AS hour_cos, CAST(h >= 1 AND h < 9 AS INTEGER) AS session_asia, CAST(h >= 9 AND h < 16 AS INTEGER) AS session_europe, CAST(h >= 16 OR h < 1 AS INTEGER) AS session_us FROM h")
 def time_features(spark, d):
     b = bars.time_bars(events.ticks(spark, d), HALF, runs=False).select("bar_time")
     return rounded(b.withColumns(market.time_features(F.col("bar_time"))))
@@ -317,7 +317,7 @@ UNION ALL SELECT 'by_retrace_level', retrace_level_type, outcome FROM rs
 UNION ALL SELECT 'by_retrace_imbalance', CASE WHEN (breakout_direction = 'UP' AND retrace_imbalance < -0.3) OR (breakout_direction = 'DOWN' AND retrace_imbalance > 0.3) THEN '{patterns.ABSORBED}' ELSE '{patterns.WEAK}' END, outcome FROM rs
 UNION ALL SELECT 'by_vwap_conviction', {_buckets('breakout_vwap_position', patterns.VWAP)}, outcome FROM rs
 UNION ALL SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}', NULL)" for a, b in patterns.ALWAYS)}))
-SELECT stratum, category, count(outcome) AS n, count_if(outcome = 'success') AS success, coalesce(CAST(count_if(outcome = 'success') AS DOUBLE) / nullif(count(outcome), 0), 0) AS hit_rate FROM st WHERE category IS NOT NULL GROUP BY stratum, category""")
+SELECT stratum, category, count(outcome) AS n, CAST(sum(CASE WHEN outcome = 'success' THEN 1 ELSE 0 END) AS BIGINT) AS success, coalesce(CAST(sum(CASE WHEN outcome = 'success' THEN 1 ELSE 0 END) AS DOUBLE) / nullif(count(outcome), 0), 0) AS hit_rate FROM st WHERE category IS NOT NULL GROUP BY stratum, category""")
 def pattern_stats(spark, d):
     return patterns.pattern_stats(_patterns(spark, d))
 
@@ -363,7 +363,7 @@ def exit_reasons(spark, d):
 
 @query(f"""{TRADES} SELECT count(*) AS n_trades, round(avg(CAST(pnl_dollars > 0 AS INTEGER)), 6) AS win_rate, round(sum(CASE WHEN pnl_dollars > 0 THEN pnl_dollars END) / abs(sum(CASE WHEN pnl_dollars < 0 THEN pnl_dollars END)), 6) AS profit_factor,
 round(avg(CASE WHEN pnl_dollars > 0 THEN pnl_dollars END), 6) AS avg_winner, round(abs(avg(CASE WHEN pnl_dollars < 0 THEN pnl_dollars END)), 6) AS avg_loser, round(avg(pnl_dollars), 6) AS expectancy, sum(pnl_dollars) AS total_pnl, sum(pnl_points) AS total_points, max(peak - cum_pnl) AS max_drawdown,
-round(avg(pnl_dollars) / stddev_pop(pnl_dollars) * sqrt(252 * 4), 6) AS sharpe_approx, round(avg(bars_held), 6) AS avg_bars_held, count_if(direction = 'LONG') AS n_longs, count_if(direction = 'SHORT') AS n_shorts,
+round(avg(pnl_dollars) / stddev_pop(pnl_dollars) * sqrt(252 * 4), 6) AS sharpe_approx, round(avg(bars_held), 6) AS avg_bars_held, CAST(count_if(direction = 'LONG') AS BIGINT) AS n_longs, CAST(count_if(direction = 'SHORT') AS BIGINT) AS n_shorts,
 round(avg(CASE WHEN direction = 'LONG' THEN CAST(pnl_dollars > 0 AS INTEGER) END), 6) AS long_win_rate, round(avg(CASE WHEN direction = 'SHORT' THEN CAST(pnl_dollars > 0 AS INTEGER) END), 6) AS short_win_rate FROM dd2""")
 def backtest_metrics(spark, d):
     return rounded(backtest.metrics(_trades(spark, d)))
@@ -374,24 +374,24 @@ def trade_results(spark, d):
     return _trades(spark, d).select("entry_time", "direction", market.trade_result(F.col("pnl_points")).alias("result"))
 
 
-ORDERS = "WITH " + o.bars(HOUR) + ", q AS (SELECT o_orderkey, CAST('2024-01-01' AS TIMESTAMP) + INTERVAL 1 SECOND * (o_orderkey * 7919 % 2592000) AS at FROM orders)"
+ORDERS = "WITH " + o.bars(HOUR) + ", q AS (SELECT o_orderkey, CAST('2024-01-01' AS TIMESTAMP) + INTERVAL 1 SECOND * (o_orderkey * 7919 % 2592000) AS moment FROM orders)"
 
 
 def _moments(spark, d):
     """Order keys as points in the month that the ticks cover."""
     at = F.expr("TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(0, 0, 0, o_orderkey * 7919 % 2592000)")
-    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", at.alias("at"))
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", at.alias("moment"))
 
 
-@query(f"{ORDERS}, bk AS (SELECT q.*, b.bar_time AS t FROM q ASOF LEFT JOIN bars b ON q.at >= b.bar_time), fw AS (SELECT bk.*, b.bar_time AS t2 FROM bk ASOF LEFT JOIN bars b ON bk.at <= b.bar_time) SELECT o_orderkey, at, CASE WHEN t IS NULL THEN t2 WHEN t2 IS NULL THEN t WHEN epoch_us(at) - epoch_us(t) < epoch_us(t2) - epoch_us(at) THEN t ELSE t2 END AS bar_time FROM fw")
+@query(f"{ORDERS}, bk AS (SELECT q.*, b.bar_time AS t FROM q ASOF LEFT JOIN bars b ON q.moment >= b.bar_time), fw AS (SELECT bk.*, b.bar_time AS t2 FROM bk ASOF LEFT JOIN bars b ON bk.moment <= b.bar_time) SELECT o_orderkey, moment, CASE WHEN t IS NULL THEN t2 WHEN t2 IS NULL THEN t WHEN epoch_us(moment) - epoch_us(t) < epoch_us(t2) - epoch_us(moment) THEN t ELSE t2 END AS bar_time FROM fw")
 def asof_nearest(spark, d):
-    return asof.asof_join(_moments(spark, d), hour_bars(spark, d).select("bar_time", "close"), "at", "bar_time", "nearest").select("o_orderkey", "at", F.col("match.bar_time").alias("bar_time"))
+    return asof.asof_join(_moments(spark, d), hour_bars(spark, d).select("bar_time", "close"), "moment", "bar_time", "nearest").select("o_orderkey", "moment", F.col("match.bar_time").alias("bar_time"))
 
 
-@query(f"{ORDERS} SELECT o_orderkey, at, t.record_num, t.price FROM q ASOF LEFT JOIN ticks t ON q.at <= t.ts")
+@query(f"{ORDERS} SELECT o_orderkey, moment, t.record_num, t.price FROM q ASOF LEFT JOIN ticks t ON q.moment <= t.ts")
 def asof_forward(spark, d):
     t = events.ticks(spark, d).select("ts", "record_num", "price")
-    return asof.asof_join(_moments(spark, d), t, "at", "ts", "forward", "record_num").select("o_orderkey", "at", F.col("match.record_num").alias("record_num"), F.col("match.price").alias("price"))
+    return asof.asof_join(_moments(spark, d), t, "moment", "ts", "forward", "record_num").select("o_orderkey", "moment", F.col("match.record_num").alias("record_num"), F.col("match.price").alias("price"))
 
 
 @query(f"""WITH {o.bars(HOUR)}, tn AS (SELECT ts, price, row_number() OVER (ORDER BY ts, record_num) - 1 AS n FROM ticks), en AS (SELECT b.bar_seq, b.bar_time, (SELECT max(n) FROM tn WHERE tn.ts < b.bar_time + INTERVAL 1 HOUR) AS e, b.close FROM bars b)
@@ -444,7 +444,7 @@ def winner_loser_factors(spark, d):
 METRIC = f"WITH {o.bars(HOUR)}, y AS (SELECT lead(close, 1) OVER (ORDER BY bar_seq) > close AS a, flow_imbalance > 0 AS p, lead(close, 1) OVER (ORDER BY bar_seq) - close AS v, flow_imbalance AS q FROM bars), z AS (SELECT * FROM y WHERE a IS NOT NULL)"
 
 
-@query(f"""{METRIC}, c AS (SELECT k, count_if(a = k) AS actual, count_if(p = k) AS said, count_if(a = k AND p = k) AS hit FROM z, (VALUES (true), (false)) t(k) GROUP BY k), s AS (SELECT *, hit / nullif(said, 0) AS pr, hit / nullif(actual, 0) AS rc FROM c)
+@query(f"""{METRIC}, c AS (SELECT k, CAST(count_if(a = k) AS BIGINT) AS actual, CAST(count_if(p = k) AS BIGINT) AS said, CAST(count_if(a = k AND p = k) AS BIGINT) AS hit FROM z, (VALUES (true), (false)) t(k) GROUP BY k), s AS (SELECT *, hit / nullif(said, 0) AS pr, hit / nullif(actual, 0) AS rc FROM c)
 SELECT round(sum(hit) / sum(actual), 6) AS accuracy, round(sum(coalesce(pr, 0) * actual) / sum(actual), 6) AS precision, round(sum(coalesce(rc, 0) * actual) / sum(actual), 6) AS recall, round(sum(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0) * actual) / sum(actual), 6) AS f1 FROM s""")
 def classification_metrics(spark, d):
     f = labels.forward_labels(hour_bars(spark, d), 1).where("future_close IS NOT NULL")
