@@ -76,8 +76,11 @@ class Model:
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
-    sample = docs.where(F.col(label).isNotNull() & (F.length(text) <= TRAIN_CHARS)).orderBy(F.xxhash64(F.lit("language"), id_col), id_col).limit(rows)
-    return Model([(r[0], r[1].encode()) for r in sample.select(label, text).collect()])
+    """The rows are chosen by their ids alone, as each task sends its best to the driver; only the chosen texts follow."""
+    fit_for = docs.where(F.col(label).isNotNull() & (F.length(text) <= TRAIN_CHARS))
+    chosen = fit_for.select(F.xxhash64(F.lit("language"), id_col).alias("_h"), F.col(id_col).alias("_id")).orderBy("_h", "_id").limit(rows).select("_id").distinct()
+    sample = fit_for.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"), "left_semi").select(label, text).limit(2 * rows)
+    return Model(sorted((r[0], r[1].encode()) for r in sample.collect()))
 
 
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
