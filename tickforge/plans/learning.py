@@ -17,7 +17,7 @@ from tickforge.operators import models
 from tickforge.sources.tables import write_json
 
 #: Columns that are no features: times, levels, labels.
-EXCLUDED = frozenset("bar_time bar_seq open high low close vwap price_volume future_close future_return magnitude_label direction_label sl_points tp_points trade_label long_result short_result long_bars_held short_bars_held long_mae short_mae long_mfe short_mfe is_rth atr_target has_trade_outcome quality_label max_single_buy max_single_sell row_no label".split())
+EXCLUDED = frozenset("bar_time bar_seq open high low close price_volume future_close future_return magnitude_label direction_label sl_points tp_points trade_label long_result short_result long_bars_held short_bars_held long_mae short_mae long_mfe short_mfe is_rth atr_target has_trade_outcome quality_label max_single_buy max_single_sell row_no label".split())
 
 
 def feature_columns(df: DataFrame) -> list[str]:
