@@ -87,9 +87,10 @@ def _minimisers(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _pack(d: DataFrame, window: int, gram: int) -> DataFrame:
-    """Rows for the buckets: (bucket, id, key, start, n, packed).
+    """Rows for the buckets: (bucket, id, key, start, n, packed, more).
 
-    packed holds n windows as words; a single window of a split bucket is its digest, with n = 0;
+    packed holds n windows as words; a window of a split bucket is its digest, with n = 0 and in more
+    where else the document has it, so that a text which repeats itself is one row there;
     a null packed is settled: n windows from start are to be removed; such rows are dealt by id.
     """
 
@@ -112,6 +113,7 @@ def _pack(d: DataFrame, window: int, gram: int) -> DataFrame:
             texts = [x or b"" if w else b"" for x, w in zip(b.column(2).cast(pa.large_binary()).to_pylist(), wanted, strict=True)]
             out: list[tuple] = []
             for words, place, doc, start, size, mini in super_kmers(texts, window, gram):
+                split: dict[tuple[int, bytes], list[int]] = {}
                 for p, d, s, n, m in zip(place.tolist(), doc.tolist(), start.tolist(), size.tolist(), mini.tolist(), strict=True):
                     hot = wanted[d].get(s + 1)
                     if hot is None:
@@ -119,12 +121,16 @@ def _pack(d: DataFrame, window: int, gram: int) -> DataFrame:
                     if not hot:
                         packed = b" ".join(words[p : p + n + window - 1])
                         done = settled(packed, ids[d])
-                        out.append((ids[d] if done else m, ids[d], keys[d], s, n, None if done else packed))
+                        out.append((ids[d] if done else m, ids[d], keys[d], s, n, None if done else packed, None))
                         continue
                     for i in range(n):
                         digest = hashlib.blake2b(b" ".join(words[p + i : p + i + window]), digest_size=16).digest()
-                        done = settled(digest, ids[d])
-                        out.append((ids[d] if done else int.from_bytes(digest[:8], "little", signed=True), ids[d], keys[d], s + i, 1 if done else 0, None if done else digest))
+                        split.setdefault((d, digest), []).append(s + i)
+                for (d, digest), places in split.items():
+                    if settled(digest, ids[d]):
+                        out += [(ids[d], ids[d], keys[d], s, 1, None, None) for s in places]
+                    else:
+                        out.append((int.from_bytes(digest[:8], "little", signed=True), ids[d], keys[d], places[0], 0, digest, places[1:]))
                 if len(out) > 4000:
                     yield _rows(out)
                     out = []
@@ -132,24 +138,24 @@ def _pack(d: DataFrame, window: int, gram: int) -> DataFrame:
                 yield _rows(out)
 
     def _rows(out: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), ids_type, pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "id", "key", "start", "n", "packed"])
+        kinds = (pa.int64(), ids_type, pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "id", "key", "start", "n", "packed", "more"])
 
     ids_type = pa.int32() if d.schema["id"].dataType.simpleString() == "int" else pa.int64()
-    return d.mapInArrow(run, f"bucket long, id {d.schema['id'].dataType.simpleString()}, key long, start int, n int, packed binary")
+    return d.mapInArrow(run, f"bucket long, id {d.schema['id'].dataType.simpleString()}, key long, start int, n int, packed binary, more array<int>")
 
 
 def bucket_removals(rows: list[tuple], window: int) -> list[tuple]:
-    """(id, key, start, n): the windows of one bucket to remove; rows are (id, key, start, n, packed) by id."""
+    """(id, key, start, n): the windows of one bucket to remove; rows are (id, key, start, n, packed, more) by id."""
     out, firsts = [], {}
     windows: list[tuple[bytes, int, int]] = []
-    for doc, key, start, n, packed in rows:
+    for doc, key, start, n, packed, more in rows:
         if packed is None:
             out.append((doc, key, start, n))
             continue
         if n == 0:  # one window of a split bucket
             windows.append((packed, doc, len(firsts)))
-            firsts[len(firsts)] = (doc, key, start)
+            firsts[len(firsts)] = (doc, key, (start, *more))
             continue
         whole = firsts.setdefault(packed, doc)
         if whole < doc:  # all of it is in a smaller document
@@ -160,7 +166,7 @@ def bucket_removals(rows: list[tuple], window: int) -> list[tuple]:
         end = (np.cumsum(size) - 1)[window - 1 :].tolist()
         for i, (a, b) in enumerate(zip(begin, end, strict=True)):
             windows.append((packed[a:b], doc, len(firsts)))
-            firsts[len(firsts)] = (doc, key, start + i)
+            firsts[len(firsts)] = (doc, key, (start + i,))
     if len(rows) > 1:
         windows.sort()
         now, least = None, None
@@ -168,8 +174,8 @@ def bucket_removals(rows: list[tuple], window: int) -> list[tuple]:
             if w != now:
                 now, least = w, doc
             elif doc > least:
-                d, key, start = firsts[k]
-                out.append((d, key, start, 1))
+                d, key, starts = firsts[k]
+                out += [(d, key, s, 1) for s in starts]
     return out
 
 
