@@ -204,7 +204,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(materialize(links(fps.select("fp"), radius, shard), "fingerprint-links"))
     of = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(of.select("fp", "root"), "fp").join(least, "root").select("doc_id", "fp", "component_id")
+    # Copies are many rows of one fingerprint: they join once, with a side that has each fingerprint once.
+    found = of.join(least, "root").select("fp", "component_id")
+    return marked.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex64(fp: Column) -> Column:
