@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickforge.sources.scratch import folder as scratch
+from tickforge.sources.scratch import written as materialize
+
 #: The white space of every contract in this package: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
 #: A word, as a Java / RE2 pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
-_own_scratch: dict[str, str] = {}
+__all__ = ["SPACE", "SPACES", "WORD", "arrow_batches", "drop_scratch", "let", "materialize", "scratch", "table", "without_ids", "words_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,28 +27,6 @@ def arrow_batches(spark: SparkSession, rows: int = 400, size: int = 8 << 20) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _own_scratch.setdefault(app, "")
-        if not base:
-            base = _own_scratch[app] = tempfile.mkdtemp(prefix="spark-scratch-")
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back.
-
-    It cuts lineage, so a lost executor costs no recomputation of what came before, and
-    a frame that is used twice is computed once.
-    """
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files of a materialized frame that nothing reads any more."""
     spark = df.sparkSession
