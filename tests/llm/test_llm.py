@@ -220,6 +220,44 @@ def test_links_in_split_shards_keep_every_component(spark):
         assert groups({x: sign.get(x, x) for x in fps}) == groups(want)
 
 
+def similar(a, b):
+    x, y = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("shard", [8, 2048])
+def test_near_copies_by_similarity(spark, docs, none, shard):
+    r, rows = random.Random(12), []
+    for g in range(30):  # a text, copies with few words changed, and relatives that share half
+        w = prose(200, r).split()
+        rows.append((1000 + 10 * g, " ".join(w)))
+        for k in range(1, 6):
+            v = list(w)
+            for p in r.sample(range(200), 2):
+                v[p] = "changed"
+            rows.append((1000 + 10 * g + k, " ".join(v)))
+        rows += [(1000 + 10 * g + 7, " ".join(w[:120]) + " " + prose(80, r)), (1000 + 10 * g + 8, " ".join(w) + "\n")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(d, shard=shard).collect()}
+    text = dict(rows)
+    want = roots(list(text), [(a, b) for a in text for b in text if b < a < b + 10 and similar(text[a], text[b]) >= 0.8])
+    assert len(got) == len(rows) and sum(got[i] == want[i] for i in got) >= 0.98 * len(got)
+    assert all(got[i] == i for i in got if i % 10 == 7) and all(got[i] == i - 8 for i in got if i % 10 == 8)
+    odd = simhash.near_copies(docs, shard=shard).collect()
+    by = {x["doc_id"]: x["component_id"] for x in odd}
+    assert len(odd) == docs.count() and by[0] == by[1] == by[2] == 0 and by[7] == by[99] == by[None] == 7 and by[3] == 3 and by[5] == 5
+    assert simhash.near_copies(none).count() == 0
+    kept = sorted(x["doc_id"] for x in simhash.keep_one(docs, shingle=5, similarity=0.8).collect() if x["doc_id"] is not None)
+    assert kept == sorted({v for k, v in by.items() if k is not None})
+
+
+def test_bk_trees_of_groups():
+    r = np.random.default_rng(3)
+    v, g = r.integers(0, 2**12, 300, dtype=np.uint64), np.sort(r.integers(0, 9, 300))
+    found = list(simhash.BKTree(v, g).found(v, 2, np.searchsorted(g, g), 50))
+    assert {(i, j) for q, t in found for i, j in zip(q.tolist(), t.tolist(), strict=True)} == {(i, j) for i in range(300) for j in range(300) if g[i] == g[j] and int(v[i] ^ v[j]).bit_count() <= 2}
+
+
 def test_bk_tree_finds_all():
     r = np.random.default_rng(1)
     v = np.unique(r.integers(0, 2**20, 500, dtype=np.uint64))

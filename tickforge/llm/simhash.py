@@ -11,6 +11,14 @@ searched with the fingerprints of the other, following only edges within the rad
 broadcast to the tasks that need it, of at most SHARD nodes, however large a shard is.  A task
 returns a spanning forest of its links, never all pairs.
 
+Near copies by similarity (`near_copies`): 3 of 64 bits are far fewer than a Jaccard similarity of 0.8 leaves
+(about ten), and bands of so few bits as ten bits ask for don't part a large corpus.  So a text gets `WIDE` words of
+fingerprint, over its distinct shingles; tables of bits drawn from them deal the texts into shards, as many bits
+a table as keep an even shard near `EVEN` texts, and so many tables that a pair at the threshold shares a shard with
+probability `RECALL`.  In a shard a BK-tree over the first word is followed within `FIRST_RADIUS`; pairs it finds are
+linked if the angle between the whole fingerprints and the numbers of shingles give a Jaccard
+similarity of the threshold or more (standard error about 0.04 at 0.8, less above).
+
 Components of the links are found in rounds of joins.
 
 Defined cases
@@ -22,6 +30,7 @@ Defined cases
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,43 +40,70 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize, table, without_ids
+from .common import BROADCAST_IDS, arrow_batches, materialize, table, without_ids
 from .components import components
 from .textbytes import segments
 
 BITS, RADIUS, SHARD = 64, 3, 4096
 SHINGLE = 3
+#: Near copies by similarity: 64-bit words of a fingerprint, texts in an even shard, shared shards of a pair at the threshold.
+WIDE, EVEN, RECALL, FIRST_RADIUS, WIDE_SHARD = 8, 64, 0.95, 18, 2048
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, bytes(range(97, 123)))
 _BLOCK = 1 << 15
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Bit b is 1 if more than half of the shingles' hashes have it."""
-    votes, total, carry, h = np.zeros(BITS, np.int64), 0, [], xxhash.xxh64_intdigest
-
-    def count(hashes: list[int]) -> None:
-        nonlocal votes, total
-        for i in range(0, len(hashes), _BLOCK):
-            part = np.array(hashes[i : i + _BLOCK], dtype="<u8")
-            votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        total += len(hashes)
-
+def shingle_hashes(text: bytes, shingle: int) -> Iterator[list[int]]:
+    """XXH64 of a text's shingles, a segment of the text at a time."""
+    carry, found, h = [], False, xxhash.xxh64_intdigest
     for part in segments(text.translate(_LOWER)):
         words = carry + part.split()
         if len(words) >= shingle:
             joined, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words)) + 1
             start = np.cumsum(size) - size
             end = (start + size - 1)[shingle - 1 :]
-            count([h(joined[a:b], 42) for a, b in zip(start.tolist(), end.tolist(), strict=False)])
+            found = True
+            yield [h(joined[a:b], 42) for a, b in zip(start.tolist(), end.tolist(), strict=False)]
             carry = words[1 - shingle :] if shingle > 1 else []
         else:
             carry = words
-    if not total and carry:
-        count([h(b" ".join(carry), 42)])
+    if not found and carry:
+        yield [h(b" ".join(carry), 42)]
+
+
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    votes = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), _BLOCK):
+        bits = np.unpackbits(hashes[i : i + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        # Sums of 255 rows fit a byte.
+        whole = len(bits) // 255 * 255
+        votes += bits[:whole].reshape(-1, 255, BITS).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[whole:].sum(0, dtype=np.uint8)
+    return votes
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Bit b is 1 if more than half of the shingles' hashes have it."""
+    votes, total = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
+        votes += _votes(np.array(hashes, dtype="<u8"))
+        total += len(hashes)
     return int((1 << np.flatnonzero(2 * votes > total).astype(object)).sum()) if total else 0
 
 
+def wide_fingerprint(text: bytes, shingle: int) -> tuple[bytes, int]:
+    """WIDE words of fingerprint over the distinct shingles, each from hashes mixed anew, and the number of these shingles."""
+    parts = [np.array(x, dtype="<u8") for x in shingle_hashes(text, shingle)]
+    h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, "<u8")
+    bits = []
+    for k in range(1, WIDE + 1):
+        z = h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits.append(2 * _votes(z ^ (z >> np.uint64(31))) > len(h))
+    return np.packbits(np.concatenate(bits), bitorder="little").tobytes(), len(h)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
     arrow_batches(docs.sparkSession)
@@ -82,15 +118,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class BKTree:
-    """Nodes in arrays.  A child hangs under its parent by its distance to it; children of a node lie side by side, in the order of that distance."""
+    """Nodes in arrays.  A child hangs under its parent by its distance to it; children of a node lie side by side, in the order of that distance.
 
-    def __init__(self, values: np.ndarray):
+    With `group` (not decreasing) each group has a tree of its own, whose root is the group's first value.
+    """
+
+    def __init__(self, values: np.ndarray, group: np.ndarray | None = None):
         self.values = values
         n = len(values)
         parent, edge = np.full(n, -1), np.zeros(n, np.int64)
         # All values walk down together: those that meet at a node part by their distance to it, and of
         # each part the first becomes the child there.
-        at, rest = np.zeros(n, np.int64), np.arange(1, n)
+        at = np.zeros(n, np.int64) if group is None else np.searchsorted(group, group)
+        rest = np.flatnonzero(at != np.arange(n))
         while len(rest):
             d = np.bitwise_count(values[rest] ^ values[at[rest]]).astype(np.int64)
             _, first, which = np.unique(at[rest] * (BITS + 1) + d, return_index=True, return_inverse=True)
@@ -98,24 +138,28 @@ class BKTree:
             parent[child], edge[child] = at[child], d[first]
             at[rest] = child[which]
             rest = np.delete(rest, first)
-        self.children = np.lexsort((edge, parent))[1:] if n else np.zeros(0, np.int64)
+        order = np.lexsort((edge, parent))
+        self.children = order[np.count_nonzero(parent < 0) :]
         self.keys = parent[self.children] * (BITS + 1) + edge[self.children]
 
-    def search(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of every pair within the radius."""
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for begin in range(0, len(queries), 1024):
-            q = np.arange(begin, min(begin + 1024, len(queries)))
-            node = np.zeros(len(q), np.int64)
-            while len(q) and len(self.values):
+    def found(self, queries: np.ndarray, radius: int, roots: np.ndarray | None = None, block: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, node) of every pair within the radius, some queries at a time; query i starts at node roots[i]."""
+        for begin in range(0, len(queries) if len(self.values) else 0, block):
+            q = np.arange(begin, min(begin + block, len(queries)))
+            node = np.zeros(len(q), np.int64) if roots is None else roots[q]
+            while len(q):
                 d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
                 near = d <= radius
-                out.append((q[near], node[near]))
+                yield q[near], node[near]
                 low = np.searchsorted(self.keys, node * (BITS + 1) + np.maximum(d - radius, 0))
                 high = np.searchsorted(self.keys, node * (BITS + 1) + np.minimum(d + radius, BITS), side="right")
                 n = high - low
                 q = np.repeat(q, n)
                 node = self.children[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+    def search(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) of every pair within the radius."""
+        out = list(self.found(queries, radius))
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
@@ -195,6 +239,120 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame
     return d.mapInPandas(run, "a long, b long")
 
 
+def tables_for(n: int, similarity: float) -> tuple[int, int]:
+    """(bits a table, tables) that keep even shards of n texts near EVEN, and find a pair of the given similarity with probability RECALL."""
+    bits = min(48, max(1, math.ceil(math.log2(max(n, 2) / EVEN)))) if n > EVEN else 1
+    cosine = 2 * similarity / (1 + similarity)
+    share = (1 - math.acos(min(1.0, cosine)) / math.pi) ** bits
+    return bits, max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - share))) if share < 1 else 1
+
+
+def _pair_up(g: pd.DataFrame, group: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, in nodes, of the links within whole groups: tree rows against query rows, or each other where i = j."""
+    node, size = g["node"].to_numpy(), g["size"].to_numpy(np.float64)
+    fp = np.frombuffer(b"".join(g["fp"]), "<u8").reshape(-1, WIDE)
+    tree, own = g["tree"].to_numpy(), (g["i"] == g["j"]).to_numpy()
+    t_rows, q_rows = np.flatnonzero(tree), np.flatnonzero(own | ~tree)
+    t_group = group[t_rows]
+    roots = np.searchsorted(t_group, group[q_rows])
+    there = roots < len(t_rows)
+    there[there] = t_group[roots[there]] == group[q_rows][there]
+    q_rows, roots = q_rows[there], roots[there]
+    a, b, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+    def reduced() -> np.ndarray:
+        return forest(len(node), np.concatenate(a), np.concatenate(b))
+
+    for q, t in BKTree(fp[t_rows, 0], t_group).found(fp[q_rows, 0], FIRST_RADIUS, roots, 256):
+        x, y = q_rows[q], t_rows[t]
+        x, y = x[x != y], y[x != y]
+        apart = np.zeros(len(x), np.int64)
+        for w in range(WIDE):
+            apart += np.bitwise_count(fp[x, w] ^ fp[y, w])
+        shared = np.cos(np.pi * apart / (BITS * WIDE)) * np.sqrt(size[x] * size[y])
+        near = shared >= similarity * (size[x] + size[y] - shared)
+        a.append(x[near])
+        b.append(y[near])
+        held += len(a[-1])
+        if held > 1 << 20:
+            root = reduced()
+            x = np.flatnonzero(root != np.arange(len(node)))
+            a, b, held = [x], [root[x]], len(x)
+    root = reduced()
+    moved = np.flatnonzero(root != np.arange(len(node)))
+    return node[moved], node[root[moved]]
+
+
+def similar_links(sketches: DataFrame, similarity: float, shard: int = WIDE_SHARD) -> DataFrame:
+    """Links (a, b) that join the same nodes as all links of the given similarity do; sketches (node, fp, size) are distinct."""
+    bits, tables = tables_for(sketches.count(), similarity)
+    r = np.random.RandomState(64)
+    chosen = [r.permutation(BITS * WIDE)[:bits] for _ in range(tables)]
+    power = 1 << np.arange(bits, dtype=np.int64)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ones = np.unpackbits(np.frombuffer(b"".join(pdf["fp"]), np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little")
+            for i, at in enumerate(chosen):
+                yield pdf.assign(shard=(i << 48) + ones[:, at] @ power)
+
+    dealt = sketches.select("node", "fp", "size").mapInPandas(deal, "node long, fp binary, size long, shard long")
+    keys = sketches.select("node", "fp", "size").mapInPandas(lambda x: (p[["shard"]] for p in deal(x)), "shard long")
+    hot = keys.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard)
+    hot = materialize(hot.select("shard", F.ceil(F.col("n") / shard).cast("int").alias("pieces")), "hot-shards")
+    side = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+    d = dealt.join(side, "shard", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    d = d.withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    d = d.select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("tree"), "node", "size", "fp")
+    d = d.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "tree", "node")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def solve(g: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+            a, b = _pair_up(g, group, similarity)
+            return pd.DataFrame({"a": a, "b": b})
+
+        held = None
+        # Sorted rows: the last group of a batch may go on in the next, and waits for it; it has at most two pieces.
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            x = pdf[["shard", "i", "j"]].to_numpy()
+            group = np.concatenate([[0], np.cumsum((x[1:] != x[:-1]).any(axis=1))])
+            last = int(np.searchsorted(group, group[-1]))
+            held = pdf.iloc[last:].reset_index(drop=True)
+            if last:
+                yield solve(pdf.iloc[:last], group[:last])
+        if held is not None:
+            yield solve(held, np.zeros(len(held), np.int64))
+
+    return d.mapInPandas(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, shard: int = WIDE_SHARD) -> DataFrame:
+    """(doc_id, component_id) for every row of docs: texts whose distinct shingles have the given Jaccard similarity, as told by wide fingerprints, are linked.
+
+    Texts without words are copies of each other.  Other cases are as for the fingerprints of 64 bits.
+    """
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [wide_fingerprint(x or b"", shingle) for x in b.column(1).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in made], pa.binary()), pa.array([n for _, n in made], pa.int64())], names=["doc_id", "fp", "size"])
+
+    marked = materialize(d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp binary, size long"), "sketches")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    nodes = materialize(marked.groupBy("fp", "size").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "distinct-sketches")
+    roots = components(materialize(similar_links(nodes.where("size > 0"), similarity, shard), "sketch-links"))
+    of = nodes.join(roots, "node", "left").select("fp", "size", "least", F.coalesce("root", "node").alias("root"))
+    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = of.join(least, "root").select("fp", "size", "component_id")
+    return marked.join(found, ["fp", "size"]).select("doc_id", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, shard: int = SHARD) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
     spark = docs.sparkSession
@@ -213,12 +371,12 @@ def hex64(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest id stays.
 
-    Of rows that repeat an id one stays, whichever; rows without an id all stay.
+    Components are those of `near_copies` if a similarity is given, and of `near_duplicates` otherwise.  Of rows that repeat an id one stays, whichever; rows without an id all stay.
     """
-    found = near_duplicates(docs, id_col, text_col, radius, shingle)
+    found = near_copies(docs, id_col, text_col, similarity, shingle) if similarity else near_duplicates(docs, id_col, text_col, radius, shingle)
     found = materialize(found.select("doc_id", "component_id"), "components")
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     twice = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice")
