@@ -1,7 +1,7 @@
 """A training corpus from `documents`: five stages, each written as Parquet and read by the next.
 
 1. language: rows whose language can't be told go.
-2. near_duplicates: of each group of near copies, of similarity 0.8 or more over five-word shingles as SimHash tells it, the smallest doc_id stays.
+2. near_duplicates: of each group of near copies, whose five-word shingles have a Jaccard similarity of 0.8 or more, the smallest doc_id stays.
 3. decontaminate: documents with a benchmark passage go.
 4. pii: personal data in texts becomes `[KIND]`, and n_chars follows.
 5. mix: sources are mixed to target weights; a row for each copy, numbered by copy_no.

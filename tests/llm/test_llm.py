@@ -251,6 +251,26 @@ def test_near_copies_by_similarity(spark, docs, none, shard):
     assert kept == sorted({v for k, v in by.items() if k is not None})
 
 
+@pytest.mark.parametrize("piece", [8, 1024])
+def test_near_copies_are_settled_exactly(spark, piece):
+    """Pairs at and around the bar, short and long: (shingles, words cut from the front, words put at the end)."""
+    r, rows = random.Random(21), []
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    for n, cut, more in ((4, 0, 1), (5, 0, 1), (6, 0, 1), (12, 0, 3), (20, 0, 5), (24, 0, 5), (8, 1, 1), (6, 1, 1), (150, 15, 20), (150, 16, 20), (200, 22, 22), (200, 23, 23)):
+        for _ in range(12):
+            w = [word() for _ in range(n + 4)]
+            rows += [(10 * len(rows), " ".join(w)), (10 * len(rows) + 5, " ".join(w[cut:] + [word() for _ in range(more)]))]
+    w = [word() for _ in range(100)]  # a chain of 30 near copies over several pieces
+    rows += [(9_000_000 + k, " ".join(w[2 * k :] + [f"x{i}" for i in range(2 * k)])) for k in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(d, piece=piece).collect()}
+    text = dict(rows)
+    ids = list(text)
+    want = roots(ids, [(a, b) for i, a in enumerate(ids) for b in ids[max(0, i - 30) : i] if similar(text[a], text[b]) >= 0.8])
+    assert 100 < sum(want[i] != i for i in ids) < len(ids) - 100
+    assert {i: want[i] for i in ids if want[i] != got[i]} == {}
+
+
 def test_bk_trees_of_groups():
     r = np.random.default_rng(3)
     v, g = r.integers(0, 2**12, 300, dtype=np.uint64), np.sort(r.integers(0, 9, 300))

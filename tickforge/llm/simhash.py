@@ -16,8 +16,14 @@ Near copies by similarity (`near_copies`): 3 of 64 bits are far fewer than a Jac
 fingerprint, over its distinct shingles; tables of bits drawn from them deal the texts into shards, as many bits
 a table as keep an even shard near `EVEN` texts, and so many tables that a pair at the threshold shares a shard with
 probability `RECALL`.  In a shard a BK-tree over the first word is followed within `FIRST_RADIUS`; pairs it finds are
-linked if the angle between the whole fingerprints and the numbers of shingles give a Jaccard
-similarity of the threshold or more (standard error about 0.04 at 0.8, less above).
+proposed if the angle between the whole fingerprints and the numbers of shingles give a Jaccard
+similarity of the threshold less `LOOSE` (four standard errors) or more.  Majorities of few shingles are biased, so a text of at
+most `FEW` shingles is proposed by shared shingle hashes instead: the least of them under `ROWS` orders make a key, and texts that
+share one of `BANDS` keys meet.  A fingerprint thus serves texts of more than FEW shingles and those that may be their copies.
+
+Proposals only bring texts together: in each of their components the texts' distinct shingle hashes are
+compared and two texts are linked if the Jaccard similarity of these is the threshold or more, whatever the sketches
+said.  A component over `PIECE` texts or `PIECE_HASHES` hashes is cut into pieces by hash, and every two of its pieces meet in a task.
 
 Components of the links are found in rounds of joins.
 
@@ -30,6 +36,7 @@ Defined cases
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -47,7 +54,10 @@ from .textbytes import segments
 BITS, RADIUS, SHARD = 64, 3, 4096
 SHINGLE = 3
 #: Near copies by similarity: 64-bit words of a fingerprint, texts in an even shard, shared shards of a pair at the threshold.
-WIDE, EVEN, RECALL, FIRST_RADIUS, WIDE_SHARD = 8, 64, 0.95, 18, 2048
+WIDE, EVEN, RECALL, FIRST_RADIUS, WIDE_SHARD = 8, 64, 0.99, 18, 2048
+#: What a proposal's estimate may lie under the threshold; shingles of a text that keys propose, its keys, and orders a key.
+LOOSE, FEW, BANDS, ROWS = 0.16, 160, 16, 5
+PIECE, PIECE_HASHES = 1024, 1 << 19
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, bytes(range(97, 123)))
 _BLOCK = 1 << 15
@@ -91,17 +101,40 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int((1 << np.flatnonzero(2 * votes > total).astype(object)).sum()) if total else 0
 
 
-def wide_fingerprint(text: bytes, shingle: int) -> tuple[bytes, int]:
-    """WIDE words of fingerprint over the distinct shingles, each from hashes mixed anew, and the number of these shingles."""
+def distinct_hashes(text: bytes, shingle: int) -> np.ndarray:
     parts = [np.array(x, dtype="<u8") for x in shingle_hashes(text, shingle)]
-    h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, "<u8")
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, "<u8")
+
+
+def wide_fingerprint(h: np.ndarray) -> bytes:
+    """WIDE words of fingerprint over distinct hashes, each from hashes mixed anew."""
     bits = []
     for k in range(1, WIDE + 1):
         z = h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         bits.append(2 * _votes(z ^ (z >> np.uint64(31))) > len(h))
-    return np.packbits(np.concatenate(bits), bitorder="little").tobytes(), len(h)
+    return np.packbits(np.concatenate(bits), bitorder="little").tobytes()
+
+
+_ORDERS = np.random.RandomState(5).randint(0, 1 << 62, BANDS * ROWS).astype(np.uint64) * np.uint64(4) + np.uint64(1)
+
+
+def band_keys(h: np.ndarray) -> bytes:
+    """BANDS keys of 64 bits, each of the least hash under ROWS orders; two texts share a key with their similarity to the power ROWS."""
+    least = (h[:, None] * _ORDERS).min(0).reshape(BANDS, ROWS)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        key = (key ^ least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.tobytes()
+
+
+def sketch(text: bytes, shingle: int, similarity: float) -> tuple[bytes, int, bytes, bytes, bytes]:
+    """Digest and number of the distinct hashes, fingerprint and keys where they serve, and the hashes."""
+    h = distinct_hashes(text, shingle)
+    held, n = h.tobytes(), len(h)
+    return hashlib.blake2b(held, digest_size=16).digest(), n, wide_fingerprint(h) if n >= similarity * FEW else b"", band_keys(h) if 0 < n <= FEW else b"", held
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -248,7 +281,7 @@ def tables_for(n: int, similarity: float) -> tuple[int, int]:
 
 
 def _pair_up(g: pd.DataFrame, group: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, in nodes, of the links within whole groups: tree rows against query rows, or each other where i = j."""
+    """A spanning forest, in nodes, of the proposed links within whole groups: tree rows against query rows, or each other where i = j."""
     node, size = g["node"].to_numpy(), g["size"].to_numpy(np.float64)
     fp = np.frombuffer(b"".join(g["fp"]), "<u8").reshape(-1, WIDE)
     tree, own = g["tree"].to_numpy(), (g["i"] == g["j"]).to_numpy()
@@ -283,8 +316,102 @@ def _pair_up(g: pd.DataFrame, group: np.ndarray, similarity: float) -> tuple[np.
     return node[moved], node[root[moved]]
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start[i] to start[i] + n[i] - 1 of each i, side by side."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def settled(hashes: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of all pairs whose sets of hashes have the Jaccard similarity, exactly.
+
+    A set of n hashes shares n * similarity with each of its like, so that any n - n * similarity + 1 of its hashes, the rarest here, lead to all of them.
+    Texts are reached from one another, and those already reached aren't compared again.
+    """
+    size = np.array([len(x) // 8 for x in hashes], np.int64)
+    start = np.cumsum(size) - size
+    _, word = np.unique(np.frombuffer(b"".join(hashes), "<u8"), return_inverse=True)
+    n_of = np.bincount(word)
+    owner, first = np.repeat(np.arange(len(size)), size)[np.argsort(word, kind="stable")], np.cumsum(n_of) - n_of
+    free, marked, a, b = np.ones(len(size), bool), np.zeros(len(n_of), bool), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for seed in range(len(size)):
+        if not free[seed]:
+            continue
+        free[seed], line = False, [seed]
+        while line:
+            x = line.pop()
+            own = word[start[x] : start[x] + size[x]]
+            enough = int(size[x]) - math.ceil(similarity * int(size[x]) - 1e-6) + 1
+            rare = own[np.argsort(n_of[own], kind="stable")[:enough]]
+            y = owner[_ranges(first[rare], n_of[rare])]
+            y = np.unique(y[free[y]])
+            y = y[(size[y] >= similarity * size[x] - 1e-6) & (size[x] >= similarity * size[y] - 1e-6)]
+            if not len(y):
+                continue
+            marked[own] = True
+            shared = np.add.reduceat(marked[word[_ranges(start[y], size[y])]].astype(np.int64), np.cumsum(size[y]) - size[y])
+            marked[own] = False
+            y = y[shared >= similarity * (size[x] + size[y] - shared) - 1e-6]
+            free[y] = False
+            line += y.tolist()
+            a.append(np.full(len(y), x))
+            b.append(y)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def key_links(sketches: DataFrame) -> DataFrame:
+    """Links (a, b) of every node (node, bands) to the smallest that shares a key with it."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"key": np.frombuffer(b"".join(pdf["bands"]), np.int64), "node": np.repeat(pdf["node"].to_numpy(), BANDS)})
+
+    dealt = sketches.select("node", "bands").mapInPandas(deal, "key long, node long")
+    least = dealt.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
+    return dealt.join(least, "key").where("a < node").select("a", F.col("node").alias("b")).distinct()
+
+
+def settled_links(marked: DataFrame, nodes: DataFrame, proposed: DataFrame, similarity: float, piece: int = PIECE, piece_hashes: int = PIECE_HASHES) -> DataFrame:
+    """Links (a, b) that join the same nodes as all links of the similarity within components (node, root) of proposals do."""
+    member = nodes.join(proposed, "node").select("key", "least", "node", "root", "size")
+    hot = member.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / piece), F.ceil(F.sum("size") / piece_hashes)).cast("int").alias("pieces")).where("pieces > 1")
+    hot = materialize(hot, "hot-proposals")
+    side = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+    member = materialize(member.join(side, "root", "left").select("key", "least", "node", "root", F.coalesce("pieces", F.lit(1)).alias("pieces")), "proposed")
+    side = F.broadcast(member) if member.count() <= BROADCAST_IDS else member
+    # Of the rows of a text one is enough, as all have its hashes.
+    d = marked.select("key", "doc_id", "hashes").join(side, "key").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    d = d.groupBy("node", "root", "pieces").agg(F.first("hashes").alias("hashes"))
+    d = d.withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("pieces") - 1), lambda x: x != F.col("own"))
+    d = d.withColumn("other", F.explode(F.when(F.col("pieces") > 1, others).otherwise(F.array(F.lit(0)))))
+    d = d.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "hashes")
+    d = d.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def solve(g: pd.DataFrame) -> pd.DataFrame:
+            node = g["node"].to_numpy()
+            a, b = settled(g["hashes"].tolist(), similarity)
+            return pd.DataFrame({"a": node[a], "b": node[b]})
+
+        held = None
+        # Sorted rows: the last group of a batch may go on in the next, and waits for it; it has at most two pieces.
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            x = pdf[["root", "i", "j"]].to_numpy()
+            edge = [0, *(np.flatnonzero((x[1:] != x[:-1]).any(axis=1)) + 1).tolist()]
+            held = pdf.iloc[edge[-1] :].reset_index(drop=True)
+            if out := [solve(pdf.iloc[s:e]) for s, e in zip(edge, edge[1:], strict=False)]:
+                yield pd.concat(out)
+        if held is not None:
+            yield solve(held)
+
+    return d.mapInPandas(run, "a long, b long")
+
+
 def similar_links(sketches: DataFrame, similarity: float, shard: int = WIDE_SHARD) -> DataFrame:
-    """Links (a, b) that join the same nodes as all links of the given similarity do; sketches (node, fp, size) are distinct."""
+    """Links (a, b) that join the same nodes as all pairs whose estimate is the similarity less LOOSE do; sketches (node, fp, size) are distinct."""
     bits, tables = tables_for(sketches.count(), similarity)
     r = np.random.RandomState(64)
     chosen = [r.permutation(BITS * WIDE)[:bits] for _ in range(tables)]
@@ -308,7 +435,7 @@ def similar_links(sketches: DataFrame, similarity: float, shard: int = WIDE_SHAR
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def solve(g: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
-            a, b = _pair_up(g, group, similarity)
+            a, b = _pair_up(g, group, similarity - LOOSE)
             return pd.DataFrame({"a": a, "b": b})
 
         held = None
@@ -329,28 +456,31 @@ def similar_links(sketches: DataFrame, similarity: float, shard: int = WIDE_SHAR
     return d.mapInPandas(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, shard: int = WIDE_SHARD) -> DataFrame:
-    """(doc_id, component_id) for every row of docs: texts whose distinct shingles have the given Jaccard similarity, as told by wide fingerprints, are linked.
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, shard: int = WIDE_SHARD, piece: int = PIECE) -> DataFrame:
+    """(doc_id, component_id) for every row of docs: texts whose distinct shingles have the given Jaccard similarity are linked, if sketches bring them together.
 
     Texts without words are copies of each other.  Other cases are as for the fingerprints of 64 bits.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kinds = {"key": pa.binary(), "size": pa.int64(), "fp": pa.binary(), "bands": pa.binary(), "hashes": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [wide_fingerprint(x or b"", shingle) for x in b.column(1).cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in made], pa.binary()), pa.array([n for _, n in made], pa.int64())], names=["doc_id", "fp", "size"])
+            made = [sketch(x or b"", shingle, similarity) for x in b.column(1).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in made], kind) for i, kind in enumerate(kinds.values()))], names=["doc_id", *kinds])
 
-    marked = materialize(d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp binary, size long"), "sketches")
+    marked = materialize(d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, key binary, size long, fp binary, bands binary, hashes binary"), "sketches")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    nodes = materialize(marked.groupBy("fp", "size").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "distinct-sketches")
-    roots = components(materialize(similar_links(nodes.where("size > 0"), similarity, shard), "sketch-links"))
-    of = nodes.join(roots, "node", "left").select("fp", "size", "least", F.coalesce("root", "node").alias("root"))
+    nodes = materialize(marked.groupBy("key", "size", "fp", "bands").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "distinct-sketches")
+    long, short = nodes.where(F.col("size") >= similarity * FEW), nodes.where((F.col("size") > 0) & (F.col("size") <= FEW))
+    proposed = components(materialize(similar_links(long, similarity, shard).union(key_links(short)), "proposals"))
+    roots = components(materialize(settled_links(marked, nodes, proposed, similarity, piece), "settled-links"))
+    of = nodes.join(roots, "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = of.join(least, "root").select("fp", "size", "component_id")
-    return marked.join(found, ["fp", "size"]).select("doc_id", "component_id")
+    found = of.join(least, "root").select("key", "component_id")
+    return marked.select("doc_id", "key").join(found, "key").select("doc_id", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, shard: int = SHARD) -> DataFrame:
