@@ -7,8 +7,9 @@ The posterior of a language is the product of
 * a prior of its host, smoothed towards its domain, and that towards the whole corpus.
 
 The last three come from grouped sums of text posteriors over all rows; a row's own part is
-taken out of what it is judged by.  The trigram model is fitted on the driver on at most TRAIN_ROWS labelled rows of
-at most TRAIN_CHARS characters each (chosen by the hash of their id); all else covers every row and whole texts.
+taken out of what it is judged by.  The trigram model is fitted on the driver on at most LABEL_ROWS rows of each label (those whose ids have the smallest hashes), of
+each its first TRAIN_CHARS characters; all else covers every row and whole texts.  A label is a language of the model if
+LEAST_ROWS rows of the whole table have it, however many rows others have.
 
 A row is rejected if its text has no letters, if no language explains its letters (its mean
 log-likelihood lies well below that of every training row), if its posterior is under MIN_POSTERIOR, or
@@ -17,7 +18,8 @@ if its language isn't wanted.
 Defined cases
 * null text counts as empty: language `und`, rejected.  Null host, suffix, domain or label: a value of its own.
 * Repeated rows and ties: each row is judged by itself; of languages with equal posteriors the
-  first in order is taken.  Without any labelled row every language is `und`.
+  first in order is taken.  A label of fewer than LEAST_ROWS rows is no language of the model: its rows get the nearest language
+  or `und`.  Without any label of so many rows every language is `und`.  A row without an id isn't trained on.
 * An empty table gives an empty table.  Extra columns are not read by `identify`; `keep` passes them on.
 """
 
@@ -27,12 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, materialize, table, without_ids
 
-TRAIN_ROWS, TRAIN_CHARS, LEAST_ROWS = 3000, 20_000, 15
+LABEL_ROWS, TRAIN_CHARS, LEAST_ROWS = 500, 20_000, 15
 BUCKETS = 1 << 15
 MIN_POSTERIOR = 0.5
 #: Nats a trigram under the worst training row, and the trigrams that a text needs to be called unexplained.
@@ -55,16 +57,18 @@ class Model:
     """languages; logs[bucket, language]; least, the mean log-likelihood that a text of a known language reaches."""
 
     def __init__(self, rows: list[tuple[str, bytes]]):
-        labels = [x for x, _ in rows]
-        self.languages = sorted(x for x in set(labels) if labels.count(x) >= LEAST_ROWS)
-        place = {x: i for i, x in enumerate(self.languages)}
+        self.languages = sorted({x for x, _ in rows})
+        texts: dict[str, list[bytes]] = {x: [] for x in self.languages}
+        for x, t in rows:
+            texts[x].append(t)
         counts = np.zeros((BUCKETS, len(self.languages)))
-        known = [(place[x], t) for x, t in rows if x in place]
-        for x, t in known[::2]:
-            for g in trigrams(t):
-                counts[:, x] += np.bincount(g, minlength=BUCKETS)
+        # Of each language every other text is counted; the rest tell how well a known language fits.
+        for i, x in enumerate(self.languages):
+            for t in texts[x][::2]:
+                for g in trigrams(t):
+                    counts[:, i] += np.bincount(g, minlength=BUCKETS)
         self.logs = np.log((counts + 0.1) / (counts.sum(0) + 0.1 * BUCKETS)).astype(np.float32)
-        means = [s.max() / n for s, n in (self.score(t) for _, t in known[1::2]) if n >= 30]
+        means = [s.max() / n for s, n in (self.score(t) for x in self.languages for t in texts[x][1::2]) if n >= 30]
         self.least = float(min(means)) - FIT_MARGIN if means else -np.inf
 
     def score(self, text: bytes) -> tuple[np.ndarray, int]:
@@ -75,12 +79,15 @@ class Model:
         return total, n
 
 
-def fit(docs: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
-    """The rows are chosen by their ids alone, as each task sends its best to the driver; only the chosen texts follow."""
-    fit_for = docs.where(F.col(label).isNotNull() & (F.length(text) <= TRAIN_CHARS))
-    chosen = fit_for.select(F.xxhash64(F.lit("language"), id_col).alias("_h"), F.col(id_col).alias("_id")).orderBy("_h", "_id").limit(rows).select("_id").distinct()
-    sample = fit_for.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"), "left_semi").select(label, text).limit(2 * rows)
-    return Model(sorted((r[0], r[1].encode()) for r in sample.collect()))
+def fit(docs: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", rows: int = LABEL_ROWS) -> Model:
+    """The rows of a label are chosen by their ids alone, as each task sends on its best of each label; only the chosen texts follow."""
+    d = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(label).alias("_label"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    enough = d.groupBy("_label").count().where(F.col("count") >= LEAST_ROWS).select("_label")
+    best = Window.partitionBy("_label").orderBy("_h", "_id")
+    chosen = d.join(F.broadcast(enough), "_label", "left_semi").select("_label", "_id", F.xxhash64(F.lit("language"), "_id").alias("_h"))
+    chosen = chosen.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= rows).select("_label", "_id").distinct()
+    sample = d.join(F.broadcast(chosen), ["_label", "_id"], "left_semi").groupBy("_label", "_id").agg(F.min(F.substring("_text", 1, TRAIN_CHARS)).alias("_text"))
+    return Model(sorted((r["_label"], r["_text"].encode()) for r in sample.collect()))
 
 
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
