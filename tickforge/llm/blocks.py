@@ -1,15 +1,18 @@
-"""HTML pages as sequences of leaf blocks: text with the path of tags above it."""
+"""HTML pages as sequences of leaf blocks: text with the hashed path of all tags above it."""
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
+
+import numpy as np
 
 #: Elements of running text, which don't end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Elements whose content is never text of the page.
-SKIPPED = "script style noscript template svg iframe head title"
+#: Elements whose content is never text of the page.  Those of a head are left out singly, as it ends at the first tag or text that can't stand in it.
+SKIPPED = "script style noscript template svg iframe title"
 #: A start tag of the second kind closes an open element of the first.
 CLOSES = {"li": ("li", "p"), "p": ("p",), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "tr": ("td", "th", "tr", "p"), "option": ("option",), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p")}
 
@@ -25,35 +28,52 @@ _PIECE = re.compile(
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _WHITE = re.compile(r"[\x20\x09-\x0d]+")
-DEEPEST = 12
+N_PATH = 96
+_tokens: dict[tuple[str, ...], np.ndarray] = {}
 
 
 class Block:
     __slots__ = ("link_chars", "path", "text")
 
-    def __init__(self, text: str, path: tuple[str, ...], link_chars: int):
+    def __init__(self, text: str, path: np.ndarray, link_chars: int):
         self.text, self.path, self.link_chars = text, path, link_chars
 
 
+def path_vector(tokens: tuple[str, ...]) -> np.ndarray:
+    """The signed sum of hashed places of an element's tokens.  Remembered for the elements seen first."""
+    v = _tokens.get(tokens)
+    if v is None:
+        v = np.zeros(N_PATH, np.float32)
+        for token in tokens:
+            h = zlib.crc32(token.encode())
+            v[h % N_PATH] += 1.0 if h >> 16 & 1 else -1.0
+        if len(_tokens) < 100_000:
+            _tokens[tokens] = v
+    return v
+
+
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order.  Element names and the words of class, id and role make the path."""
+    """The blocks of a page in order.  Element names and the words of class, id and role make the path, the sum of its elements' vectors."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     opened: dict[str, int] = {}
     parts: list[str] = []
     links, in_link = 0, 0
+    path = np.zeros(N_PATH, np.float32)
 
     def end() -> None:
         nonlocal links
         text = _WHITE.sub(" ", html.unescape("".join(parts))).strip(" ")
         if text:
-            out.append(Block(text, tuple(x for _, tokens in stack[-DEEPEST:] for x in tokens), links))
+            out.append(Block(text, path.copy(), links))
         parts.clear()
         links = 0
 
     def pop() -> None:
-        name, _ = stack.pop()
+        nonlocal path
+        name, tokens = stack.pop()
         opened[name] -= 1
+        path -= path_vector(tokens)
 
     for m in _PIECE.finditer(page):
         if (text := m["text"]) is not None:
@@ -77,7 +97,7 @@ def blocks(page: str) -> list[Block]:
                         pop()
                     pop()
                 continue
-            if tag in VOID:
+            if tag in VOID or tag == "head":
                 continue
             if tag not in CLOSES:
                 while stack and stack[-1][0] == "p":
@@ -88,5 +108,6 @@ def blocks(page: str) -> list[Block]:
             named = [t for g in _NAMED.findall(m["rest"]) for x in g if x for t in _TOKEN.findall(x.lower())] if m["rest"] else []
             stack.append((tag, (f"<{tag}>", *named)))
             opened[tag] = opened.get(tag, 0) + 1
+            path += path_vector(stack[-1][1])
     end()
     return out

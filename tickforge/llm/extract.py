@@ -8,7 +8,7 @@ text of the corpus, so it behaves alike at every size.
 
 Defined cases
 * null or empty html: an empty text.  A page without main blocks: an empty text.
-* Whole pages are read; a page of more blocks than SEQUENCE is labelled in overlapping stretches, none is left out.
+* Whole pages are read, whatever their length: the recurrence goes through all blocks of a page in both directions.
 * Broken markup: unclosed elements end where HTML ends them; what isn't a tag is text.
 * Repeated rows and ties: each row is worked on by itself; a probability of one half is main text.
 * An empty table gives an empty table.  Extra columns pass through; `main_text` replaces its namesake.
@@ -17,7 +17,6 @@ Defined cases
 from __future__ import annotations
 
 import random
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,31 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import Block, blocks
+from .blocks import N_PATH, Block, blocks
 from .common import arrow_batches, table
 from .lstm import BiLSTM
 from .textbytes import word_hashes
 
 TRAIN_PAGES, SEED = 1200, 11
-N_PATH, N_WORDS, N_PLAIN = 96, 32, 5
-#: Blocks that the recurrence reads at once, and those read more on either side of a stretch.
-SEQUENCE, MARGIN = 512, 64
+N_WORDS, N_PLAIN = 32, 5
 
 _FOLD = bytes(b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-_paths: dict[tuple[str, ...], np.ndarray] = {}
-
-
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """The signed sum of hashed places; the nearest element also by itself.  Remembered for the paths seen first."""
-    v = _paths.get(path)
-    if v is None:
-        v = np.zeros(N_PATH, np.float32)
-        for token in path:
-            h = zlib.crc32(token.encode())
-            v[h % N_PATH] += 1.0 if h >> 16 & 1 else -1.0
-        if len(_paths) < 100_000:
-            _paths[path] = v
-    return v
 
 
 def vectors(bs: list[Block]) -> np.ndarray:
@@ -65,7 +48,7 @@ def vectors(bs: list[Block]) -> np.ndarray:
         words += own
         count.append(len(own))
     count = np.array(count)
-    out[:, :N_PATH] = [path_vector(b.path) for b in bs]
+    out[:, :N_PATH] = [b.path for b in bs]
     if words:
         h = word_hashes(words)
         place = np.repeat(np.arange(n), count) * N_WORDS + (h % np.uint64(N_WORDS)).astype(np.int64)
@@ -104,23 +87,16 @@ class Labeller:
 
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """For each page the probabilities of its blocks."""
-        stretches: list[tuple[int, int, int, int]] = []  # page, first and last block read, first block kept
-        for k, bs in enumerate(pages):
-            for keep in range(0, len(bs), SEQUENCE):
-                stretches.append((k, max(0, keep - MARGIN), min(len(bs), keep + SEQUENCE + MARGIN), keep))
-        out, rows = [np.zeros(len(bs), np.float32) for bs in pages], [vectors(bs) for bs in pages]
-        stretches.sort(key=lambda s: s[2] - s[1])
-        i = 0
-        while i < len(stretches):
+        out, order, i = [np.zeros(len(bs), np.float32) for bs in pages], sorted((k for k, bs in enumerate(pages) if bs), key=lambda k: len(pages[k])), 0
+        while i < len(order):
             j = i
-            while j < len(stretches) and (j - i + 1) * (stretches[j][2] - stretches[j][1]) <= 20_000 and j - i < 256:
+            while j < len(order) and (j - i + 1) * len(pages[order[j]]) <= 20_000 and j - i < 256:
                 j += 1
-            part = stretches[i : max(j, i + 1)]
-            x, mask, _ = self._pad([rows[k][a:b] for k, a, b, _ in part])
+            part = order[i : max(j, i + 1)]
+            x, mask, _ = self._pad([vectors(pages[k]) for k in part])
             p = self.net.predict(x, mask)
-            for n, (k, a, b, keep) in enumerate(part):
-                end = min(keep + SEQUENCE, b)
-                out[k][keep:end] = p[keep - a : end - a, n]
+            for n, k in enumerate(part):
+                out[k][:] = p[: len(pages[k]), n]
             i += len(part)
         return out
 

@@ -28,10 +28,12 @@ class BiLSTM:
         self.p["o"] = (r.normal(size=2 * n_hidden) / np.sqrt(2 * n_hidden)).astype(np.float32)
         self.p["z"] = np.zeros(1, np.float32)
 
-    def _pass(self, x: np.ndarray, mask: np.ndarray, side: str) -> tuple[np.ndarray, list]:
+    def _pass(self, x: np.ndarray, mask: np.ndarray, side: str, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list, tuple[np.ndarray, np.ndarray]]:
+        """Outputs, what training needs of each step, and the state after the last; state is that before the first."""
         n, (t, b) = self.h, mask.shape
         gates = x @ self.p[f"x{side}"] + self.p[f"c{side}"]
-        h, c, out, kept = np.zeros((b, n), np.float32), np.zeros((b, n), np.float32), np.zeros((t, b, n), np.float32), []
+        h, c = state or (np.zeros((b, n), np.float32), np.zeros((b, n), np.float32))
+        out, kept = np.zeros((t, b, n), np.float32), []
         for k in range(t):
             a = gates[k] + h @ self.p[f"h{side}"]
             s = _sigmoid(a[:, : 3 * n])
@@ -43,7 +45,7 @@ class BiLSTM:
             c = m * new + (1 - m) * c
             h = m * (o * squashed) + (1 - m) * h
             out[k] = h
-        return out, kept
+        return out, kept, (h, c)
 
     def _back(self, x: np.ndarray, kept: list, dout: np.ndarray, side: str, grads: dict) -> None:
         t = len(kept)
@@ -65,12 +67,23 @@ class BiLSTM:
         grads[f"c{side}"] = flat.sum(0)
 
     def states(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list, list]:
-        f, kept_f = self._pass(x, mask, "f")
-        b, kept_b = self._pass(x[::-1], mask[::-1], "b")
+        f, kept_f, _ = self._pass(x, mask, "f")
+        b, kept_b, _ = self._pass(x[::-1], mask[::-1], "b")
         return np.concatenate([f, b[::-1]], axis=2), kept_f, kept_b
 
-    def predict(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.states(x, mask)[0] @ self.p["o"] + self.p["z"])
+    def predict(self, x: np.ndarray, mask: np.ndarray, steps: int = 512) -> np.ndarray:
+        """Some steps at a time, so that little is held; each direction goes on with the state that it had."""
+        total = np.zeros(mask.shape, np.float32)
+        parts = [slice(k, k + steps) for k in range(0, len(mask), steps)]
+        state = None
+        for part in parts:
+            out, _, state = self._pass(x[part], mask[part], "f", state)
+            total[part] += out @ self.p["o"][: self.h]
+        state = None
+        for part in reversed(parts):
+            out, _, state = self._pass(x[part][::-1], mask[part][::-1], "b", state)
+            total[part] += out[::-1] @ self.p["o"][self.h :]
+        return _sigmoid(total + self.p["z"])
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         both, kept_f, kept_b = self.states(x, mask)
