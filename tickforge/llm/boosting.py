@@ -82,8 +82,8 @@ class BoostedTrees:
 
 
 def threshold(p: np.ndarray, y: np.ndarray, precision: float = 0.98) -> float:
-    """The lowest calibrated probability from which on at least this share of held-out rows is positive."""
+    """The lowest calibrated probability, of a half or more, from which on at least this share of held-out rows is positive."""
     order = np.argsort(-p, kind="stable")
     share = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
     last = np.flatnonzero((share >= precision) & np.append(p[order][1:] < p[order][:-1], True))
-    return float(p[order][last[-1]]) if len(last) else 0.5
+    return max(0.5, float(p[order][last[-1]])) if len(last) else 0.5

@@ -21,10 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession, rows: int = 400, size: int = 8 << 20) -> None:
-    """Keep what one Python worker holds small: texts may be long, so batches have few rows and few bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+#: Bytes of a batch that a Python worker gets at once; a longer row is a batch by itself.
+BATCH_BYTES = 8 << 20
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds by bytes, as texts may be long.
+
+    It is the one session setting of this package, always of the same value, and only lowers what is set: plans that run
+    later can't be changed by another operator.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def drop_scratch(df: DataFrame) -> None:

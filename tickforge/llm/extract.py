@@ -219,7 +219,7 @@ class Layout:
 
 def extract(pages: DataFrame, html_col: str = "html", labeller: Labeller | None = None) -> DataFrame:
     """pages with main_text, an empty string if there is none."""
-    arrow_batches(pages.sparkSession, rows=200)
+    arrow_batches(pages.sparkSession)
     pages = pages.drop("main_text")
     model = pages.sparkSession.sparkContext.broadcast(labeller or Labeller())
     at, names = pages.columns.index(html_col), [*pages.columns, "main_text"]
