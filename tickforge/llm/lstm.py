@@ -15,7 +15,7 @@ class BiLSTM:
     Padding keeps the state, so both directions see only the true steps.
     """
 
-    def __init__(self, n_in: int, n_hidden: int = 20, seed: int = 5):
+    def __init__(self, n_in: int, n_hidden: int = 24, seed: int = 5):
         r = np.random.default_rng(seed)
         self.h = n_hidden
         self.p: dict[str, np.ndarray] = {}
@@ -97,7 +97,7 @@ class BiLSTM:
         self._back(x[::-1], kept_b, dboth[::-1, :, self.h :], "b", grads)
         return loss, grads
 
-    def fit(self, batches: list[tuple[np.ndarray, np.ndarray, np.ndarray]], epochs: int = 5, rate: float = 0.01) -> BiLSTM:
+    def fit(self, batches: list[tuple[np.ndarray, np.ndarray, np.ndarray]], epochs: int = 5, rate: float = 0.012) -> BiLSTM:
         """Adam over (x, mask, y) batches."""
         m, v, step = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
         for epoch in range(epochs):
