@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.sources.scratch import folder as scratch
+from tickforge.sources.scratch import delete, fresh
 from tickforge.sources.scratch import written as materialize
 
 #: The white space of every contract in this package: space and U+0009 to U+000D.
@@ -14,7 +14,7 @@ SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
-__all__ = ["SPACE", "SPACES", "WORD", "arrow_batches", "drop_scratch", "let", "materialize", "scratch", "table", "without_ids", "words_of"]
+__all__ = ["SPACE", "SPACES", "WORD", "arrow_batches", "drop_scratch", "fresh", "let", "materialize", "table", "without_ids", "words_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +39,7 @@ def arrow_batches(spark: SparkSession) -> None:
 
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files of a materialized frame that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    delete(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
 
 
 #: Identifiers up to this number (a few MB) are broadcast; more are joined by shuffle.

@@ -8,15 +8,19 @@ The posterior of a language is the product of
 
 The last three come from grouped sums of text posteriors over all rows; a row's own part is
 taken out of what it is judged by.  The trigram model is fitted on the driver on at most LABEL_ROWS rows of each label (those whose ids have the smallest hashes), of
-each its first TRAIN_CHARS characters; all else covers every row and whole texts.  A label is a language of the model if
-LEAST_ROWS rows of the whole table have it, however many rows others have.
+each a span of at most TRAIN_CHARS characters at a place that its hash chooses; all else covers every row and whole texts.  It is fitted in two halves, by a hash of the
+id, and a row is scored with the half that rows like it had no part in: so a row's declared label never stands behind its text's likelihood as well.
+A label is a language of the model if LEAST_ROWS rows of the whole table have it, however many rows others have; more than MOST_LANGUAGES are refused with an error.
+
+Sums of the groups come from one table of all combinations of label, suffix, domain and host; each level's is broadcast up to BROADCAST_VALUES
+numbers, and joined by shuffle beyond, where adaptive execution splits a hot host.
 
 A row is rejected if its text has no letters, if no language explains its letters (its mean
 log-likelihood lies well below that of every training row), if its posterior is under MIN_POSTERIOR, or
 if its language isn't wanted.
 
 Defined cases
-* null text counts as empty: language `und`, rejected.  Null host, suffix, domain or label: a value of its own.
+* null text counts as empty: language `und`, rejected.  Long texts are read whole, a block of words at a time.  Null host, suffix, domain or label: a value of its own.
 * Repeated rows and ties: each row is judged by itself; of languages with equal posteriors the
   first in order is taken.  A label of fewer than LEAST_ROWS rows is no language of the model: its rows get the nearest language
   or `und`.  Without any label of so many rows every language is `und`.  A row without an id isn't trained on.
@@ -34,7 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches, materialize, table, without_ids
 
-LABEL_ROWS, TRAIN_CHARS, LEAST_ROWS = 500, 20_000, 15
+LABEL_ROWS, TRAIN_CHARS, LEAST_ROWS, MOST_LANGUAGES = 500, 20_000, 15, 1000
+BROADCAST_VALUES = 1_000_000
 BUCKETS = 1 << 15
 MIN_POSTERIOR = 0.5
 #: Nats a trigram under the worst training row, and the trigrams that a text needs to be called unexplained.
@@ -54,56 +59,63 @@ def trigrams(text: bytes) -> Iterator[np.ndarray]:
 
 
 class Model:
-    """languages; logs[bucket, language]; least, the mean log-likelihood that a text of a known language reaches."""
-
-    def __init__(self, rows: list[tuple[str, bytes]]):
-        self.languages = sorted({x for x, _ in rows})
-        texts: dict[str, list[bytes]] = {x: [] for x in self.languages}
-        for x, t in rows:
-            texts[x].append(t)
-        counts = np.zeros((BUCKETS, len(self.languages)))
-        # Of each language every other text is counted; the rest tell how well a known language fits.
-        for i, x in enumerate(self.languages):
-            for t in texts[x][::2]:
-                for g in trigrams(t):
-                    counts[:, i] += np.bincount(g, minlength=BUCKETS)
-        self.logs = np.log((counts + 0.1) / (counts.sum(0) + 0.1 * BUCKETS)).astype(np.float32)
-        means = [s.max() / n for s, n in (self.score(t) for x in self.languages for t in texts[x][1::2]) if n >= 30]
+    """languages; logs[half][bucket, language]; least, the mean log-likelihood that a text of a known language reaches.
+
+    rows are (label, half, text).  logs[half] is counted on the rows of the other half, but for a language that has none there, which is counted on its own.
+    """
+
+    def __init__(self, rows: list[tuple[str, int, bytes]]):
+        self.languages = sorted({x for x, _, _ in rows})
+        counts = np.zeros((2, BUCKETS, len(self.languages)))
+        place = {x: i for i, x in enumerate(self.languages)}
+        for x, half, t in rows:
+            for g in trigrams(t):
+                counts[1 - half, :, place[x]] += np.bincount(g, minlength=BUCKETS)
+        counts = np.where(counts.sum(1, keepdims=True) > 0, counts, counts[::-1])
+        self.logs = np.log((counts + 0.1) / (counts.sum(1, keepdims=True) + 0.1 * BUCKETS)).astype(np.float32)
+        means = [s.max() / n for s, n in (self.score(t, half) for _, half, t in rows) if n >= 30]
         self.least = float(min(means)) - FIT_MARGIN if means else -np.inf
 
-    def score(self, text: bytes) -> tuple[np.ndarray, int]:
+    def score(self, text: bytes, half: int) -> tuple[np.ndarray, int]:
         total, n = np.zeros(len(self.languages)), 0
         for g in trigrams(text):
-            total += self.logs[g].sum(0, dtype=np.float64)
+            total += self.logs[half][g].sum(0, dtype=np.float64)
             n += len(g)
         return total, n
 
 
+def half_of(id_: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("half"), id_), F.lit(2)).cast("int")
+
+
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", rows: int = LABEL_ROWS) -> Model:
     """The rows of a label are chosen by their ids alone, as each task sends on its best of each label; only the chosen texts follow."""
     d = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(label).alias("_label"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    enough = d.groupBy("_label").count().where(F.col("count") >= LEAST_ROWS).select("_label")
+    enough = d.groupBy("_label").count().where(F.col("count") >= LEAST_ROWS).select("_label").limit(MOST_LANGUAGES + 1).collect()
+    if len(enough) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} labels have {LEAST_ROWS} rows: is {label} a language?")
     best = Window.partitionBy("_label").orderBy("_h", "_id")
-    chosen = d.join(F.broadcast(enough), "_label", "left_semi").select("_label", "_id", F.xxhash64(F.lit("language"), "_id").alias("_h"))
+    chosen = d.where(F.col("_label").isin([r["_label"] for r in enough])).select("_label", "_id", F.xxhash64(F.lit("language"), "_id").alias("_h"))
     chosen = chosen.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= rows).select("_label", "_id").distinct()
-    sample = d.join(F.broadcast(chosen), ["_label", "_id"], "left_semi").groupBy("_label", "_id").agg(F.min(F.substring("_text", 1, TRAIN_CHARS)).alias("_text"))
-    return Model(sorted((r["_label"], r["_text"].encode()) for r in sample.collect()))
+    span = F.substr("_text", (F.lit(1) + F.pmod(F.xxhash64(F.lit("span"), "_id"), F.greatest(F.lit(1), F.length("_text") - TRAIN_CHARS + 1))).cast("int"), F.lit(TRAIN_CHARS))
+    sample = d.join(F.broadcast(chosen), ["_label", "_id"], "left_semi").groupBy("_label", "_id").agg(F.min(span).alias("_text"))
+    return Model(sorted((r["_label"], r["_half"], r["_text"].encode()) for r in sample.withColumn("_half", half_of(F.col("_id"))).collect()))
 
 
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
     """docs (id, text, declared, suffix, domain, host) without text, with n trigrams, mean, and the tempered log-likelihoods ev."""
     arrow_batches(docs.sparkSession)
     own = docs.sparkSession.sparkContext.broadcast(model)
-    d = docs.select("id", "declared", "suffix", "domain", "host", "text")
-    names = [*d.columns[:-1], "n", "mean", "ev"]
+    d = docs.select("id", "declared", "suffix", "domain", "host", "text", half_of(F.col("id")).alias("half"))
+    names = [*d.columns[:5], "n", "mean", "ev"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = [own.value.score(x or b"") for x in b.column(5).cast(pa.large_binary()).to_pylist()]
+            scores = [own.value.score(x or b"", half) for x, half in zip(b.column(5).cast(pa.large_binary()).to_pylist(), b.column(6).to_pylist(), strict=True)]
             mean = [float(s.max() / n) if n and len(s) else None for s, n in scores]
             # Trigrams overlap and repeat: n of them weigh as 2 * sqrt(n).
             ev = [((s - s.max()) * (2 / np.sqrt(n))).tolist() if n and len(s) else [0.0] * len(s) for s, n in scores]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([n for _, n in scores], pa.int64()), pa.array(mean, pa.float64()), pa.array(ev, pa.list_(pa.float64()))], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array([n for _, n in scores], pa.int64()), pa.array(mean, pa.float64()), pa.array(ev, pa.list_(pa.float64()))], names=names)
 
     kind = d.schema["id"].dataType.simpleString()
     return d.mapInArrow(run, f"id {kind}, declared string, suffix string, domain string, host string, n long, mean double, ev array<double>")
@@ -118,15 +130,18 @@ def fuse(ev: DataFrame, model: Model, min_posterior: float = MIN_POSTERIOR, want
     raw = [F.when(F.col("n") > 0, F.exp(F.col("ev")[i])).otherwise(F.lit(0.0)) for i in m]
     sum_of = lambda x: sum(x[1:], x[0])
     p = ev.select("*", *(F.coalesce(F.try_divide(raw[i], sum_of(raw)), F.lit(0.0)).alias(f"p{i}") for i in m))
-    sums = lambda x: [F.sum(f"p{i}").alias(f"{x}{i}") for i in m]
-    whole = p.agg(*sums("g")).first()
+    cells = materialize(p.groupBy("declared", "suffix", "domain", "host").agg(*(F.sum(f"p{i}").alias(f"c{i}") for i in m)), "language-cells")
+    sums = lambda x: [F.sum(f"c{i}").alias(f"{x}{i}") for i in m]
+    whole = cells.agg(*sums("g")).first()
     g = [float(whole[i] or 0.0) + 1.0 for i in m]
     share = [x / sum(g) for x in g]
-    d = p
+    d, n_values = p, {}
     for level in ("declared", "suffix", "domain", "host"):
-        by = p.groupBy(F.col(level).alias(f"_{level}")).agg(*sums(level[:3]))
+        by = materialize(cells.groupBy(F.col(level).alias(f"_{level}")).agg(*sums(level[:3])), f"language-{level}")
+        n_values[level] = max(1, by.where(F.col(f"_{level}").isNotNull()).count())
+        if n_values[level] * (len(names) + 2) <= BROADCAST_VALUES:
+            by = F.broadcast(by)
         d = d.join(by, F.col(level).eqNullSafe(F.col(f"_{level}")), "left").drop(f"_{level}")
-    n_values = {level: max(1, p.agg(F.approx_count_distinct(level)).first()[0]) for level in ("declared", "suffix")}
 
     def rest(level: str, i: int) -> Column:
         """The sum of a group without the row's own part."""

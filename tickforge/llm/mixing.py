@@ -9,7 +9,8 @@ Defined cases
 * Repeated rows: each is counted and emitted; rows with equal id and text share one draw.
 * Ties: sources are ordered by code point, so there are none.
 * A source without words has target 0 and rate 0.  An empty table gives an empty table.
-* Extra columns pass through `mix`; internal names start with `_mix_`.
+* Whole texts are counted, in the JVM, whatever their length.
+* Extra columns pass through `mix` and `emit`; internal names start with `_mix_`, and a `copy_no` that is there already stays.
 """
 
 from __future__ import annotations
@@ -70,9 +71,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0,
     return joined.withColumn("_mix_copies", copies_of(F.col(id_col), F.col(text_col), rate, seed))
 
 
+def copy_column(columns: Sequence[str], name: str = "copy_no") -> str:
+    """The name, or where a column has it already, the name with the next free number."""
+    n, out = 1, name
+    while out in columns:
+        n += 1
+        out = f"{name}_{n}"
+    return out
+
+
 def emit(mixed: DataFrame) -> DataFrame:
-    """One row a copy, with copy_no from 1; the working columns go."""
-    out = mixed.where(F.col("_mix_copies") > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))))
+    """One row a copy, with copy_no (copy_no_2 and so on where the name is taken) from 1; the working columns go."""
+    name = copy_column(mixed.columns)
+    out = mixed.where(F.col("_mix_copies") > 0).withColumn(name, F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))))
     return out.drop("_mix_size", "_mix_source_size", "_mix_target", "_mix_copies")
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, scratch, table
+from .common import arrow_batches, fresh, table
 
 CHUNK = 256 << 10
 #: Records a file: at most this times CHUNK bytes unpacked, though most are far shorter.
@@ -178,7 +178,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
-    path = f"{scratch(spark)}/warc-{spark.sql('SELECT uuid()').first()[0]}"
+    path = fresh(spark, "warc")
     write_archives(assign(table(spark, sf_dir, "pages")), path)
     return read_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
