@@ -90,9 +90,21 @@ def test_quality_base_rules(spark, docs, none):
 def test_frequent_lines_deplete(spark):
     boiler = "Buy now 12 things from us today\n" * 1
     rows = [(i, boiler + prose(30), "h") for i in range(30)] + [(50, boiler + "little of its own " + boiler * 3, "h"), (51, prose(30), "h"), (51, prose(30), "h")]
+    copy = "Lines of a text that is copied\n" + prose(30)
+    rows += [(100 + i, copy, "h") for i in range(40)] + [(200 + i, "In twenty only\n" + prose(30), "g") for i in range(20)] + [(300 + i, "Without a host\n" + prose(5), None) for i in range(21)]
     d = spark.createDataFrame([(i, t + (" x" * 30 if i == 50 else ""), s) for i, t, s in rows], "doc_id long, text string, source string")
     got = {r["doc_id"]: r for r in quality.quality(d).collect()}
     assert got[0]["lost_words"] == 7 and got[0]["kept"] and got[51]["lost_words"] == 0 and got[50]["lost_words"] == 21
+    assert all(got[i]["lost_words"] == 0 for i in [*range(100, 140), *range(200, 220)]) and all(got[300 + i]["lost_words"] == 3 for i in range(21))
+    few = {r["doc_id"]: r for r in quality.quality(d.where("doc_id <= 50"), max_docs=5, min_left=0.9).collect()}
+    assert not few[0]["kept"] and not few[0]["base_failed"]  # 7 of 37 words go
+
+
+def test_a_long_text_that_repeats_itself(spark):
+    words = [f"w{i}" for i in range(60_000)] * 2 + ["end"]
+    d = spark.createDataFrame([(1, " ".join(words), "h")], "doc_id long, text string, source string")
+    r = quality.quality(d).first()
+    assert (r["n_words"], r["n_repeat_words"], r["base_failed"]) == (120_001, 120_000, True)
 
 
 # --- 7 chat

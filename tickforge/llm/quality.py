@@ -1,14 +1,17 @@
 """Quality rules (native): cross-document line frequency beside per-document base rules.
 
 Lines are normalised (trimmed, lower case, runs of white space to one space, digits to 0) and
-hashed; the distinct documents of a line are counted per host.  A line in more than `max_docs`
-documents and more than `max_share` of its host's documents is boilerplate and is removed; a
+hashed; the distinct documents of a line are counted per host, rows of equal text being one document.  A line in more than
+`max_docs` documents of its host is boilerplate, whatever the host's size, and is removed; a
 document that keeps less than `min_left` of its words is depleted and is rejected.
 
+Texts are read once: the base figures of a row and the hashes of its lines are written, and all that follows reads these.
+
 Defined cases
 * null text: no words, so base_failed; a null host is a host of its own, a null id an id.
-* Repeated rows: equal rows get equal results, as their lost lines are counted once; rows that
-  share an id count as one document of the host.
+* Repeated rows: equal rows get equal results, and count as one document of the host, as do other rows of equal text.
+* Very long texts: whole; a task holds the words of a row and the hashes of its windows, not the windows.
+  Windows of equal 64-bit hash are compared word by word with their neighbour in the order of hashes.
 * A document without words fails the base rules.  An empty table gives an empty table; extra
   columns are not read.
 """
@@ -18,33 +21,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACES, let, table, words_of
+from .common import BROADCAST_IDS, SPACE, SPACES, let, materialize, table, words_of
 
 WINDOW = 8
 MAX_DOCS = 20
-MAX_SHARE = 0.3
 MIN_LEFT = 0.5
 
 
 def repeat_words(words: Column, window: int = WINDOW) -> Column:
     """Words that lie in a window of `window` words which the text has twice or more."""
-    starts = lambda w: F.sequence(F.lit(1), F.size(w) - window + 1)
-    hashed = lambda w: F.transform(starts(w), lambda i: F.xxhash64(F.slice(w, i, window)))
-    exact = lambda w: F.transform(starts(w), lambda i: F.struct(F.concat_ws(" ", F.slice(w, i, window)).alias("k"), i.alias("i")))
-
-    def covered(sorted_windows: Column) -> Column:
-        n = F.size(sorted_windows)
-        same = lambda x, j: (j >= 0) & (j < n) & (F.get(sorted_windows, j)["k"] == x["k"])
-        twice = F.filter(sorted_windows, lambda x, j: F.coalesce(same(x, j - 1), F.lit(False)) | F.coalesce(same(x, j + 1), F.lit(False)))
+    hashed = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - window + 1), lambda i: F.xxhash64(F.slice(w, i, window)))
+
+    def covered(w: Column, by_hash: Column) -> Column:
+        n = F.size(by_hash)
+
+        def same(x: Column, j: Column) -> Column:
+            other = F.get(by_hash, j)
+            return F.when((j >= 0) & (j < n), (other["h"] == x["h"]) & (F.slice(w, other["i"], window) == F.slice(w, x["i"], window))).otherwise(F.lit(False))
+
+        twice = F.filter(by_hash, lambda x, j: same(x, j - 1) | same(x, j + 1))
         starts_at = F.sort_array(F.transform(twice, lambda x: x["i"]))
         # Each window adds what the one before it doesn't cover.
         begin = F.struct(F.lit(-window).alias("last"), F.lit(0).alias("n"))
         step = lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(window), i - a["last"])).alias("n"))
         return F.aggregate(starts_at, begin, step)["n"]
 
-    # Equal hashes decide which texts need the exact count; most have none.
-    some = lambda w: let(hashed(w), lambda h: F.size(F.array_distinct(h)) < F.size(h))
-    return F.when(F.size(words) <= window, F.lit(0)).when(some(words), let(F.sort_array(exact(words)), covered)).otherwise(F.lit(0)).cast("long")
+    def counted(w: Column, h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, j: F.struct(x.alias("h"), (j + 1).alias("i"))))
+        # Most texts have no hash twice.
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), let(pairs, lambda p: covered(w, p))).otherwise(F.lit(0))
+
+    return F.when(F.size(words) <= window, F.lit(0)).otherwise(let(words, lambda w: let(hashed(w), lambda h: counted(w, h)))).cast("long")
+
+
+def line_hashes(text: Column) -> Column:
+    """Of each line with a word, in order: the hash of its normal form and its number of words."""
+    normal = lambda x: F.regexp_replace(F.regexp_replace(F.lower(F.trim(x, F.lit(SPACE))), SPACES, " "), "[0-9]", "0")
+    lines = F.filter(F.transform(F.split(text, "\n"), normal), lambda x: x != "")
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).cast("long").alias("n")))
 
 
 def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -66,49 +80,33 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return d.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def document_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, host, text_key, at, line, n): of each line its place, hash and words.
-
-    text_key tells rows of one id with different texts apart.
-    """
-    normal = lambda x: F.regexp_replace(F.regexp_replace(F.lower(F.trim(x, F.lit(SPACE))), SPACES, " "), "[0-9]", "0")
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), normal), lambda x: x != "")
-    pairs = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).cast("long").alias("n")))
-    d = docs.select("doc_id", "host", F.xxhash64("text").alias("text_key"), F.posexplode(pairs).alias("at", "p"))
-    return d.select("doc_id", "host", "text_key", "at", "p.line", "p.n")
+def sized(df: DataFrame) -> DataFrame:
+    """A written frame, broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def line_frequency(lines: DataFrame, docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, line) of the lines above the limits.
+def frequent_lines(base: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(f_host, f_line) of the lines above the limit, from (host, text_key, lines).
 
-    A document counts once a line: rows are first made distinct, which spreads even the
-    commonest line over all tasks, and then counted with partial sums.
+    Rows are first made distinct, which spreads even the commonest line over all tasks, and then counted with partial sums.
     """
-    per_line = lines.select("host", "line", "doc_id").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_docs)
-    per_host = docs.select("host", "doc_id").distinct().groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("host_docs"))
-    both = per_line.join(per_host, F.col("host").eqNullSafe(F.col("h")))
-    return both.where(F.col("n_docs") > max_share * F.col("host_docs")).select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
+    once = base.select("host", "text_key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).distinct()
+    per_line = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_docs)
+    return per_line.select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
 
 
-def lost_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(l_id, l_host, l_key, lost): documents that lose lines, with the words lost."""
-    lines = document_lines(docs)
-    frequent = line_frequency(lines, docs, max_docs, max_share)
-    hit = lines.join(frequent, lines["host"].eqNullSafe(frequent["f_host"]) & (lines["line"] == frequent["f_line"]))
-    hit = hit.select("doc_id", "host", "text_key", "at", "n").distinct()
-    lost = hit.groupBy("doc_id", "host", "text_key").agg(F.sum("n").alias("lost"))
-    return lost.toDF("l_id", "l_host", "l_key", "lost")
-
-
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """Per document the base figures, lost_words, and kept."""
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    base = base_rules(docs, id_col, text_col, host_col).withColumn("text_key", F.xxhash64("text")).drop("text")
-    lost = lost_lines(plain, max_docs, max_share)
-    out = base.join(lost, base["doc_id"].eqNullSafe(lost["l_id"]) & base["host"].eqNullSafe(lost["l_host"]) & (base["text_key"] == lost["l_key"]), "left")
-    out = out.withColumn("lost_words", F.coalesce("lost", F.lit(0)))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    base = base_rules(docs, id_col, text_col, host_col).withColumns({"text_key": F.xxhash64("text"), "lines": line_hashes(text)}).drop("text")
+    base = materialize(base.withColumn("_row", F.monotonically_increasing_id()), "quality-base")
+    frequent = materialize(frequent_lines(base, max_docs), "frequent-lines")
+    lines = base.select("_row", "host", F.explode("lines").alias("x")).select("_row", "host", "x.*")
+    hit = lines.join(sized(frequent), F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line")))
+    lost = materialize(hit.groupBy(F.col("_row").alias("_lost")).agg(F.sum("n").alias("lost")), "lost-words")
+    out = base.join(sized(lost), F.col("_row") == F.col("_lost"), "left").withColumn("lost_words", F.coalesce("lost", F.lit(0)))
     kept = ~F.col("base_failed") & (F.col("lost_words") <= (1 - min_left) * F.col("n_words"))
-    return out.withColumn("kept", kept)
+    return out.withColumn("kept", kept).drop("_row", "_lost", "lost", "lines")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
@@ -123,8 +121,7 @@ cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(
 ln AS (SELECT doc_id, source, trim(x, e' \t\n\x0b\x0c\r') AS x, l.x AS raw FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x FROM d) l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM ln GROUP BY doc_id),
 nrm AS (SELECT doc_id, source, regexp_replace(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g') AS x FROM ln),
-hd AS (SELECT source, count(DISTINCT doc_id) AS n FROM d GROUP BY source),
-fr AS (SELECT nrm.source, nrm.x FROM nrm JOIN hd ON nrm.source IS NOT DISTINCT FROM hd.source GROUP BY nrm.source, nrm.x HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) > 0.3 * max(hd.n)),
+fr AS (SELECT nrm.source, nrm.x FROM nrm JOIN d USING (doc_id) GROUP BY nrm.source, nrm.x HAVING count(DISTINCT d.text) > 20),
 lost AS (SELECT doc_id, sum(len(nrm.x) - len(replace(nrm.x, ' ', '')) + 1) AS n FROM nrm JOIN fr ON nrm.source IS NOT DISTINCT FROM fr.source AND nrm.x = fr.x GROUP BY doc_id),
 a AS (SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(array_to_string(words, '')) AS BIGINT) AS word_chars,
              CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
