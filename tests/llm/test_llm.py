@@ -225,8 +225,8 @@ def test_links_in_split_shards_keep_every_component(spark):
     fps = sorted(fps)
     want = roots(fps, [(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 3])
     d = spark.createDataFrame([(x - (x >> 63 << 64),) for x in fps], "fp long")
-    for shard in (16, 4096):
-        c = components(simhash.links(d, shard=shard))
+    for shard, n in ((16, 600), (4096, 600), (4096, 1 << 26), (8, 1 << 34), (4096, 1 << 44)):
+        c = components(simhash.links(d, shard=shard, dealt_as=simhash.choices(n)))
         sign = {x["node"] & (2**64 - 1): x["root"] & (2**64 - 1) for x in c.collect()}
         groups = lambda m: {frozenset(k for k in m if m[k] == v) for v in set(m.values())}
         assert groups({x: sign.get(x, x) for x in fps}) == groups(want)

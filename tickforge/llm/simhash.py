@@ -3,8 +3,9 @@
 A fingerprint has 64 bits by majority over the XXH64 of a text's word shingles.  Only distinct
 fingerprints are searched, with the smallest document id and nothing else of their documents.
 
-Search: two fingerprints that differ in at most r bits agree on one of r + 1 bands.  For each band
-the fingerprints are dealt into shards by the band's leading bits; a shard that holds more
+Search: two fingerprints that differ in at most r bits agree on k of r + k parts of their bits.  For each choice of k parts
+the fingerprints are dealt into shards by the bits of these, with k as small as keeps an even shard small (`choices`: a part of four up to sixteen
+million fingerprints, two of five up to eight billion, and so on; all find the same links); a shard that holds more
 than `SHARD` is cut into pieces by hash, and every pair of its pieces meets in a task of its own.
 There a BK-tree of the one piece (children keyed by integer Hamming distance to the parent) is
 searched with the fingerprints of the other, following only edges within the radius.  So a tree is
@@ -31,12 +32,14 @@ Defined cases
 * A null text counts as empty; a text without words has fingerprint zero and is linked like any other.
 * Repeated rows share a fingerprint, and so a component.  A null id is never the smallest of
   a component that has another; a component of null ids alone has a null id.
+* Very long texts are read whole, a megabyte at a time.
 * An empty table gives an empty table.  Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -223,14 +226,31 @@ def _links(tree: np.ndarray, queries: np.ndarray, radius: int, own: bool) -> tup
     return values[moved], values[root[moved]]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def choices(n: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
+    """The choices of parts by which n fingerprints are dealt: of each, the (first bit, bits) of its parts.
+
+    Bits differ in at most `radius` of `radius + k` parts, so k parts are whole: any k of them are a choice.
+    """
+    k = 1
+    while k < 8 and n >> (k * BITS // (radius + k)) > 256:
+        k += 1
+    parts = radius + k
+    at = [i * BITS // parts for i in range(parts + 1)]
+    # A single part is cut to so many bits that an even shard has a few hundred fingerprints.
+    lead = max(0, (max(n, 1) // 512).bit_length()) if k == 1 else BITS
+    return [[(at[i], min(lead, at[i + 1] - at[i])) for i in which] for which in itertools.combinations(range(parts), k)]
+
+
+def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, dealt_as: list[list[tuple[int, int]]] | None = None) -> DataFrame:
     """Links (a, b) that join the same fingerprints as all links of at most radius bits do; fps has distinct fp."""
-    n = fps.count()
-    bands = radius + 1
-    width = BITS // bands
-    # So many leading bits of a band that an even shard has a few hundred fingerprints.
-    lead = min(width, max(0, (max(n, 1) // 512).bit_length()))
-    cut = [F.shiftrightunsigned(F.col("fp"), BITS - (i * width) - lead).bitwiseAND((1 << lead) - 1).cast("int") if lead else F.lit(0) for i in range(bands)]
+
+    def lead_of(choice: list[tuple[int, int]]) -> Column:
+        out = F.lit(0).cast("long")
+        for first, size in choice:
+            out = F.shiftleft(out, size).bitwiseOR(F.shiftrightunsigned(F.col("fp"), BITS - first - size).bitwiseAND((1 << size) - 1)) if size else out
+        return out
+
+    cut = [lead_of(c) for c in dealt_as or choices(fps.count(), radius)]
     dealt = fps.select("fp", F.posexplode(F.array(*cut)).alias("band", "lead"))
     sizes = dealt.groupBy("band", "lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     pieces = sizes.select("band", "lead", F.ceil(F.col("n") / shard).cast("int").alias("pieces"))

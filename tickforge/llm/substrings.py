@@ -7,8 +7,8 @@ the bucket of that minimiser, where the windows are sorted and so counted exactl
 1. Minimisers alone are counted: one that only one document has can't belong to a repeated window.
 2. Super-k-mers of the others are packed and dealt to buckets.  A task keeps a bounded memory of
    what it has sent: what it has sent before with a smaller id is settled there and isn't sent again,
-   so copies meet as one row a task.  Buckets of more than HOT super-k-mers are split by window
-   (a 128-bit digest), so a passage that a third of all documents share is spread and never gathered.
+   so copies meet as one row a task.  Buckets of more than HOT windows are split by window: each goes, as its words, to the bucket
+   of their digest, so a passage that a third of all documents share is spread and never gathered, and is still compared word by word.
 3. In a bucket, windows are sorted with their documents; all but those of the smallest id are removed.
 4. The removed windows go back to their documents.
 
@@ -35,7 +35,8 @@ from .common import arrow_batches, materialize, table
 from .textbytes import fits, segments, window_hashes, word_groups, word_hashes
 
 WINDOW, GRAM = 50, 8
-HOT = 4096
+#: Windows of a bucket, a few hundred bytes each: what one task holds.
+HOT = 1 << 16
 #: No packed string holds more windows than this, and a task remembers this many sent strings.
 LONGEST, MEMORY = 256, 20_000
 
@@ -75,21 +76,21 @@ def super_kmers(texts: list[bytes], window: int, gram: int) -> Iterator[tuple[li
 
 
 def _minimisers(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(id, key, start, mini) of every super-k-mer."""
+    """(id, key, start, size, mini) of every super-k-mer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, doc, start, _, mini in super_kmers([x or b"" for x in b.column(2).cast(pa.large_binary()).to_pylist()], window, gram):
+            for _, _, doc, start, size, mini in super_kmers([x or b"" for x in b.column(2).cast(pa.large_binary()).to_pylist()], window, gram):
                 rows = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(start.astype(np.int32)), pa.array(mini)], names=["id", "key", "start", "mini"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(mini)], names=["id", "key", "start", "size", "mini"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key long, start int, mini long")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key long, start int, size int, mini long")
 
 
 def _pack(d: DataFrame, window: int, gram: int) -> DataFrame:
     """Rows for the buckets: (bucket, id, key, start, n, packed, more).
 
-    packed holds n windows as words; a window of a split bucket is its digest, with n = 0 and in more
+    packed holds n windows as words; one of a split bucket has n = 0 and in more
     where else the document has it, so that a text which repeats itself is one row there;
     a null packed is settled: n windows from start are to be removed; such rows are dealt by id.
     """
@@ -124,13 +125,13 @@ def _pack(d: DataFrame, window: int, gram: int) -> DataFrame:
                         out.append((ids[d] if done else m, ids[d], keys[d], s, n, None if done else packed, None))
                         continue
                     for i in range(n):
-                        digest = hashlib.blake2b(b" ".join(words[p + i : p + i + window]), digest_size=16).digest()
-                        split.setdefault((d, digest), []).append(s + i)
-                for (d, digest), places in split.items():
-                    if settled(digest, ids[d]):
+                        split.setdefault((d, b" ".join(words[p + i : p + i + window])), []).append(s + i)
+                for (d, own), places in split.items():
+                    if settled(own, ids[d]):
                         out += [(ids[d], ids[d], keys[d], s, 1, None, None) for s in places]
                     else:
-                        out.append((int.from_bytes(digest[:8], "little", signed=True), ids[d], keys[d], places[0], 0, digest, places[1:]))
+                        bucket = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True)
+                        out.append((bucket, ids[d], keys[d], places[0], 0, own, places[1:]))
                 if len(out) > 4000:
                     yield _rows(out)
                     out = []
@@ -246,7 +247,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     minis = materialize(_minimisers(d.where("id IS NOT NULL"), window, gram), "minimisers")
-    shared = minis.groupBy("mini").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    shared = minis.groupBy("mini").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum("size").alias("n")).where("low < high")
     # start + 1, negative for a bucket that is to be split.
     marked = minis.join(shared.select("mini", (F.col("n") > hot).alias("hot")), "mini").select("id", "key", F.when(F.col("hot"), -F.col("start") - 1).otherwise(F.col("start") + 1).alias("s"))
     wanted = marked.groupBy("id", "key").agg(F.collect_set("s").alias("starts")).toDF("w_id", "w_key", "starts")

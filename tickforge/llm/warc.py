@@ -6,14 +6,18 @@ every file of it a WARC file.  A payload longer than CHUNK is cut into a first r
 each archive into rows (record identifier, chunk number, data) and carries a digest on from chunk to chunk; a
 whole payload is never put together.
 
-Records of one chunk are digested where they are parsed.  Chunks of longer records are
+Archives are parsed once, into a written chunk table.  Records of one chunk are digested where they are parsed.  Chunks of longer records are
 sorted by record and number and digested as a stream, whatever file they came from.
 
+A file is unpacked by one task at a time, a record in memory; it is read whole, packed, so as many records are put in a file as
+keep it under FILE_BYTES unpacked, were all as long as the longest.
+
 Defined cases
 * null html: an empty payload; null url: no target URI; null page id: no identifier, read back as null.
 * Repeated rows: each is a record of its own.  Of equal payloads of at least MIN_BYTES, the rows
   with the smallest page id are responses (several if that id repeats); a null id counts as
   largest, and payloads that only null ids have are all responses.
+* Very long payloads go in chunks of CHUNK bytes; no row but the page itself is longer.
 * An empty table gives archives without records.  Extra columns are not read.
 """
 
@@ -28,30 +32,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, fresh, table
+from .common import BROADCAST_IDS, arrow_batches, fresh, materialize, table
 
 CHUNK = 256 << 10
-#: Records a file: at most this times CHUNK bytes unpacked, though most are far shorter.
-PER_FILE = 2000
+#: Bytes of a file, unpacked, and records of it at most.
+FILE_BYTES, PER_FILE = 128 << 20, 20_000
 MIN_BYTES = 100
+#: The profile of a revisit of an equal payload, and the one date that all records bear, as pages have none.
+PROFILE, DATE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 
 
 def assign(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, digest, refers_to) with a null refers_to for responses.
+    """(page_id, url, payload, payload_bytes, digest, refers_to, refers_url) with a null refers_to for responses.
 
-    Repeated payloads are found by digest with partial minima; the join back is split by adaptive
-    execution if one payload has very many rows.
+    Repeated payloads are found by digest with partial minima, over digests alone.  The table of those that repeat is broadcast up to BROADCAST_IDS rows, so that no
+    payload is shuffled; a longer one is joined by digest, which adaptive execution splits if one payload has very many rows.
     """
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    seen = p.where(F.col("payload_bytes") >= min_bytes).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d", "first")
+    seen = p.where(F.col("payload_bytes") >= min_bytes).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d", "first", "first_url")
+    seen = materialize(seen, "repeated-payloads")
+    if seen.count() <= BROADCAST_IDS:
+        seen = F.broadcast(seen)
     later = (F.col("first").isNotNull()) & ~F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
-    return p.join(seen, F.col("digest") == F.col("d"), "left").withColumn("refers_to", F.when(later, F.col("first"))).drop("d", "first")
+    return p.join(seen, F.col("digest") == F.col("d"), "left").withColumns({"refers_to": F.when(later, F.col("first")), "refers_url": F.when(later, F.col("first_url"))}).drop("d", "first", "first_url")
 
 
-def write_archives(records: DataFrame, path: str, chunk: int = CHUNK, per_file: int = PER_FILE) -> None:
-    """Write (page_id, url, payload, payload_bytes, digest, refers_to) as gzipped WARC files under path."""
+def write_archives(records: DataFrame, path: str, chunk: int = CHUNK, per_file: int | None = None) -> None:
+    """Write (page_id, url, payload, payload_bytes, digest, refers_to, refers_url) as gzipped WARC files under path."""
+    if per_file is None:
+        longest = records.agg(F.max(F.least("payload_bytes", F.lit(chunk))).alias("n")).first()["n"] or 1
+        per_file = max(1, min(PER_FILE, FILE_BYTES // (longest + 1024)))
     revisit = F.col("refers_to").isNotNull()
     stored = F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))
     segments = F.greatest(F.lit(1), F.ceil(stored / chunk)).cast("int")
@@ -64,17 +76,18 @@ def write_archives(records: DataFrame, path: str, chunk: int = CHUNK, per_file:
     if_set = lambda c, x: F.when(c, x).otherwise(F.lit(""))
     first = F.col("no") == 1
     many = F.col("segments") > 1
-    clean = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "%0A")
+    one_line = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n]", "%0A")
     head = F.concat(
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", F.when(~first, F.lit("continuation")).when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", F.concat(F.lit("<"), F.when(first, F.col("record")).otherwise(F.concat("record", F.lit("-"), F.col("no"))), F.lit(">"))),
-        line("WARC-Date", F.lit("2024-01-01T00:00:00Z")),
-        if_set(F.col("url").isNotNull(), line("WARC-Target-URI", clean)),
+        line("WARC-Date", F.lit(DATE)),
+        if_set(F.col("url").isNotNull(), line("WARC-Target-URI", one_line("url"))),
         if_set(F.col("page_id").isNotNull(), line("X-Page-ID", F.col("page_id"))),
         line("X-Payload-Length", F.col("payload_bytes")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        if_set(F.col("refers_to").isNotNull(), line("X-Refers-To-Page-ID", F.coalesce(F.col("refers_to").cast("string"), F.lit("")))),
+        if_set(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To-Date", F.lit(DATE)), line("X-Refers-To-Page-ID", F.coalesce(F.col("refers_to").cast("string"), F.lit(""))))),
+        if_set(revisit & F.col("refers_url").isNotNull(), line("WARC-Refers-To-Target-URI", one_line("refers_url"))),
         if_set(many, line("WARC-Segment-Number", F.col("no"))),
         if_set(~first, line("WARC-Segment-Origin-ID", F.concat(F.lit("<"), F.col("record"), F.lit(">")))),
         if_set(many & (F.col("no") == F.col("segments")), line("WARC-Segment-Total-Length", F.col("payload_bytes"))),
@@ -169,7 +182,7 @@ def digest_chunks(chunks: DataFrame) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of every record under path."""
-    chunks = read_chunks(spark, path)
+    chunks = materialize(read_chunks(spark, path), "warc-chunks")
     short = chunks.where("total = 1").select("page_id", "url", "payload_bytes", "digest", "declared", "record_type", "refers_to")
     long = digest_chunks(chunks.where("total = 0")).select("page_id", "url", "payload_bytes", "digest", "declared", F.lit("response").alias("record_type"), "refers_to")
     r = short.unionByName(long)
