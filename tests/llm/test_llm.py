@@ -401,30 +401,78 @@ def test_extraction_odd_pages(spark, labeller):
 # --- the pipeline
 
 
+def changed(text, places):
+    w = text.split()
+    for p in places:
+        w[p] = f"changed{p}"
+    return " ".join(w)
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage's rows, and the number of each document's copies, worked out one by one."""
     import corpus_pipeline
 
     r = random.Random(6)
-    base = [" ".join(r.choice(VOCAB) for _ in range(r.randint(30, 90))) for _ in range(60)]
+    base = [" ".join(r.choice(VOCAB) for _ in range(r.randint(60, 90))) for _ in range(60)]
     bench = base[10].split()[:14]
     base[11] = base[11] + " " + " ".join(bench)
     base[12] += " reach me at joe@mail.example.com"
-    base[13] = base[12 + 2]  # a copy
+    base[13] = base[14]  # a copy
     base[15] = "12 34 56"
-    docs = spark.createDataFrame([(i, t, "en", f"s{i % 4}", len(t), "extra") for i, t in enumerate(base)], "doc_id long, text string, lang string, source string, n_chars long, more string")
-    b = spark.createDataFrame([(1, " ".join(bench))], "item_id long, text string")
-    d = save(spark, tmp_path, documents=docs, benchmark=b)
-    got = corpus_pipeline.run(spark, d).collect()
-    fps = {i: fingerprint(t) for i, t in enumerate(base) if i != 15}
-    group = roots(fps, [(i, j) for i in fps for j in fps if (fps[i] ^ fps[j]).bit_count() <= 3])
-    left = {i for i in fps if group[i] == i} - {10, 11}
-    sizes = {s: sum(len(base[i].split()) for i in left if i % 4 == s) for s in range(4)}
-    assert {x["doc_id"] for x in got} <= left and len(got) > 0.5 * len(left)
-    assert all(x["more"] == "extra" and x["n_chars"] == len(x["text"]) for x in got)
-    assert all("joe@" not in x["text"] for x in got) and all(x["text"] == base[x["doc_id"]] for x in got if x["doc_id"] != 12)
-    copies = Counter(x["doc_id"] for x in got)
-    rate = {r["source"]: r["target"] / r["source_size"] for r in mixing.source_targets(spark.createDataFrame([(f"s{k}", v) for k, v in sizes.items()], "source string, source_size long")).collect()}
-    assert all(int(rate[f"s{i % 4}"]) <= copies[i] <= int(rate[f"s{i % 4}"]) + 1 for i in left)
+    for i, j, places in ((20, 21, [40]), (22, 23, [0, 40]), (24, 25, [10, 20, 30, 40, 50]), (26, 27, [0]), (27, 28, [30])):  # 0.9, 0.8 and more, below, and a chain
+        base[j] = changed(base[i], places)
+    base[30], base[31] = "a b c d e f g h i j", "a b c d e f g h i j k"  # 6 of 7 shingles
+    base[32], base[33] = "one two three four five six", "one two three four five seven"  # 1 of 3
+    base[34] = (base[35] + " ") * 400  # long, and of the same shingles but for the seams
+    base += [None, "", " \t"]
+    rows = [(i, t, "en", f"s{i % 4}" if i % 9 else None, len(t or ""), "extra", 7, i) for i, t in enumerate(base)] + [(5, base[5], "en", "s1", 3, "extra", 7, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, items string, n_words int, copy_no int")
+    d = save(spark, tmp_path, documents=docs, benchmark=spark.createDataFrame([(1, " ".join(bench))], "item_id long, text string"))
+    after, now = {}, spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        now = spark.createDataFrame(stage(spark, now, d).collect(), [*now.columns, "copy_no_2"] if name == "mix" else now.schema)
+        after[name] = now.collect()
+    ids = {k: sorted(x["doc_id"] for x in v) for k, v in after.items()}
+    assert ids["language"] == sorted([*(i for i in range(60) if i != 15), 5])
+    texts = {i: base[i] for i in ids["language"]}
+
+    def shingles(t):
+        w = t.lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+    group = roots(sorted(texts), [(i, j) for i in texts for j in texts if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert [group[i] for i in (14, 21, 23, 25, 27, 28, 31, 33)] == [13, 20, 22, 25, 26, 26, 30, 33]
+    left = [i for i in sorted(texts) if group[i] == i]
+    assert ids["near_duplicates"] == left
+    left = [i for i in left if " ".join(bench[:10]) not in base[i] and " ".join(bench[4:]) not in base[i]]
+    assert ids["decontaminate"] == left == ids["pii"]
+    clean = {x["doc_id"]: x for x in after["pii"]}
+    assert all(clean[i]["text"] == base[i].replace("joe@mail.example.com", "[EMAIL]") and clean[i]["n_chars"] == len(clean[i]["text"]) for i in left)
+    assert all((x["items"], x["n_words"], x["copy_no"]) == ("extra", 7, x["doc_id"]) for x in after["mix"])
+    sizes = Counter()
+    for x in clean.values():
+        sizes[x["source"]] += len(x["text"].split())
+    weights = {k: 1 + i % 3 for i, k in enumerate(sorted(sizes, key=lambda k: (k is None, k)))}
+    target, open_ = {}, set(sizes)
+    while True:  # the excess of full sources is shared again by weight
+        rest = sum(sizes.values()) - sum(target.values())
+        share = {k: rest * weights[k] / sum(weights[x] for x in open_) for k in open_}
+        full = {k for k in open_ if share[k] > 3 * sizes[k]}
+        if not full:
+            break
+        target |= {k: 3 * sizes[k] for k in full}
+        open_ -= full
+    target |= share
+    copies = Counter(x["doc_id"] for x in after["mix"])
+    for i, x in clean.items():
+        rate = target[x["source"]] / sizes[x["source"]]
+        draw = int(hashlib.md5(f"mix-1:{i}:{x['text']}".encode()).hexdigest()[:13], 16) / 2**52
+        assert copies[i] == int(rate) + (draw < rate % 1)
+    whole = corpus_pipeline.run(spark, d).collect()
+    assert sorted(map(str, whole)) == sorted(map(str, after["mix"])) and {x["copy_no_2"] for x in whole} >= {1}
+    empty = save(spark, tmp_path / "none", documents=docs.limit(0), benchmark=spark.createDataFrame([(1, "a b")], "item_id long, text string"))
+    assert corpus_pipeline.run(spark, empty).count() == 0
 
 
 def test_registry_has_every_number():
