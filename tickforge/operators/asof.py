@@ -1,10 +1,12 @@
-"""As-of joins without a common key: per block of time, with what the blocks before or after have last."""
+"""As-of joins without a common key: per block of some minutes, with what the blocks before or after have last."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import BLOCK_SECONDS, time_block
+
 
 def _one_way(u: DataFrame, forward: bool) -> Column:
     """The nearest right row before (or after) each left row of the union, within its block."""
@@ -15,7 +17,7 @@ def _one_way(u: DataFrame, forward: bool) -> Column:
     return F.last("_r", ignorenulls=True).over(w)
 
 
-def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, how: str = "backward", tie: str | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, how: str = "backward", tie: str | None = None, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """left with `match`, the struct of the right row as of left_time.
 
     how is `backward` (the last row at or before), `forward` (the first at or after) or `nearest` (of both the
@@ -24,9 +26,9 @@ def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str
     """
     row = F.struct(*right.columns)
     order = F.col(tie).cast("long") if tie else F.lit(0).cast("long")
-    r = right.select(F.col(right_time).alias("_t"), F.to_date(right_time).alias("_block"), F.lit(0).alias("_left"), order.alias("_tie"), row.alias("_r"))
+    r = right.select(F.col(right_time).alias("_t"), time_block(right_time, block_seconds).alias("_block"), F.lit(0).alias("_left"), order.alias("_tie"), row.alias("_r"))
     kind = r.schema["_r"].dataType
-    ll = left.select(F.col(left_time).alias("_t"), F.to_date(left_time).alias("_block"), F.lit(1).alias("_left"), F.lit(0).cast("long").alias("_tie"), F.lit(None).cast(kind).alias("_r"), F.struct(*left.columns).alias("_l"))
+    ll = left.select(F.col(left_time).alias("_t"), time_block(left_time, block_seconds).alias("_block"), F.lit(1).alias("_left"), F.lit(0).cast("long").alias("_tie"), F.lit(None).cast(kind).alias("_r"), F.struct(*left.columns).alias("_l"))
     u = r.withColumn("_l", F.lit(None).cast(ll.schema["_l"].dataType)).unionByName(ll)
     ends = u.groupBy(F.col("_block").alias("_b")).agg(F.max_by("_r", F.when(F.col("_left") == 0, F.struct("_t", "_tie"))).alias("_last"), F.min_by("_r", F.when(F.col("_left") == 0, F.struct("_t", "_tie"))).alias("_first"))
     ends = ends.select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickforge.functions.market import TICK_SIZE, safe_divide
 
-from .ordering import numbered, prefix_sums
+from .ordering import BLOCK_RECORDS, numbered, prefix_sums, time_block
 
 
 def seconds(width: str) -> int:
@@ -20,26 +20,41 @@ def bar_time(width: str, start: str | None = None) -> Column:
     return (F.window("ts", width, width, start) if start else F.window("ts", width))["start"]
 
 
-def longest_runs(ticks: DataFrame, width: str) -> DataFrame:
-    """(bar_time, max_buy_run, max_sell_run): gaps and islands within each bar."""
+def _islands(ticks: DataFrame, width: str, start: str | None = None) -> DataFrame:
+    """ticks with bar_time and island, a number that each run of a direction has in its bar: one sort within bars."""
     order = Window.partitionBy("bar_time").orderBy("ts", "record_num")
-    same = Window.partitionBy("bar_time", "direction").orderBy("ts", "record_num")
-    t = ticks.select(bar_time(width).alias("bar_time"), "ts", "record_num", "direction")
-    t = t.withColumn("island", F.row_number().over(order) - F.row_number().over(same))
-    runs = t.groupBy("bar_time", "direction", "island").agg(F.count(F.lit(1)).alias("n"))
-    longest = lambda d: F.coalesce(F.max(F.when(F.col("direction") == d, F.col("n"))), F.lit(0)).cast("long")
-    return runs.groupBy("bar_time").agg(longest(1).alias("max_buy_run"), longest(-1).alias("max_sell_run"))
+    t = ticks.withColumn("bar_time", bar_time(width, start))
+    turns = ~F.col("direction").eqNullSafe(F.lag("direction").over(order))
+    return t.withColumn("_turn", turns.cast("int")).withColumn("island", F.sum("_turn").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_turn")
+
+
+def _longest(d: int) -> Column:
+    return F.coalesce(F.max(F.when(F.col("direction") == d, F.col("run"))), F.lit(0)).cast("long")
+
+
+def longest_runs(ticks: DataFrame, width: str, start: str | None = None) -> DataFrame:
+    """(bar_time, max_buy_run, max_sell_run): gaps and islands within each bar."""
+    t = _islands(ticks.select("ts", "record_num", "direction"), width, start)
+    runs = t.groupBy("bar_time", "island").agg(F.first("direction").alias("direction"), F.count(F.lit(1)).alias("run"))
+    return runs.groupBy("bar_time").agg(_longest(1).alias("max_buy_run"), _longest(-1).alias("max_sell_run"))
 
 
 def time_bars(ticks: DataFrame, width: str = "1 minute", runs: bool = True, start: str | None = None) -> DataFrame:
     """A bar for each bucket that has ticks, labelled by its start.
 
-    Open and close go by (ts, record_num), which makes them definite; all else is partial sums.
+    Open and close go by (ts, record_num), which makes them definite; all else is sums.  Without runs, partial sums are
+    shuffled; runs need the ticks of a bar in order, and then all else is summed from the runs, in the same tasks.
     """
     at = F.struct("ts", "record_num")
     side = lambda d: F.sum(F.when(F.col("direction") == d, F.col("txn_count")).otherwise(0))
     largest = lambda d: F.coalesce(F.max(F.when(F.col("direction") == d, F.col("txn_count"))), F.lit(0))
-    bars = ticks.groupBy(bar_time(width, start).alias("bar_time")).agg(
+    keys = ["bar_time"]
+    if runs:
+        t = _islands(ticks.select("ts", "record_num", "price", "txn_count", "direction", "level_low", "level_high"), width, start)
+        keys += ["island"]
+    else:
+        t = ticks.withColumn("bar_time", bar_time(width, start))
+    bars = t.groupBy(*keys).agg(
         F.min_by("price", at).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
@@ -48,18 +63,28 @@ def time_bars(ticks: DataFrame, width: str = "1 minute", runs: bool = True, star
         F.count("price").alias("num_events"),
         side(1).alias("buy_volume"),
         side(-1).alias("sell_volume"),
-        F.avg((F.col("level_high") - F.col("level_low") >= 2.0).cast("double")).alias("wide_spread_frac"),
+        F.sum((F.col("level_high") - F.col("level_low") >= 2.0).cast("double")).alias("_wide"),
+        F.count(F.col("level_high") - F.col("level_low")).alias("_spreads"),
         F.max("txn_count").alias("max_single_txn"),
         largest(1).alias("max_single_buy"),
         largest(-1).alias("max_single_sell"),
         F.sum(F.col("price") * F.col("txn_count")).alias("price_volume"),
+        *((F.first("direction").alias("direction"), F.count(F.lit(1)).alias("run"), F.min(at).alias("_from"), F.max(at).alias("_to")) if runs else ()),
     )
-    bars = bars.withColumns({
+    if runs:
+        total = lambda *names: [F.sum(n).alias(n) for n in names]
+        top = lambda *names: [F.max(n).alias(n) for n in names]
+        bars = bars.groupBy("bar_time").agg(
+            F.min_by("open", "_from").alias("open"), *top("high"), F.min("low").alias("low"), F.max_by("close", "_to").alias("close"), *total("volume", "num_events", "buy_volume", "sell_volume", "_wide", "_spreads"),
+            *top("max_single_txn", "max_single_buy", "max_single_sell"), *total("price_volume"), _longest(1).alias("max_buy_run"), _longest(-1).alias("max_sell_run"),
+        )
+    out = ["bar_time", "open", "high", "low", "close", "volume", "num_events", "buy_volume", "sell_volume", F.try_divide("_wide", "_spreads").alias("wide_spread_frac"), "max_single_txn", "max_single_buy", "max_single_sell", "price_volume"]
+    bars = bars.select(*out, *(["max_buy_run", "max_sell_run"] if runs else []))
+    return bars.withColumns({
         "flow_imbalance": safe_divide((F.col("buy_volume") - F.col("sell_volume")).cast("double"), F.col("volume").cast("double")),
         "intensity": F.col("num_events") / F.lit(float(seconds(width))),
         "vwap": safe_divide(F.col("price_volume"), F.col("volume").cast("double")),
     })
-    return bars.join(longest_runs(ticks, width), "bar_time") if runs else bars
 
 
 def bar_shape(bars: DataFrame, tick: float = TICK_SIZE) -> DataFrame:
@@ -73,8 +98,8 @@ def sequence(bars: DataFrame) -> DataFrame:
 
 def session_cvd(ticks: DataFrame) -> DataFrame:
     """ticks with cumulative_volume_delta, which restarts with each file and session."""
-    w = Window.partitionBy("source_file", "session_date").orderBy("record_num").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ticks.withColumn("cumulative_volume_delta", F.sum("volume_delta").over(w))
+    block = F.floor(F.col("record_num") / BLOCK_RECORDS)
+    return prefix_sums(ticks, block, ["record_num"], {"cumulative_volume_delta": F.col("volume_delta")}, ["source_file", "session_date"])
 
 
 def cvd_bars(ticks: DataFrame, width: str) -> DataFrame:
@@ -87,7 +112,7 @@ def cvd_bars(ticks: DataFrame, width: str) -> DataFrame:
 
 def cvd_candles(ticks: DataFrame, width: str) -> DataFrame:
     """Candles of a cumulative delta that never restarts; a candle opens where the one before closed."""
-    run = prefix_sums(ticks, F.to_date("ts"), ["ts", "record_num"], {"cvd": F.col("volume_delta")})
+    run = prefix_sums(ticks, time_block("ts"), ["ts", "record_num"], {"cvd": F.col("volume_delta")})
     at = F.struct("ts", "record_num")
     c = run.groupBy(bar_time(width).alias("bar_time")).agg(F.max("cvd").alias("high"), F.min("cvd").alias("low"), F.max_by("cvd", at).alias("cvd_close"), (F.min_by("cvd", at) - F.min_by("volume_delta", at)).alias("cvd_open"))
     return c.select("bar_time", "cvd_open", F.greatest("cvd_open", "high").alias("cvd_high"), F.least("cvd_open", "low").alias("cvd_low"), "cvd_close")

@@ -1,8 +1,9 @@
 """The greedy chain: of candidates in order, take the first that is free, skip to where it ends, and so on.
 
-Only which candidates are taken is sequential.  Blocks of the sequence are handled in parallel:
-each finds, for every candidate, the candidate outside the block at which a chain through it comes out; the driver then hops once a
-block, and each block marks its part of the chain.
+Only which candidates are taken is sequential.  Blocks of the sequence are handled in parallel: each finds, for every candidate, the place
+behind the block at which a chain through it comes out.  Chains that enter a block soon run together, so runs of candidates share
+a way out, and there are no more runs than places that a candidate reaches beyond its block's end; one job brings these runs to the driver, which hops through
+them, and each block marks its part of the chain.
 """
 
 from __future__ import annotations
@@ -40,18 +41,19 @@ def greedy_chain(candidates: DataFrame, seq: str, next_free: str, block: int = B
         for i in range(len(s) - 1, -1, -1):
             if nxt[i] < len(s):
                 out[i] = out[nxt[i]]
-        return pd.DataFrame({"s": s, "out": out, "b": pdf["b"].to_numpy()})
+        last = np.append(out[1:] != out[:-1], True)
+        return pd.DataFrame({"s": s[last], "out": out[last]})
 
-    through = slim.groupBy("b").applyInPandas(exits, "s long, out long, b long")
-    through = written(through, "chain-exits")
-    entries: list[int] = []
-    free = -NEVER
-    while row := through.where((F.col("s") >= free) & (F.col("b") >= free // block)).agg(F.min_by(F.struct("s", "out"), "s").alias("x")).first()["x"]:
-        entries.append(row["s"])
-        if row["out"] == NEVER:
+    runs = slim.groupBy("b").applyInPandas(exits, "s long, out long").toPandas().sort_values("s")
+    ends, outs, entries, free = runs["s"].to_numpy(), runs["out"].to_numpy(), [], -NEVER
+    while (at := int(np.searchsorted(ends, free))) < len(ends):
+        entries.append(max(free, int(ends[at - 1]) + 1 if at else -NEVER))
+        free = int(outs[at])
+        if free == NEVER:
             break
-        free = row["out"]
-    starts = spark.createDataFrame([(e,) for e in entries], "e long").withColumn("eb", F.floor(F.col("e") / block))
+    # An entry is the first place that is free; the block of the first candidate from there on goes on from it.
+    first = [int(ends[int(np.searchsorted(ends, e))]) // block for e in entries]
+    starts = spark.createDataFrame(list(zip(entries, first, strict=True)), "e long, eb long")
 
     def taken(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("s")

@@ -1,6 +1,6 @@
 """Order over a whole table without gathering it in one task.
 
-Rows are cut into blocks (a day, or so many bars); what a block needs of the others is either a
+Rows are cut into blocks (some minutes of ticks, a day of bars, or so many bars); what a block needs of the others is either a
 total, which is prefix-summed over the small table of blocks, or a margin of neighbours, which is copied.
 """
 
@@ -13,19 +13,30 @@ from pyspark.sql import functions as F
 
 #: Bars in a block: far more than any look-back, and little for one task.
 BLOCK = 20_000
+#: Seconds and records of a block of ticks: a busy day is hundreds of tasks, and ten years are a million rows in the table of blocks.
+BLOCK_SECONDS, BLOCK_RECORDS = 300, 500_000
 
 
-def prefix_sums(df: DataFrame, block: Column, order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
-    """df with the running total of each expression, over all rows in the order of block and then `order`.
+def time_block(ts: str, seconds: int = BLOCK_SECONDS) -> Column:
+    """The number of a time's block, which rises with time."""
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000))
+
+
+def prefix_sums(df: DataFrame, block: Column, order: Sequence[str], sums: dict[str, Column], within: Sequence[str] = ()) -> DataFrame:
+    """df with the running total of each expression, over all rows (of equal columns `within`) in the order of block and then `order`.
 
     block must rise with the order.  The blocks' totals are as many rows as there are blocks.
     """
     d = df.withColumns({"_block": block} | {f"_v_{k}": v for k, v in sums.items()})
-    totals = d.groupBy(F.col("_block").alias("_b")).agg(*(F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_b", *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums))
-    own = Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumns({f"_r_{k}": F.sum(f"_v_{k}").over(own) for k in sums}).join(totals, F.col("_block") == F.col("_b"))
+    keys = [f"_w_{c}" for c in within]
+    totals = d.groupBy(F.col("_block").alias("_b"), *(F.col(c).alias(k) for c, k in zip(within, keys, strict=True))).agg(*(F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums))
+    before = (Window.partitionBy(*keys) if keys else Window).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_b", *keys, *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums))
+    own = Window.partitionBy(*within, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = F.col("_block") == F.col("_b")
+    for c, k in zip(within, keys, strict=True):
+        same &= F.col(c).eqNullSafe(F.col(k))
+    d = d.withColumns({f"_r_{k}": F.sum(f"_v_{k}").over(own) for k in sums}).join(totals, same)
     return d.select(*df.columns, *((F.col(f"_r_{k}") + F.col(f"_o_{k}")).alias(k) for k in sums))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +15,7 @@ from tickforge.sources.scratch import written
 from .asof import asof_join
 from .bars import bar_time, seconds
 from .chain import greedy_chain
-from .ordering import margin_window, numbered, own_rows, with_margin
+from .ordering import margin_window, numbered, own_rows, time_block, with_margin
 
 
 def consolidation_zones(bars: DataFrame, min_bars: int = 5, max_bars: int = 10, min_volume: float = 2000) -> DataFrame:
@@ -110,44 +114,78 @@ def retracements(found: DataFrame, bars: DataFrame, max_bars: int = 5, min_pct:
 
 
 def tick_numbers(ticks: DataFrame) -> DataFrame:
-    return numbered(ticks, F.to_date("ts"), ["ts", "record_num"], "tick_no")
+    """ticks with tick_no from 0, unless they have it."""
+    return ticks if "tick_no" in ticks.columns else numbered(ticks, time_block("ts"), ["ts", "record_num"], "tick_no")
+
+
+class Extremes:
+    """Highs and lows of a row of days, and of every stretch of 1, 2, 4 ... of them, for the first day that reaches a level."""
 
+    def __init__(self, day: np.ndarray, high: np.ndarray, low: np.ndarray):
+        self.day, self.high, self.low = day, [high], [low]
+        step = 1
+        while 2 * step <= len(day):
+            h, lo = self.high[-1], self.low[-1]
+            self.high.append(np.maximum(h[:-step], h[step:]))
+            self.low.append(np.minimum(lo[:-step], lo[step:]))
+            step *= 2
 
-def _reaches(side: Column, high: Column, low: Column, target: Column, stop: Column) -> Column:
-    return F.when(side == "UP", (high >= target) | (low <= stop)).otherwise((low <= target) | (high >= stop))
+    def first(self, after: np.ndarray, above: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """The place of the first day after each given one whose high is at least `above` or low at most `below`; as many as there are days if none."""
+        at, n = np.searchsorted(self.day, after, side="right"), len(self.day)
+        for k in range(len(self.high) - 1, -1, -1):
+            fits = np.flatnonzero(at + (1 << k) <= n)
+            there = at[fits]
+            calm = (self.high[k][there] < above[fits]) & (self.low[k][there] > below[fits])
+            at[fits[calm]] += 1 << k
+        return at
 
 
 def first_touch(entries: DataFrame, numbered_ticks: DataFrame, width: str) -> DataFrame:
     """For (event_id, side, entry_no, entry_tick_ts, target, stop) the first later tick at the target or stop: (event_id, outcome, touch_no, touch_ts).
 
-    Extremes lead to it: those of days find the first later day that touches, those of bars the first bar of
-    the entry's day or that one, and only two bars' ticks are looked at.  Events without a touch aren't returned.
+    Extremes lead to it.  Those of days, one row a day of the calendar and so a bounded table, are sent to the tasks, where each event finds
+    the first later day that touches by halving; the bars of the entry's day and that one, an array a day, give the first bar; and only two bars' ticks are
+    looked at.  Events without a touch aren't returned.
     """
     t = numbered_ticks.select(bar_time(width).alias("bt"), "ts", "tick_no", "price")
-    bars = t.groupBy("bt").agg(F.max("price").alias("high"), F.min("price").alias("low")).withColumn("day", F.to_date("bt"))
-    days = bars.groupBy(F.col("day").alias("d")).agg(F.max("high").alias("high"), F.min("low").alias("low"))
-    e = entries.withColumn("e_day", F.to_date("entry_tick_ts")).withColumn("e_bt", F.window("entry_tick_ts", width)["start"])
-    touch = _reaches(F.col("side"), F.col("high"), F.col("low"), F.col("target"), F.col("stop"))
-    later = e.join(days, (F.col("d") > F.col("e_day")) & touch).groupBy("event_id").agg(F.min("d").alias("d"))
-    both = e.select("event_id", F.col("e_day").alias("d")).unionByName(later)
-    hit = e.join(both, "event_id").join(bars, (F.col("d") == F.col("day")) & (F.col("bt") > F.col("e_bt")) & touch).groupBy("event_id").agg(F.min("bt").alias("bt"))
-    two = e.select("event_id", F.col("e_bt").alias("bt")).unionByName(hit)
+    bars = t.groupBy("bt").agg(F.max("price").alias("high"), F.min("price").alias("low"))
+    number = F.datediff(F.to_date("bt"), F.lit("1970-01-01").cast("date")).alias("day")
+    days = bars.groupBy(number).agg(F.max("high").alias("high"), F.min("low").alias("low"), F.array_sort(F.collect_list(F.struct("bt", "high", "low"))).alias("path"))
+    days = written(days, "touch-days")
+    calendar = days.select("day", "high", "low").orderBy("day").toPandas()
+    up = F.col("side") == "UP"
+    e = entries.withColumns({"e_day": F.datediff(F.to_date("entry_tick_ts"), F.lit("1970-01-01").cast("date")), "e_bt": F.window("entry_tick_ts", width)["start"], "above": F.when(up, F.col("target")).otherwise(F.col("stop")), "below": F.when(up, F.col("stop")).otherwise(F.col("target"))})
+    held = entries.sparkSession.sparkContext.broadcast(Extremes(calendar["day"].to_numpy(), calendar["high"].to_numpy(), calendar["low"].to_numpy()))
+
+    def later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = held.value.first(pdf["e_day"].to_numpy(), pdf["above"].to_numpy(), pdf["below"].to_numpy())
+            there = at < len(held.value.day)
+            days_of = np.concatenate([pdf["e_day"].to_numpy(), held.value.day[at[there]]])
+            yield pd.concat([pdf, pdf[there]]).assign(d=days_of)
+
+    kinds = ", ".join(f"{c} {t}" for c, t in e.dtypes)
+    two_days = e.mapInPandas(later, f"{kinds}, d int").join(days.select("day", "path"), F.col("d") == F.col("day"))
+    touches = lambda b: (b["bt"] > F.col("e_bt")) & ((b["high"] >= F.col("above")) | (b["low"] <= F.col("below")))
+    there = F.get(F.filter("path", touches), F.lit(0))["bt"]
+    own = F.when(F.col("d") == F.col("e_day"), F.array("e_bt", there)).otherwise(F.array(there))
+    two_bars = two_days.select(*e.columns, F.explode(F.array_compact(own)).alias("bt"))
     price = F.col("price")
-    ticks_there = e.join(two, "event_id").join(t, "bt").where((F.col("tick_no") > F.col("entry_no")) & _reaches(F.col("side"), price, price, F.col("target"), F.col("stop")))
+    ticks_there = two_bars.join(t, "bt").where((F.col("tick_no") > F.col("entry_no")) & ((price >= F.col("above")) | (price <= F.col("below"))))
     won = F.when(F.col("side") == "UP", price >= F.col("target")).otherwise(price <= F.col("target"))
     return ticks_there.groupBy("event_id").agg(F.min_by(F.struct(F.when(won, "success").otherwise("fail").alias("outcome"), F.col("tick_no").alias("touch_no"), F.col("ts").alias("touch_ts")), "tick_no").alias("x")).select("event_id", "x.*")
 
 
 def pattern_events(bars: DataFrame, ticks: DataFrame, width: str = "1 minute", min_bars: int = 5, max_bars: int = 10, min_volume: float = 2000, min_balance: float = 0.4, min_body: float = 4, max_retrace_bars: int = 5, min_retrace: float = 0.5, target_ticks: int = 50, stop_ticks: int = 20) -> DataFrame:
-    """One row a pattern, with the 31 fields of an event."""
-    bars = written(bars, "pattern-bars")
-    numbers = written(tick_numbers(ticks).select("ts", "tick_no", "price"), "pattern-ticks")
+    """One row a pattern, with the 31 fields of an event.  bars and ticks are read several times: give frames that are in files."""
+    numbers = tick_numbers(ticks).select("ts", "tick_no", "price")
     zones = consolidation_zones(bars, min_bars, max_bars, min_volume)
     profile = written(volume_profile(zones, bars, ticks, width), "pattern-profile")
     shape = profile_metrics(profile, zone_summary(zones, bars)).where(F.col("balance") >= min_balance)
     found = breakouts(zones, bars, min_body).join(shape, "zone_id")
     found = written(found, "pattern-breakouts")
-    back = written(retracements(found, bars, max_retrace_bars, min_retrace), "pattern-retracements")
+    back = retracements(found, bars, max_retrace_bars, min_retrace)
     levels = level_class(profile, back.select("zone_id", F.col("retrace_extreme").alias("at")))
     step = F.expr(f"INTERVAL {seconds(width)} SECONDS")
     d = found.join(back, "zone_id").join(levels, "zone_id").withColumn("entry_time", F.col("last_time") + step)

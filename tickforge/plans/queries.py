@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickforge.functions import market
 from tickforge.operators import asof, backtest, bars, features, labels, models, patterns
 from tickforge.sources import events
-from tickforge.sources.scratch import written
+from tickforge.sources.cache import cached
 
 from . import oracle as o
 
@@ -35,8 +35,8 @@ def rounded(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def hour_bars(spark: SparkSession, d: str, width: str = HOUR) -> DataFrame:
-    """Numbered bars, written once: what follows names them many times, and ticks would be read again each time."""
-    return written(bars.sequence(written(bars.time_bars(events.ticks(spark, d), width), "bars")), "numbered-bars")
+    """Numbered bars, made once of the ticks: what follows names them many times."""
+    return cached(spark, f"bars-{bars.seconds(width)}", f"{d}/events.parquet", lambda: bars.sequence(bars.time_bars(events.ticks(spark, d), width)))
 
 
 def cols(sql_from: str, exact: str, round_: str) -> str:
