@@ -34,7 +34,8 @@ def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str
     ends = ends.select(
         "_b",
         F.last("_last", ignorenulls=True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", ignorenulls=True).over(Window.orderBy("_b").rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        # Backwards, as a frame that grows at its end is kept up to date and one that shrinks is made anew for each row.
+        F.last("_first", ignorenulls=True).over(Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
     )
     d = u.withColumns({"_p": _one_way(u, False), "_n": _one_way(u, True)}).where("_left = 1").join(ends, F.col("_block") == F.col("_b"))
     before, after = F.coalesce("_p", "_before"), F.coalesce("_n", "_after")

@@ -180,11 +180,10 @@ def first_touch(entries: DataFrame, numbered_ticks: DataFrame, width: str) -> Da
 def pattern_events(bars: DataFrame, ticks: DataFrame, width: str = "1 minute", min_bars: int = 5, max_bars: int = 10, min_volume: float = 2000, min_balance: float = 0.4, min_body: float = 4, max_retrace_bars: int = 5, min_retrace: float = 0.5, target_ticks: int = 50, stop_ticks: int = 20) -> DataFrame:
     """One row a pattern, with the 31 fields of an event.  bars and ticks are read several times: give frames that are in files."""
     numbers = tick_numbers(ticks).select("ts", "tick_no", "price")
-    zones = consolidation_zones(bars, min_bars, max_bars, min_volume)
-    profile = written(volume_profile(zones, bars, ticks, width), "pattern-profile")
-    shape = profile_metrics(profile, zone_summary(zones, bars)).where(F.col("balance") >= min_balance)
-    found = breakouts(zones, bars, min_body).join(shape, "zone_id")
-    found = written(found, "pattern-breakouts")
+    # Few zones break out: the rest need no profile.
+    found = written(breakouts(consolidation_zones(bars, min_bars, max_bars, min_volume), bars, min_body), "pattern-breakouts")
+    profile = written(volume_profile(found, bars, ticks, width), "pattern-profile")
+    found = found.join(profile_metrics(profile, found).where(F.col("balance") >= min_balance), "zone_id")
     back = retracements(found, bars, max_retrace_bars, min_retrace)
     levels = level_class(profile, back.select("zone_id", F.col("retrace_extreme").alias("at")))
     step = F.expr(f"INTERVAL {seconds(width)} SECONDS")
