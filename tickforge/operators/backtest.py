@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickforge.functions.market import COMMISSION, POINT_VALUE, SLIPPAGE_TICKS, TICK_SIZE, clip, is_rth, is_session_end, round_to_tick
+from tickforge.functions.market import COMMISSION, POINT_VALUE, SLIPPAGE_TICKS, TICK_SIZE, clip, is_rth, is_session_end, round_to_tick, trade_result
 
 from .chain import greedy_chain
 from .ordering import margin_window, own_rows, prefix_max, prefix_sums, with_margin
@@ -111,6 +111,30 @@ def metrics(taken: DataFrame) -> DataFrame:
     )
 
 
+#: A viewer's filters.  Whatever isn't a win counts as a loss there.
+FILTERS = ("all", "win", "loss", "long", "short")
+
+
+def viewer_filter(taken: DataFrame, which: str) -> DataFrame:
+    """The trades that a viewer shows."""
+    win = trade_result(F.col("pnl_points")) == "WIN"
+    rule = {"all": F.lit(True), "win": win, "loss": ~win, "long": F.col("direction") == "LONG", "short": F.col("direction") == "SHORT"}
+    return taken.where(rule[which])
+
+
+def viewer_stats(taken: DataFrame) -> DataFrame:
+    """One row: trades, wins, losses (not wins), their counts strictly, win rate, profit factor and mean points."""
+    p = F.col("pnl_points")
+    win = p > 0
+    won, lost = F.coalesce(F.sum(F.when(win, p)), F.lit(0.0)), F.coalesce(F.abs(F.sum(F.when(~win, p))), F.lit(0.0))
+    n = F.count(F.lit(1))
+    return taken.agg(
+        n.alias("n"), F.count_if(win).alias("wins"), F.count_if(~win).alias("losses"), F.count_if(p < 0).alias("strict_losses"), F.count_if(p == 0).alias("scratches"),
+        F.coalesce(F.try_divide(F.count_if(win).cast("double"), n.cast("double")), F.lit(0.0)).alias("win_rate"), F.try_divide(won, lost).alias("profit_factor"),
+        F.coalesce(F.avg(F.when(win, p)), F.lit(0.0)).alias("avg_win"), F.coalesce(F.avg(F.when(~win, p)), F.lit(0.0)).alias("avg_loss"), F.coalesce(F.sum(p), F.lit(0.0)).alias("total_points"),
+    )
+
+
 def exit_reasons(taken: DataFrame) -> DataFrame:
     return taken.groupBy("exit_reason").agg(F.count(F.lit(1)).alias("n"))
 

@@ -141,6 +141,12 @@ def diagonal_imbalance(levels: DataFrame, ratio: int = 3, tick: float = TICK_SIZ
     return levels.withColumns({"buy_imbalance": flag(F.col("buy"), below), "sell_imbalance": flag(F.col("sell"), above), "net": F.col("buy") - F.col("sell")})
 
 
+def level_at(bars: DataFrame, levels: DataFrame, price: str = "close") -> DataFrame:
+    """bars with the volumes of the level that they have at a price: a bar's footprint looked up by its time, then its price."""
+    f = levels.select(F.col("bar_time").alias("_bt"), F.col("price").alias("_p"), F.col("buy").alias("level_buy"), F.col("sell").alias("level_sell"))
+    return bars.join(f, (F.col("bar_time") == F.col("_bt")) & (F.col(price) == F.col("_p")), "left").drop("_bt", "_p")
+
+
 def level_scale(levels: DataFrame) -> DataFrame:
     """(bar_time, max_level): the largest side of a level, at least 1."""
     return levels.groupBy("bar_time").agg(F.greatest(F.max(F.greatest("buy", "sell")), F.lit(1)).alias("max_level"))

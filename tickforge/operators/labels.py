@@ -20,6 +20,15 @@ def forward_labels(bars: DataFrame, ahead: int) -> DataFrame:
     return own_rows(d.withColumns({"future_return": F.try_divide(gain, F.col("close")), "magnitude_label": F.abs(gain), "direction_label": F.signum(gain)}))
 
 
+def bars_ahead(bars: DataFrame, horizon_seconds: int) -> int:
+    """A horizon in bars: the whole part of its share of the median gap between bars, at least one."""
+    d = with_margin(bars.select("bar_seq", "bar_time"), "bar_seq", 1)
+    at = lambda c: F.unix_micros(c.cast("timestamp"))
+    gaps = own_rows(d.withColumn("gap", at(F.col("bar_time")) - at(F.lag("bar_time").over(margin_window()))))
+    gap = gaps.agg(F.median("gap")).first()[0]
+    return max(1, int(horizon_seconds * 1_000_000 / gap)) if gap else 1
+
+
 def label_distribution(labelled: DataFrame) -> DataFrame:
     """Per direction: count and share; magnitude's mean, sample deviation and median."""
     per = labelled.where(F.col("direction_label").isNotNull()).groupBy("direction_label").agg(F.count(F.lit(1)).alias("n"), F.avg("magnitude_label").alias("mean_magnitude"), F.stddev_samp("magnitude_label").alias("std_magnitude"), F.median("magnitude_label").alias("median_magnitude"))

@@ -58,13 +58,42 @@ def class_contrast(d: DataFrame, features: list[str], winner: Column, k: int = 1
     return g.select("feature", "winner_mean", "loser_mean", "difference").orderBy(F.abs("difference").desc(), "feature").limit(k)
 
 
+def _draw(seed: int, key: str | None) -> Column:
+    """What rows are drawn by: a seeded digest of the key, so that reruns and other engines agree."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))) if key else F.rand(seed)
+
+
 def balanced_sample(d: DataFrame, cls: str, n: int = 500, seed: int = 1, key: str | None = None) -> DataFrame:
-    """At most n rows of each class, by a seeded hash of the key, so that reruns agree."""
-    order = F.xxhash64(F.lit(seed), F.col(key)) if key else F.rand(seed)
+    """At most n rows of each class, by a seeded digest of the key; each task sends on its best n of a class."""
+    order = _draw(seed, key)
     ranked = d.withColumn("_rn", F.row_number().over(Window.partitionBy(cls).orderBy(order, *([key] if key else []))))
     return ranked.where(F.col("_rn") <= n).drop("_rn")
 
 
 def random_sample(d: DataFrame, n: int = 2000, seed: int = 1, key: str | None = None) -> DataFrame:
-    order = F.xxhash64(F.lit(seed), F.col(key)) if key else F.rand(seed)
-    return d.orderBy(order).limit(n)
+    """n rows without replacement (a top-n by the seeded digest of the key)."""
+    return d.orderBy(_draw(seed, key)).limit(n)
+
+
+def distribution(d: DataFrame, column: str) -> DataFrame:
+    """(column, n, pct)."""
+    per = d.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return per.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def in_folds(d: DataFrame, row_no: str, folds: list[tuple[int, int, int]]) -> DataFrame:
+    """The rows that are some fold's test, with its number."""
+    which = F.coalesce(*(F.when((F.col(row_no) >= a) & (F.col(row_no) < b), F.lit(k)) for k, a, b in folds)) if folds else F.lit(None).cast("int")
+    return d.withColumn("fold", which).where(F.col("fold").isNotNull())
+
+
+def fold_metrics(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """(fold, n, accuracy, mae) of rows with their fold."""
+    right = (F.col(label) == F.col(prediction)).cast("double")
+    return scored.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg(right).alias("accuracy"), F.avg(F.abs(F.col(label) - F.col(prediction))).alias("mae"))
+
+
+def fold_averages(per_fold: DataFrame) -> DataFrame:
+    """One row: the folds' mean figures, and the best fold by accuracy (of equal ones the first)."""
+    best = F.max_by("fold", F.struct("accuracy", -F.col("fold")))
+    return per_fold.agg(F.count(F.lit(1)).alias("folds"), F.avg("accuracy").alias("accuracy"), F.avg("mae").alias("mae"), best.alias("best_fold"), F.max("accuracy").alias("best_accuracy"))

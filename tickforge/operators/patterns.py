@@ -215,6 +215,13 @@ STRONG_SIDE, WEAK_SIDE = "strong_dominant_>150", "weak_dominant_<=150"
 ALWAYS = (("by_direction", "UP"), ("by_direction", "DOWN"), ("by_pre_strength", STRONG_SIDE), ("by_pre_strength", WEAK_SIDE), ("overall", "all"))
 
 
+def pattern_totals(events: DataFrame) -> DataFrame:
+    """One row: patterns, successes, fails, timeouts, and the hit rate of those resolved."""
+    count = lambda x: F.count_if(F.col("outcome") == x)
+    resolved = count("success") + count("fail")
+    return events.agg(F.count(F.lit(1)).alias("total_patterns"), count("success").alias("successes"), count("fail").alias("fails"), count("timeout").alias("timeouts"), F.coalesce(F.try_divide(count("success").cast("double"), resolved.cast("double")), F.lit(0.0)).alias("hit_rate"))
+
+
 def pattern_stats(events: DataFrame) -> DataFrame:
     """(stratum, category, n, success, hit_rate) over resolved events; direction, strength and overall are there even if empty."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -226,6 +228,14 @@ def forward_labels(spark, d):
     return f.select("bar_time", "future_close", F.round("future_return", 9).alias("future_return"), "magnitude_label", "direction_label")
 
 
+@query(f"WITH {o.bars(HOUR)}, gp AS (SELECT median(epoch_us(bar_time) - epoch_us(pt)) AS g FROM (SELECT bar_time, lag(bar_time) OVER (ORDER BY bar_seq) AS pt FROM bars)), hz AS (SELECT CAST(floor(18000000000 / g) AS BIGINT) AS h FROM gp) SELECT a.bar_time, h AS ahead, b.close AS future_close, CAST(sign(b.close - a.close) AS DOUBLE) AS direction_label FROM bars a, hz LEFT JOIN bars b ON b.bar_seq = a.bar_seq + h")
+def forward_labels_horizon(spark, d):
+    """A horizon of five hours, in bars of the table's own spacing."""
+    b = hour_bars(spark, d)
+    n = labels.bars_ahead(b, 18_000)
+    return labels.forward_labels(b, n).select("bar_time", F.lit(n).cast("long").alias("ahead"), "future_close", "direction_label")
+
+
 @query(f"{FWD} SELECT direction_label, count(*) AS n, round(avg(magnitude_label), 6) AS mean_magnitude, round(stddev_samp(magnitude_label), 6) AS std_magnitude, median(magnitude_label) AS median_magnitude, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM lab WHERE direction_label IS NOT NULL GROUP BY direction_label")
 def label_distribution(spark, d):
     return rounded(labels.label_distribution(labels.forward_labels(hour_bars(spark, d), 5)))
@@ -307,23 +317,27 @@ def pattern_events(spark, d):
     return rounded(_patterns(spark, d))
 
 
-def _buckets(x: str, edges) -> str:
-    return "CASE " + " ".join(f"WHEN {x} >= {lo} AND {x} < {hi} THEN '{name}'" for name, lo, hi in edges) + " END"
-
-
 @query(f"""{PATTERN}, rs AS (SELECT * FROM ev WHERE outcome <> 'timeout'), st AS (
 SELECT 'overall' AS stratum, 'all' AS category, outcome FROM rs UNION ALL SELECT 'by_direction', breakout_direction, outcome FROM rs
-UNION ALL SELECT 'by_pre_strength', CASE WHEN dominant_strength_pre > 150 THEN '{patterns.STRONG_SIDE}' ELSE '{patterns.WEAK_SIDE}' END, outcome FROM rs
-UNION ALL SELECT 'by_breakout_imbalance', {_buckets('breakout_imbalance', patterns.IMBALANCE)}, outcome FROM rs UNION ALL SELECT 'by_retrace_pct', {_buckets('retrace_pct', patterns.RETRACE)}, outcome FROM rs
+UNION ALL SELECT 'by_pre_strength', CASE WHEN dominant_strength_pre > 150 THEN 'strong_dominant_>150' ELSE 'weak_dominant_<=150' END, outcome FROM rs
+UNION ALL SELECT 'by_breakout_imbalance', CASE WHEN breakout_imbalance >= 0.5 AND breakout_imbalance < 1.01 THEN 'strong_buy (>0.5)' WHEN breakout_imbalance >= 0.2 AND breakout_imbalance < 0.5 THEN 'moderate (0.2-0.5)'
+  WHEN breakout_imbalance >= -0.2 AND breakout_imbalance < 0.2 THEN 'weak (<0.2)' WHEN breakout_imbalance >= -0.5 AND breakout_imbalance < -0.2 THEN 'moderate_sell (-0.5--0.2)' WHEN breakout_imbalance >= -1.01 AND breakout_imbalance < -0.5 THEN 'strong_sell (<-0.5)' END, outcome FROM rs
+UNION ALL SELECT 'by_retrace_pct', CASE WHEN retrace_pct >= 0.5 AND retrace_pct < 0.6 THEN '50%-60%' WHEN retrace_pct >= 0.6 AND retrace_pct < 0.7 THEN '60%-70%' WHEN retrace_pct >= 0.7 AND retrace_pct < 0.8 THEN '70%-80%'
+  WHEN retrace_pct >= 0.8 AND retrace_pct < 0.9 THEN '80%-90%' WHEN retrace_pct >= 0.9 AND retrace_pct < 1.01 THEN '90%-101%' END, outcome FROM rs
 UNION ALL SELECT 'by_retrace_level', retrace_level_type, outcome FROM rs
-UNION ALL SELECT 'by_retrace_imbalance', CASE WHEN (breakout_direction = 'UP' AND retrace_imbalance < -0.3) OR (breakout_direction = 'DOWN' AND retrace_imbalance > 0.3) THEN '{patterns.ABSORBED}' ELSE '{patterns.WEAK}' END, outcome FROM rs
-UNION ALL SELECT 'by_vwap_conviction', {_buckets('breakout_vwap_position', patterns.VWAP)}, outcome FROM rs
-UNION ALL SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}', NULL)" for a, b in patterns.ALWAYS)}))
+UNION ALL SELECT 'by_retrace_imbalance', CASE WHEN (breakout_direction = 'UP' AND retrace_imbalance < -0.3) OR (breakout_direction = 'DOWN' AND retrace_imbalance > 0.3) THEN 'retrace_absorbed (counter-dir dominant)' ELSE 'retrace_weak (same-dir or neutral)' END, outcome FROM rs
+UNION ALL SELECT 'by_vwap_conviction', CASE WHEN breakout_vwap_position >= 0.7 AND breakout_vwap_position < 1.01 THEN 'high_conviction (>0.7)' WHEN breakout_vwap_position >= 0.4 AND breakout_vwap_position < 0.7 THEN 'moderate (0.4-0.7)' WHEN breakout_vwap_position >= 0 AND breakout_vwap_position < 0.4 THEN 'low_conviction (<0.4)' END, outcome FROM rs
+UNION ALL SELECT * FROM (VALUES ('by_direction', 'UP', NULL), ('by_direction', 'DOWN', NULL), ('by_pre_strength', 'strong_dominant_>150', NULL), ('by_pre_strength', 'weak_dominant_<=150', NULL), ('overall', 'all', NULL)))
 SELECT stratum, category, count(outcome) AS n, CAST(sum(CASE WHEN outcome = 'success' THEN 1 ELSE 0 END) AS BIGINT) AS success, coalesce(CAST(sum(CASE WHEN outcome = 'success' THEN 1 ELSE 0 END) AS DOUBLE) / nullif(count(outcome), 0), 0) AS hit_rate FROM st WHERE category IS NOT NULL GROUP BY stratum, category""")
 def pattern_stats(spark, d):
     return patterns.pattern_stats(_patterns(spark, d))
 
 
+@query(f"{PATTERN} SELECT count(*) AS total_patterns, CAST(count_if(outcome = 'success') AS BIGINT) AS successes, CAST(count_if(outcome = 'fail') AS BIGINT) AS fails, CAST(count_if(outcome = 'timeout') AS BIGINT) AS timeouts, coalesce(CAST(count_if(outcome = 'success') AS DOUBLE) / nullif(CAST(count_if(outcome <> 'timeout') AS DOUBLE), 0), 0) AS hit_rate FROM ev")
+def pattern_totals(spark, d):
+    return patterns.pattern_totals(_patterns(spark, d))
+
+
 def scored(spark, d):
     """Rule-based scores in the place of models, so that SQL can follow."""
     b = features.with_margin(hour_bars(spark, d, HALF), "bar_seq", features.BACK).withColumns(features.true_range()).withColumns(features.atr(14))
@@ -376,6 +390,26 @@ def trade_results(spark, d):
     return _trades(spark, d).select("entry_time", "direction", market.trade_result(F.col("pnl_points")).alias("result"))
 
 
+@query(f"""{TRADES} SELECT count(*) AS n, CAST(count_if(pnl_points > 0) AS BIGINT) AS wins, CAST(count_if(NOT pnl_points > 0) AS BIGINT) AS losses, CAST(count_if(pnl_points < 0) AS BIGINT) AS strict_losses, CAST(count_if(pnl_points = 0) AS BIGINT) AS scratches, round(coalesce(CAST(count_if(pnl_points > 0) AS DOUBLE) / nullif(count(*), 0), 0), 6) AS win_rate,
+round(coalesce(sum(CASE WHEN pnl_points > 0 THEN pnl_points END), 0) / nullif(coalesce(abs(sum(CASE WHEN NOT pnl_points > 0 THEN pnl_points END)), 0), 0), 6) AS profit_factor, round(coalesce(avg(CASE WHEN pnl_points > 0 THEN pnl_points END), 0), 6) AS avg_win, round(coalesce(avg(CASE WHEN NOT pnl_points > 0 THEN pnl_points END), 0), 6) AS avg_loss, coalesce(sum(pnl_points), 0) AS total_points FROM taken""")
+def viewer_stats(spark, d):
+    return rounded(backtest.viewer_stats(_trades(spark, d)))
+
+
+@query(f"{TRADES}, v AS (SELECT *, pnl_points > 0 AS win FROM taken) SELECT f AS filter, entry_time, pnl_points FROM v, (VALUES ('all'), ('win'), ('loss'), ('long'), ('short')) t(f) WHERE f = 'all' OR (f = 'win' AND win) OR (f = 'loss' AND NOT win) OR (f = 'long' AND direction = 'LONG') OR (f = 'short' AND direction = 'SHORT')")
+def viewer_filters(spark, d):
+    t = _trades(spark, d)
+    parts = [backtest.viewer_filter(t, f).select(F.lit(f).alias("filter"), "entry_time", "pnl_points") for f in backtest.FILTERS]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query(f"{FOOT} SELECT b.bar_time, b.close, f.buy AS level_buy, f.sell AS level_sell, CASE WHEN b.volume >= 1000 THEN printf('%.1fK', b.volume / 1000.0) ELSE CAST(b.volume AS VARCHAR) END AS label FROM bars b LEFT JOIN fk f ON f.bar_time = b.bar_time AND f.price = b.close")
+def footprint_lookup(spark, d):
+    t = events.ticks(spark, d)
+    b = bars.level_at(bars.time_bars(t, HOUR, runs=False), bars.footprint(t, HOUR))
+    return b.select("bar_time", "close", "level_buy", "level_sell", market.volume_label(F.col("volume")).alias("label"))
+
+
 ORDERS = "WITH " + o.bars(HOUR) + ", q AS (SELECT o_orderkey, CAST('2024-01-01' AS TIMESTAMP) + INTERVAL 1 SECOND * (o_orderkey * 7919 % 2592000) AS moment FROM orders)"
 
 
@@ -418,6 +452,23 @@ def predict_postprocess(spark, d):
     return rounded(b.select("bar_time", *(c.alias(k) for k, c in p.items())))
 
 
+@query(f"WITH {o.bars(HOUR)}, p AS (SELECT (1 + coalesce(flow_imbalance, 0)) / 2 AS u FROM bars), s AS (SELECT CASE WHEN abs(u - 0.5) * 2 > 0.3 THEN CASE WHEN u > 0.5 THEN 'UP' ELSE 'DOWN' END ELSE 'HOLD' END AS signal FROM p) SELECT signal, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM s GROUP BY signal")
+def signal_distribution(spark, d):
+    b = bars.time_bars(events.ticks(spark, d), HOUR, runs=False)
+    p = market.prediction((1 + F.coalesce("flow_imbalance", F.lit(0.0))) / 2, F.col("high") - F.col("low"))
+    return rounded(models.distribution(b.select(p["signal"].alias("signal")), "signal"))
+
+
+@query(f"""WITH {o.bars(HOUR)}, y AS (SELECT bar_seq, CAST(lead(close) OVER (ORDER BY bar_seq) > close AS INTEGER) AS a, CAST(flow_imbalance > 0 AS INTEGER) AS p FROM bars), n AS (SELECT count(*) AS n FROM bars),
+fo AS (SELECT i AS fold, CAST(floor(n * 0.3) AS BIGINT) + i * CAST(floor(n * 0.7 / 5) AS BIGINT) AS s, CAST(floor(n * 0.7 / 5) AS BIGINT) AS w FROM n, range(5) t(i)),
+m AS (SELECT fold, avg(CAST(a = p AS INTEGER)) AS acc, avg(abs(a - p)) AS mae FROM y JOIN fo ON bar_seq >= s AND bar_seq < s + w WHERE a IS NOT NULL GROUP BY fold)
+SELECT count(*) AS folds, round(avg(acc), 6) AS accuracy, round(avg(mae), 6) AS mae, CAST(arg_max(fold, (acc, -fold)) AS INTEGER) AS best_fold, round(max(acc), 6) AS best_accuracy FROM m""")
+def fold_averages(spark, d):
+    b = hour_bars(spark, d)
+    f = labels.forward_labels(b, 1).where("future_close IS NOT NULL").select("bar_seq", (F.col("future_close") > F.col("close")).cast("int").alias("label"), (F.col("flow_imbalance") > 0).cast("int").alias("prediction"))
+    return rounded(models.fold_averages(models.fold_metrics(models.in_folds(f, "bar_seq", models.walk_forward(b.count(), 5, 0.3)))))
+
+
 EFFECT = ("flow_imbalance", "volume", "intensity", "max_single_txn", "max_buy_run", "max_sell_run")
 _effects = " UNION ALL ".join(f"SELECT '{f}' AS feature, corr({f}, fr) AS c, count({f}) AS n FROM y WHERE fr IS NOT NULL" for f in EFFECT)
 
@@ -466,7 +517,7 @@ def union_ticks(spark, d):
     return side(1, "buys").unionByName(side(-1, "sales"))
 
 
-@query()
+@query(f"{FWD}, rk AS (SELECT bar_time, direction_label, row_number() OVER (PARTITION BY direction_label ORDER BY md5('1:' || CAST(bar_time AS VARCHAR)), bar_time) AS n FROM lab WHERE direction_label <> 0) SELECT bar_time, direction_label FROM rk WHERE n <= 500")
 def balanced_sample(spark, d):
     f = labels.forward_labels(hour_bars(spark, d), 5).where("direction_label <> 0")
     return models.balanced_sample(f, "direction_label", 500, key="bar_time").select("bar_time", "direction_label")
