@@ -9,6 +9,10 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "4g")
+        .config("spark.sql.ui.retainedExecutions", "5")
+        .config("spark.ui.retainedJobs", "20")
+        .config("spark.ui.retainedStages", "20")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))

@@ -1,74 +1,73 @@
 """Commands over files: `python -m tickforge COMMAND ...`.
 
-ticks, minutes: show, summarise or export a binary file.  features: a feature matrix.  patterns: events and hit rates.
-backtest: trades and metrics.  train, predict: models.  live: signals from a folder that grows.
+ticks, minutes: show, summarise or export a binary file.  features: a feature matrix.  charts: the tables of a chart.  patterns: events and hit rates.
+train: the models of a generation.  predict: the first generation's predictions.  backtest, explain, viewer, live: what the second generation's models are used for.
+run-trading, run-all: the two chains of these as one command.
 """
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.functions import market
-from tickforge.operators import backtest, bars, features, labels, patterns
-from tickforge.plans import learning
+from tickforge.operators import bars, models, patterns
+from tickforge.plans import learning, workflow
 from tickforge.sources import binary, tables
 from tickforge.sources.scratch import written
 from tickforge.streaming import live
+from tickforge.streaming.growing import TickFolder
 
 
 def arguments() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tickforge", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("ticks", "minutes"):
+
+    def command(name: str, *positional: str, **flags):
         c = sub.add_parser(name)
-        c.add_argument("input_file")
-        c.add_argument("-n", "--limit", type=int, default=50)
-        c.add_argument("--all", action="store_true")
-        c.add_argument("--csv")
-        c.add_argument("--summary", action="store_true")
-    c = sub.add_parser("features")
-    c.add_argument("data_dir")
-    c.add_argument("--window", default="1 minute")
-    c.add_argument("--horizon", type=int, default=5, help="bars ahead of the labels")
-    c.add_argument("--output", default="features.parquet")
-    c = sub.add_parser("patterns")
+        for x in positional:
+            c.add_argument(x)
+        for flag, default in flags.items():
+            kind = {"type": type(default)} if default is not None and not isinstance(default, bool) else {}
+            c.add_argument(f"--{flag.replace('_', '-')}", **({"action": "store_true"} if isinstance(default, bool) else {"default": default, **kind}))
+        return c
+
+    for name in ("ticks", "minutes"):
+        command(name, "input_file", all=False, csv=None, summary=False).add_argument("-n", "--limit", type=int, default=50)
+    command("features", "data_dir", window="1min", horizon="5min", output="features.parquet")
+    command("charts", "input_file", interval="1min").add_argument("-o", "--output", required=True)
+    c = command("patterns", min_consol=5, max_consol=10, min_vol=2000.0, min_balance=0.4, min_body=4.0, max_retrace_bars=5, min_retrace=0.5, target_ticks=50, stop_ticks=20, window="1min", cache_dir=None, no_cache=False)
     c.add_argument("input_paths", nargs="+")
-    for flag, default in (("min-consol", 5), ("max-consol", 10), ("max-retrace-bars", 5), ("target-ticks", 50), ("stop-ticks", 20)):
-        c.add_argument(f"--{flag}", type=int, default=default)
-    for flag, default in (("min-vol", 2000.0), ("min-balance", 0.4), ("min-body", 4.0), ("min-retrace", 0.5)):
-        c.add_argument(f"--{flag}", type=float, default=default)
-    c.add_argument("--window", default="1 minute")
     c.add_argument("-o", "--output")
-    c = sub.add_parser("train")
-    c.add_argument("features")
-    c.add_argument("--kind", choices=("direction", "magnitude", "signal", "volatility", "quality"), default="signal")
-    c.add_argument("--folds", type=int, default=5)
+    c = command("train", "data", window="1min", horizon="5min", rr=1.5, max_hold=60, folds=5)
+    c.add_argument("--generation", type=int, choices=(1, 2), default=2)
     c.add_argument("--output-dir", required=True)
-    c = sub.add_parser("backtest")
-    c.add_argument("scored", help="bars with prob_long, prob_short, quality and atr")
-    c.add_argument("--rr", type=float, default=1.5)
-    c.add_argument("--signal-threshold", type=float, default=0.55)
-    c.add_argument("--quality-threshold", type=float, default=0.5)
-    c.add_argument("--max-hold", type=int, default=60)
+    command("predict", "data_dir", window="1min", horizon="5min", output=None, tail=20).add_argument("--models-dir", required=True)
+    trading = {"rr": 1.5, "signal_threshold": 0.55, "quality_threshold": 0.5}
+    c = command("backtest", "models_dir", features=None, data=None, window="1min", max_hold=60, **trading)
+    c.add_argument("--output", required=True)
+    for name in ("explain", "viewer"):
+        c = command(name, "models_dir")
+        for flag in ("--features", "--trades", "--output"):
+            c.add_argument(flag, required=True)
+    c = command("live", "models_dir", window="1min", tail=30, work=None, once=False, lookback="2d", **trading)
+    either = c.add_mutually_exclusive_group(required=True)
+    either.add_argument("--watch", help="a folder of growing binary files")
+    either.add_argument("--file", help="a binary file to replay")
+    c = command("run-trading", "data", "window", "rr", "max_hold", "folds")
     c.add_argument("--output", required=True)
-    c = sub.add_parser("live")
-    c.add_argument("folder")
-    c.add_argument("--window", default="1 minute")
-    c.add_argument("--work", required=True, help="folder for history and checkpoint")
+    command("run-all", "data", "window", "horizon").add_argument("--output", required=True)
     return p
 
 
-def feature_matrix(ticks: DataFrame, width: str, horizon: int) -> DataFrame:
-    """All features and labels; the newest bars stay, with NULL labels."""
-    b = written(bars.sequence(bars.time_bars(ticks, width)), "bars")
-    f = features.second_generation(b)
-    add = [labels.trade_labels(labels.triple_barrier(b)), labels.atr_target(b), labels.forward_labels(b, horizon)]
-    for other in add:
-        f = f.join(other.select("bar_seq", *(c for c in other.columns if c not in f.columns)), "bar_seq")
-    return f
+def matrix(spark: SparkSession, path: str, a: argparse.Namespace):
+    """A feature matrix: read if path is a table, made if it is a folder of binary files."""
+    if path.rstrip("/").endswith((".parquet", ".csv")):
+        return tables.read_table(spark, path)
+    binary.required(spark, path)
+    of = vars(a)
+    return workflow.feature_matrix(binary.read_ticks(spark, path, glob="*.data"), a.window, of.get("horizon", "5min"), float(of.get("rr", 1.5)), int(of.get("max_hold", 60)))
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -83,32 +82,72 @@ def main(argv: list[str] | None = None) -> None:
         else:
             tables.preview(d, limit=None if a.all else a.limit).show(1_000_000 if a.all else a.limit, truncate=False)
     elif a.command == "features":
-        feature_matrix(binary.read_ticks(spark, a.data_dir, glob="*.data"), a.window, a.horizon).write.mode("overwrite").parquet(a.output)
+        tables.write_table(matrix(spark, a.data_dir, a), a.output)
+    elif a.command == "charts":
+        binary.required(spark, a.input_file, glob="*")
+        t, width = binary.read_ticks(spark, a.input_file), workflow.width_of(a.interval)
+        for name, d in (("bars", bars.time_bars(t, width, runs=False)), ("cvd", bars.cvd_bars(t, width)), ("footprint", bars.footprint(t, width))):
+            tables.write_table(d, f"{a.output}/{name}.parquet")
     elif a.command == "patterns":
-        t = binary.read_ticks(spark, a.input_paths, strict=True, glob="*.data")
-        events = patterns.pattern_events(bars.sequence(bars.time_bars(t, a.window)), t, a.window, a.min_consol, a.max_consol, a.min_vol, a.min_balance, a.min_body, a.max_retrace_bars, a.min_retrace, a.target_ticks, a.stop_ticks)
+        width = workflow.width_of(a.window)
+        t = binary.ingest(spark, a.input_paths, a.cache_dir) if a.cache_dir and not a.no_cache else binary.read_ticks(spark, a.input_paths, strict=True, glob="*.data")
+        t = written(patterns.tick_numbers(t), "pattern-ticks")
+        events = patterns.pattern_events(written(bars.sequence(bars.time_bars(t, width)), "pattern-bars"), t, width, a.min_consol, a.max_consol, a.min_vol, a.min_balance, a.min_body, a.max_retrace_bars, a.min_retrace, a.target_ticks, a.stop_ticks)
         events = written(events, "pattern-events")
+        patterns.pattern_totals(events).show(vertical=True)
         patterns.pattern_stats(events).orderBy("stratum", "category").show(100, truncate=False)
         if a.output:
-            events.write.mode("overwrite").csv(a.output, header=True)
+            tables.write_table(events, a.output)
     elif a.command == "train":
-        d = tables.read_table(spark, a.features)
-        names = learning.feature_columns(d)
-        model, report = learning.train(d, a.kind, names, a.folds)
-        for row in report:
-            print(row)
-        if model:
-            learning.save(model, a.output_dir, names, report)
+        kinds = learning.FIRST if a.generation == 1 else learning.SECOND
+        for kind, rows in workflow.train_all(matrix(spark, a.data, a), kinds, a.output_dir, a.folds, rr=a.rr, max_hold=a.max_hold, window=a.window).items():
+            print(workflow.report(kind, rows))
+    elif a.command == "predict":
+        kept, meta = learning.load(spark, a.models_dir)
+        p = written(workflow.predictions(kept, meta["features"], matrix(spark, a.data_dir, a)), "predictions")
+        p.orderBy(F.col("bar_time").desc()).limit(a.tail).orderBy("bar_time").show(a.tail, truncate=False)
+        models.distribution(p, "signal").show()
+        if a.output:
+            tables.write_table(p, a.output)
     elif a.command == "backtest":
-        d = tables.read_table(spark, a.scored)
-        taken = backtest.trades(d, rr=a.rr, threshold=a.signal_threshold, quality_threshold=a.quality_threshold, max_hold=a.max_hold)
-        taken.drop("bar_seq", "exit_seq", "next_free").write.mode("overwrite").csv(f"{a.output}/trades", header=True)
-        backtest.equity_curve(d, taken).write.mode("overwrite").csv(f"{a.output}/equity", header=True)
-        backtest.metrics(taken).write.mode("overwrite").json(f"{a.output}/metrics")
-        backtest.metrics(taken).show(vertical=True)
+        kept, meta = learning.load(spark, a.models_dir)
+        workflow.run_backtest(kept, meta["features"], matrix(spark, a.features or a.data, a), a.output, a.rr, a.signal_threshold, a.quality_threshold, a.max_hold)
+        print(tables.read_text(spark, f"{a.output}/report.txt"))
+    elif a.command == "explain":
+        kept, meta = learning.load(spark, a.models_dir)
+        workflow.explain(kept, meta["features"], tables.read_table(spark, a.features), tables.read_trades(spark, a.trades), a.output)
+        print(tables.read_text(spark, f"{a.output}/report.txt"))
+    elif a.command == "viewer":
+        workflow.viewer(spark, tables.read_trades(spark, a.trades), tables.read_table(spark, a.features), a.output)
+    elif a.command == "live":
+        kept, meta = learning.load(spark, a.models_dir)
+        signal = lambda t: workflow.live_signals(kept, meta["features"], t, a.window, rr=a.rr, threshold=a.signal_threshold, quality_threshold=a.quality_threshold)
+        if a.file:
+            live.replay(signal(binary.read_ticks(spark, a.file)), a.tail).orderBy("bar_time").show(a.tail, truncate=False)
+        else:
+            spark.dataSource.register(TickFolder)
+            stream = spark.readStream.format("tick_folder").option("path", a.watch).load()
+            live.watch_ticks(stream, f"{a.work}/history", signal, f"{a.work}/checkpoint", f"{a.work}/signals", workflow.duration(a.lookback), once=a.once).awaitTermination()
+    elif a.command == "run-trading":
+        run_trading(spark, a)
     else:
-        newest = lambda b: b.orderBy(F.col("bar_time").desc()).limit(1).select("bar_time", "close", market.is_rth(F.col("bar_time")).alias("rth"), "flow_imbalance")
-        live.watch(live.stream_bars(live.stream_ticks(spark, a.folder), a.window), f"{a.work}/history", newest, f"{a.work}/checkpoint", out=f"{a.work}/signals").awaitTermination()
+        d = written(matrix(spark, a.data, a), "features")
+        tables.write_table(d, f"{a.output}/features.parquet")
+        workflow.train_all(d, learning.FIRST, f"{a.output}/models")
+        kept, meta = learning.load(spark, f"{a.output}/models")
+        tables.write_table(workflow.predictions(kept, meta["features"], d), f"{a.output}/predictions.csv")
+
+
+def run_trading(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Features, models, backtest, explanation and viewer files, one after another, under one folder."""
+    d = written(matrix(spark, a.data, a), "features")
+    tables.write_table(d, f"{a.output}/features.parquet")
+    workflow.train_all(d, learning.SECOND, f"{a.output}/models", int(a.folds), rr=float(a.rr), max_hold=int(a.max_hold), window=a.window)
+    kept, meta = learning.load(spark, f"{a.output}/models")
+    workflow.run_backtest(kept, meta["features"], d, f"{a.output}/backtest", rr=float(a.rr), max_hold=int(a.max_hold))
+    trades = tables.read_trades(spark, f"{a.output}/backtest/trades.csv")
+    workflow.explain(kept, meta["features"], d, trades, f"{a.output}/explanation")
+    workflow.viewer(spark, trades, d, f"{a.output}/viewer")
 
 
 if __name__ == "__main__":

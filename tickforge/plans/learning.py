@@ -1,23 +1,35 @@
-"""Walk-forward training and scoring of the three models with pyspark.ml.
+"""Walk-forward training, scoring and explanation of the models with pyspark.ml.
 
-Another boosting library than LightGBM: splits, schemas and formulas are as described, figures differ.
+Another boosting library than LightGBM: splits, schemas and formulas are as described, figures differ.  Explanations are by ablation
+(what a row's prediction loses if a feature is put to the table's mean) and by permutation, as there is no SHAP.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickforge.operators import models
-from tickforge.sources.tables import write_json
+from tickforge.operators.ordering import BLOCK, numbered
+from tickforge.sources.scratch import path_of, written
+from tickforge.sources.tables import read_json, write_json
 
 #: Columns that are no features: times, levels, labels.
 EXCLUDED = frozenset("bar_time bar_seq open high low close price_volume future_close future_return magnitude_label direction_label sl_points tp_points trade_label long_result short_result long_bars_held short_bars_held long_mae short_mae long_mfe short_mfe is_rth atr_target has_trade_outcome quality_label max_single_buy max_single_sell row_no label".split())
+#: The generations of models, and the share of rows before the first fold and the least rows of each.
+FIRST, SECOND = ("direction", "magnitude"), ("signal", "volatility", "quality")
+RULES = {
+    "direction": {"ratio": 0.3}, "magnitude": {"ratio": 0.3}, "signal": {"ratio": 0.5, "least_train": 100, "least_test": 20},
+    "volatility": {"ratio": 0.5, "least_train": 100, "least_test": 20}, "quality": {"ratio": 0.5, "least_train": 100, "least_test": 20},
+}
+REGRESSIONS = ("magnitude", "volatility")
 
 
 def feature_columns(df: DataFrame) -> list[str]:
@@ -29,7 +41,7 @@ def learner(kind: str, seed: int = 42, trees: int = 20, depth: int = 4):
     """direction and quality: two classes; magnitude and volatility: a number; signal: three classes, for which MLlib's boosting has no form."""
     if kind in ("direction", "quality"):
         return GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed)
-    if kind in ("magnitude", "volatility"):
+    if kind in REGRESSIONS:
         return GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed)
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
 
@@ -47,51 +59,139 @@ def labelled(df: DataFrame, kind: str) -> DataFrame:
     return df.where("is_rth").withColumn("label", (F.col("trade_label") + 1).cast("double"))
 
 
-def train(df: DataFrame, kind: str, features: list[str] | None = None, folds: int = 5, ratio: float = 0.5, least_train: int = 100, least_test: int = 20, **learning) -> tuple[PipelineModel | None, list[dict]]:
-    """The best fold's model and every fold's metrics (measured on rows that the fold's model hasn't seen)."""
-    features = features or feature_columns(df)
-    d = labelled(df.dropna(subset=features), kind)
-    # One row a bar: numbered in order of bar_seq to cut folds at exact shares.
-    from pyspark.sql import Window
+def train(df: DataFrame, kind: str, features: list[str] | None = None, folds: int = 5, ratio: float | None = None, least_train: int | None = None, least_test: int | None = None, **learning) -> tuple[PipelineModel | None, list[dict]]:
+    """The best fold's model and every fold's metrics (measured on rows that the fold's model hasn't seen).
 
-    d = d.withColumn("row_no", F.row_number().over(Window.orderBy("bar_seq")) - 1)
-    regress = kind in ("magnitude", "volatility")
+    Rows are numbered in order of bar_seq, by blocks, to cut folds at exact shares; rows without a feature are left out.
+    """
+    features = features or feature_columns(df)
+    rule = {"ratio": 0.5, "least_train": 0, "least_test": 0} | RULES[kind] | {k: v for k, v in (("ratio", ratio), ("least_train", least_train), ("least_test", least_test)) if v is not None}
+    d = labelled(df.dropna(subset=features), kind).select("bar_seq", "label", *features)
+    d = written(numbered(d, F.floor(F.col("bar_seq") / BLOCK), ["bar_seq"], "row_no"), f"train-{kind}")
     best, report = None, []
-    for fold, start, end in models.walk_forward(d.count(), folds, ratio, least_train, least_test):
+    for fold, start, end in models.walk_forward(d.count(), folds, **rule):
         pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), learner(kind, **learning)])
         model = pipe.fit(d.where(F.col("row_no") < start))
         scored = model.transform(d.where((F.col("row_no") >= start) & (F.col("row_no") < end)))
-        m = (models.regression_metrics if regress else models.classification_metrics)(scored).first().asDict()
-        score = -m["mae"] if regress else m["f1"] if kind == "quality" else m["accuracy"]
+        m = (models.regression_metrics if kind in REGRESSIONS else models.classification_metrics)(scored).first().asDict()
+        score = -m["mae"] if kind in REGRESSIONS else m["f1"] if kind == "quality" else m["accuracy"]
         report.append({"fold": fold, "train": start, "test": end - start, **m})
         if best is None or score > best[0]:
             best = (score, model)
     return (best[1] if best else None), report
 
 
+def averages(report: list[dict]) -> dict[str, float]:
+    """The mean of each figure over a model's folds."""
+    names = [k for k in (report[0] if report else {}) if k not in ("fold", "train", "test")]
+    return {k: sum(r[k] or 0.0 for r in report) / len(report) for k in names}
+
+
 def importance(model: PipelineModel, features: list[str], k: int = 20) -> list[tuple[str, float]]:
     return sorted(zip(features, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:k]
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], seed: int = 7) -> list[tuple[str, float]]:
-    """The loss of accuracy when a feature is dealt anew among the rows: by a shift along a random order."""
-    from pyspark.sql import Window
+def outcome(model: PipelineModel, d: DataFrame, name: str = "_out") -> DataFrame:
+    """d with one number a row: the probability of the last class, or what a regression says."""
+    p = model.transform(d)
+    value = F.element_at(vector_to_array("probability"), -1) if "probability" in p.columns else F.col("prediction")
+    return p.withColumn(name, value).select(*d.columns, name)
+
 
-    base = models.classification_metrics(model.transform(df)).first()["accuracy"] or 0.0
-    out = []
-    for f in features:
-        w = Window.orderBy(F.xxhash64(F.lit(seed), "bar_seq"))
-        mixed = df.withColumn(f, F.coalesce(F.lag(f).over(w), F.col(f)))
-        out.append((f, base - (models.classification_metrics(model.transform(mixed)).first()["accuracy"] or 0.0)))
+def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], which: list[str] | None = None, seed: int = 7) -> list[tuple[str, float]]:
+    """The loss of accuracy when a feature (of all, or of those in `which`) is dealt anew among the rows: each takes that of the row before it in a random order.
+
+    Rows are numbered along the order by blocks of it and joined with the numbers shifted by one, once for all features.
+    """
+    draw = F.xxhash64(F.lit(seed), "bar_seq")
+    d = numbered(df.withColumn("_draw", draw), F.shiftright("_draw", 48), ["_draw", "bar_seq"], "_place")
+    d = written(d.select("_place", "label", *features), "permutation")
+    which = which or features
+    before = d.select((F.col("_place") + 1).alias("_place"), *(F.col(f).alias(f"_b_{f}") for f in which))
+    both = written(d.join(before, "_place", "left"), "permuted")
+    right = lambda x: models.classification_metrics(model.transform(x)).first()["accuracy"] or 0.0
+    base = right(d)
+    out = [(f, base - right(both.withColumn(f, F.coalesce(f"_b_{f}", f)))) for f in which]
     return sorted(out, key=lambda x: (-x[1], x[0]))
 
 
+def contributions(model: PipelineModel, rows: DataFrame, features: list[str], means: dict[str, float], key: str = "bar_seq") -> DataFrame:
+    """(key, feature, value, contribution): what each row's outcome owes to a feature's being other than the mean.
+
+    Each row is scored once for each feature, with that feature at its mean: rows are meant to be few (a report's trades, a balanced sample).
+    """
+    base = outcome(model, rows.select(key, *features))
+    names = F.array(*map(F.lit, features))
+    each = base.select(key, *features, "_out", F.explode(names).alias("_feature"))
+    mean = F.create_map(*(x for f in features for x in (F.lit(f), F.lit(float(means[f] or 0.0)))))
+    value = F.coalesce(*(F.when(F.col("_feature") == f, F.col(f).cast("double")) for f in features))
+    moved = each.withColumn("_value", value).withColumnsRenamed({f: f"_was_{f}" for f in features})
+    moved = moved.withColumns({f: F.when(F.col("_feature") == f, mean[F.lit(f)]).otherwise(F.col(f"_was_{f}").cast("double")) for f in features})
+    scored = outcome(model, moved, "_without")
+    return scored.select(key, F.col("_feature").alias("feature"), F.col("_value").alias("value"), (F.col("_out") - F.col("_without")).alias("contribution"))
+
+
+def top_factors(found: DataFrame, key: str = "bar_seq", k: int = 5) -> DataFrame:
+    """(key, rank, feature, value, contribution): each row's k largest contributions."""
+    order = Window.partitionBy(key).orderBy(F.abs("contribution").desc(), "feature")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, "rank", "feature", "value", "contribution")
+
+
+def class_factors(found: DataFrame, won: DataFrame, key: str = "bar_seq", k: int = 15, least: int = 10) -> DataFrame:
+    """Features by the difference of their mean |contribution| between rows that won (key, won) and lost; empty unless both have `least` rows."""
+    d = found.join(won, key)
+    size = F.abs("contribution")
+    win, lose = F.when(F.col("won"), size), F.when(~F.col("won"), size)
+    g = d.groupBy("feature").agg(F.avg(win).alias("winner_mean"), F.avg(lose).alias("loser_mean"), F.count(win).alias("nw"), F.count(lose).alias("nl"))
+    g = g.where((F.col("nw") >= least) & (F.col("nl") >= least)).withColumn("difference", F.col("winner_mean") - F.col("loser_mean"))
+    return g.select("feature", "winner_mean", "loser_mean", "difference").orderBy(F.abs("difference").desc(), "feature").limit(k)
+
+
+def global_factors(model: PipelineModel, found: DataFrame, rows: DataFrame, features: list[str], label: str, k: int = 15) -> DataFrame:
+    """(rank, feature, importance, corr, effect) by mean |contribution|, with the sign of the correlation with the label."""
+    size = found.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("importance"))
+    signs = models.effects(rows, features, label, len(features)).select("feature", "corr", "effect")
+    top = size.join(signs, "feature", "left").orderBy(F.col("importance").desc(), "feature").limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature"))).select("rank", "feature", "importance", "corr", "effect")
+
+
 def probabilities(model: PipelineModel, df: DataFrame, names: list[str]) -> DataFrame:
     """df with a column for each class's probability; every bar with features, also the newest."""
     p = model.transform(df).withColumn("_p", vector_to_array("probability"))
     return p.withColumns({n: F.col("_p")[i] for i, n in enumerate(names)}).drop("_p", "probability", "rawPrediction", "features", "prediction")
 
 
-def save(model: PipelineModel, path: str, features: list[str], report: list[dict]) -> None:
-    model.write().overwrite().save(path)
-    write_json({"features": features, "folds": report}, f"{path}/training_meta.json")
+def predicted(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
+    """df with a regression's number."""
+    return model.transform(df).withColumnRenamed("prediction", name).drop("features")
+
+
+def scored(kept: dict[str, PipelineModel], features: list[str], bars: DataFrame) -> DataFrame:
+    """bars with prob_long, prob_short, quality (NULL without that model) and atr, as a backtest and live signals take them; rows without a feature have NULL scores."""
+    d = bars.dropna(subset=features)
+    d = probabilities(kept["signal"], d, ["prob_short", "_flat", "prob_long"]).drop("_flat")
+    d = probabilities(kept["quality"], d, ["_bad", "quality"]).drop("_bad") if "quality" in kept else d.withColumn("quality", F.lit(None).cast("double"))
+    d = predicted(kept["volatility"], d, "_atr") if "volatility" in kept else d.withColumn("_atr", F.lit(None).cast("double"))
+    s = d.select("bar_seq", "prob_long", "prob_short", "quality", F.coalesce("_atr", "atr_14").alias("atr"))
+    return bars.drop("prob_long", "prob_short", "quality", "atr").join(s, "bar_seq", "left")
+
+
+def save(kept: dict[str, PipelineModel], path: str, features: list[str], reports: dict[str, list[dict]], **more) -> None:
+    """The models and training_meta.json, in any file system that Spark writes to."""
+    spark = SparkSession.getActiveSession()
+    for kind, model in kept.items():
+        model.write().overwrite().save(f"{path}/{kind}")
+    meta = {"features": features, "models": sorted(kept), "folds": reports, "averages": {k: averages(r) for k, r in reports.items()}, **more}
+    write_json(spark, json.loads(json.dumps(meta, default=str)), f"{path}/training_meta.json")
+
+
+def load(spark: SparkSession, path: str) -> tuple[dict[str, PipelineModel], dict]:
+    """(models by kind, metadata) as saved; a model whose folder is missing is left out."""
+    meta = read_json(spark, f"{path}/training_meta.json")
+    there = lambda kind: (lambda fs_p: fs_p[0].exists(fs_p[1]))(path_of(spark, f"{path}/{kind}"))
+    return {k: PipelineModel.load(f"{path}/{k}") for k in meta["models"] if there(k)}, meta
+
+
+def latest_signal(d: DataFrame, signal: Column, columns: list[str]) -> DataFrame:
+    """The newest bar's row with its signal."""
+    return d.agg(F.max_by(F.struct(*columns, signal.alias("signal")), "bar_time").alias("x")).select("x.*")

@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.functions import market
 
 from .binary import BAR, encode
+from .scratch import path_of
 
 TRADES = "entry_time timestamp_ntz, exit_time timestamp_ntz, direction string, entry_price double, exit_price double, sl_price double, tp_price double, exit_reason string, pnl_points double, pnl_dollars double, bars_held int, mae double, mfe double"
 
@@ -65,23 +67,52 @@ def write_metrics_json(metrics: DataFrame, path: str) -> None:
 
 
 def write_bar_files(bars: DataFrame, folder: str) -> int:
-    """60-byte records, a file a day, through Spark's tasks; folder must be one that all executors share.  Returns the bars written.
+    """60-byte records, a file a day, in any file system that Spark writes to.  Returns the bars written.
 
-    bars has bar_time, OHLC, buy_volume, sell_volume and volume; the cumulative volume runs over the day.
+    bars has bar_time, OHLC, buy_volume, sell_volume and volume; the cumulative volume runs over the day.  A day's records are packed in one task
+    (at most 86,400 bars of a second: 5 MB) and written one day after another, as a viewer's files are few.
     """
     d = bars.select(market.dotnet_ticks(F.col("bar_time")).alias("ticks"), F.to_date("bar_time").alias("day"), "open", "high", "low", "close", F.col("sell_volume").alias("sell_count"), F.col("buy_volume").alias("buy_count"), "volume")
 
-    def save(pdf):
+    def packed(pdf):
         pdf = pdf.sort_values("ticks")
         pdf["cumulative_volume"] = pdf["volume"].cumsum()
-        with open(f"{folder}/{pdf['day'].iloc[0]}.data", "wb") as f:
-            f.write(encode(BAR, pdf))
-        return pdf[["ticks"]].agg(["count"]).rename(columns={"ticks": "n"})
+        return pd.DataFrame({"day": [str(pdf["day"].iloc[0])], "n": [len(pdf)], "data": [encode(BAR, pdf)]})
 
-    return sum(r["n"] for r in d.groupBy("day").applyInPandas(save, "n long").collect())
+    spark, total = bars.sparkSession, 0
+    for r in d.groupBy("day").applyInPandas(packed, "day string, n long, data binary").toLocalIterator():
+        fs, p = path_of(spark, f"{folder}/{r['day']}.data")
+        out = fs.create(p, True)
+        try:
+            out.write(bytearray(r["data"]))
+        finally:
+            out.close()
+        total += r["n"]
+    return total
 
 
-def write_json(value: dict, path: str) -> None:
-    """A small document of settings beside a model."""
-    with open(path, "w") as f:
-        json.dump(value, f, indent=1, default=str)
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small document (settings, a report) in any file system that Spark writes to."""
+    fs, p = path_of(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
+def write_json(spark: SparkSession, value: dict, path: str) -> None:
+    write_text(spark, json.dumps(value, indent=1, default=str), path)
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    return json.loads(read_text(spark, path))
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """CSV or Parquet by the name's end."""
+    (df.write.mode("overwrite").csv(path, header=True) if path.rstrip("/").endswith(".csv") else df.write.mode("overwrite").parquet(path))

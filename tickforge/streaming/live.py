@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.functions.market import safe_divide
+from tickforge.functions.market import safe_divide, session_date
 
 TICK_SCHEMA = "record_num long, ts timestamp_ntz, price double, level_low double, level_high double, txn_count long, direction int, volume_delta long"
 
@@ -48,7 +48,28 @@ def watch(bars: DataFrame, history: str, signal: Callable[[DataFrame], DataFrame
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=trigger)).start()
 
 
-def replay(bars: DataFrame, signal: Callable[[DataFrame], DataFrame], tail: int = 30, least: int = 30) -> DataFrame:
-    """The signals of the last `tail` bars, for bars that have at least `least` before them (bar_seq from 0)."""
-    last = bars.agg(F.max("bar_seq")).first()[0] or 0
-    return signal(bars).where((F.col("bar_seq") > last - tail) & (F.col("bar_seq") + 1 >= least))
+def watch_ticks(ticks: DataFrame, history: str, signal: Callable[[DataFrame], DataFrame], checkpoint: str, out: str, lookback: int = 2 * 86400, trigger: str = "5 seconds", once: bool = False):
+    """Add new ticks to `history` and give `signal` those of the last `lookback` seconds; of what it says of each bar, the newest bar's row goes to `out`.
+
+    The bars are made anew with each batch, so late ticks count and the bar that is being filled comes out as it stands.  A batch that is run again
+    replaces its own part of both folders.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        t = batch.withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "session_date": session_date(F.col("ts").cast("timestamp_ntz"))})
+        t.write.mode("overwrite").parquet(f"{history}/batch={number}")
+        if batch.isEmpty():
+            return
+        known = batch.sparkSession.read.parquet(history).where(F.col("batch") <= number).drop("batch")
+        newest = known.agg(F.max("ts")).first()[0]
+        said = signal(known.where(F.col("ts") >= F.lit(newest) - F.expr(f"INTERVAL {lookback} SECONDS")))
+        said.orderBy(F.col("bar_time").desc()).limit(1).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer = ticks.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(step)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=trigger)).start()
+
+
+def replay(signals: DataFrame, tail: int = 30, least: int = 30) -> DataFrame:
+    """The signals of the last `tail` bars, for bars that have at least `least` up to them (bar_seq from 0)."""
+    last = signals.agg(F.max("bar_seq")).first()[0] or 0
+    return signals.where((F.col("bar_seq") > last - tail) & (F.col("bar_seq") + 1 >= least))
