@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of a batch that a Python worker gets at once; a longer row is a batch by itself.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def arrow_batches(spark: SparkSession) -> None:
