@@ -39,7 +39,7 @@ def test_durations():
 
 def test_trading_chain(spark, folder, tmp_path, capsys):
     out = str(tmp_path / "out")
-    cli.main(["run-trading", folder, "1min", "1.5", "30", "1", "--output", out])
+    cli.main(["run-trading", folder, "1min", "1.5", "30", "1", "--trees", "2", "--output", out])
     kept, meta = learning.load(spark, f"{out}/models")
     assert set(kept) == set(meta["models"]) and {"signal", "volatility"} <= set(kept) and set(meta["averages"]) == set(learning.SECOND)
     assert len(meta["features"]) > 60 and not set(meta["features"]) & learning.EXCLUDED
@@ -78,7 +78,7 @@ def test_trading_chain(spark, folder, tmp_path, capsys):
 
 def test_first_generation_chain(spark, folder, tmp_path):
     out = str(tmp_path / "first")
-    cli.main(["run-all", folder, "1min", "5min", "--output", out])
+    cli.main(["run-all", folder, "1min", "5min", "--trees", "2", "--output", out])
     p = spark.read.csv(f"{out}/predictions.csv", header=True, inferSchema=True)
     assert p.count() > 900 and {r[0] for r in p.select("signal").distinct().collect()} <= {"UP", "DOWN", "HOLD"}
     cli.main(["predict", folder, "--models-dir", f"{out}/models", "--output", f"{out}/p.csv", "--tail", "3"])

@@ -40,7 +40,7 @@ def arguments() -> argparse.ArgumentParser:
     c = command("patterns", min_consol=5, max_consol=10, min_vol=2000.0, min_balance=0.4, min_body=4.0, max_retrace_bars=5, min_retrace=0.5, target_ticks=50, stop_ticks=20, window="1min", cache_dir=None, no_cache=False)
     c.add_argument("input_paths", nargs="+")
     c.add_argument("-o", "--output")
-    c = command("train", "data", window="1min", horizon="5min", rr=1.5, max_hold=60, folds=5)
+    c = command("train", "data", window="1min", horizon="5min", rr=1.5, max_hold=60, folds=5, trees=20)
     c.add_argument("--generation", type=int, choices=(1, 2), default=2)
     c.add_argument("--output-dir", required=True)
     command("predict", "data_dir", window="1min", horizon="5min", output=None, tail=20).add_argument("--models-dir", required=True)
@@ -55,9 +55,9 @@ def arguments() -> argparse.ArgumentParser:
     either = c.add_mutually_exclusive_group(required=True)
     either.add_argument("--watch", help="a folder of growing binary files")
     either.add_argument("--file", help="a binary file to replay")
-    c = command("run-trading", "data", "window", "rr", "max_hold", "folds")
+    c = command("run-trading", "data", "window", "rr", "max_hold", "folds", trees=20)
     c.add_argument("--output", required=True)
-    command("run-all", "data", "window", "horizon").add_argument("--output", required=True)
+    command("run-all", "data", "window", "horizon", trees=20).add_argument("--output", required=True)
     return p
 
 
@@ -100,7 +100,7 @@ def main(argv: list[str] | None = None) -> None:
             tables.write_table(events, a.output)
     elif a.command == "train":
         kinds = learning.FIRST if a.generation == 1 else learning.SECOND
-        for kind, rows in workflow.train_all(matrix(spark, a.data, a), kinds, a.output_dir, a.folds, rr=a.rr, max_hold=a.max_hold, window=a.window).items():
+        for kind, rows in workflow.train_all(matrix(spark, a.data, a), kinds, a.output_dir, a.folds, a.trees, rr=a.rr, max_hold=a.max_hold, window=a.window).items():
             print(workflow.report(kind, rows))
     elif a.command == "predict":
         kept, meta = learning.load(spark, a.models_dir)
@@ -133,7 +133,7 @@ def main(argv: list[str] | None = None) -> None:
     else:
         d = written(matrix(spark, a.data, a), "features")
         tables.write_table(d, f"{a.output}/features.parquet")
-        workflow.train_all(d, learning.FIRST, f"{a.output}/models")
+        workflow.train_all(d, learning.FIRST, f"{a.output}/models", trees=a.trees)
         kept, meta = learning.load(spark, f"{a.output}/models")
         tables.write_table(workflow.predictions(kept, meta["features"], d), f"{a.output}/predictions.csv")
 
@@ -142,7 +142,7 @@ def run_trading(spark: SparkSession, a: argparse.Namespace) -> None:
     """Features, models, backtest, explanation and viewer files, one after another, under one folder."""
     d = written(matrix(spark, a.data, a), "features")
     tables.write_table(d, f"{a.output}/features.parquet")
-    workflow.train_all(d, learning.SECOND, f"{a.output}/models", int(a.folds), rr=float(a.rr), max_hold=int(a.max_hold), window=a.window)
+    workflow.train_all(d, learning.SECOND, f"{a.output}/models", int(a.folds), a.trees, rr=float(a.rr), max_hold=int(a.max_hold), window=a.window)
     kept, meta = learning.load(spark, f"{a.output}/models")
     workflow.run_backtest(kept, meta["features"], d, f"{a.output}/backtest", rr=float(a.rr), max_hold=int(a.max_hold))
     trades = tables.read_trades(spark, f"{a.output}/backtest/trades.csv")

@@ -41,13 +41,13 @@ def feature_matrix(ticks: DataFrame, window: str = "1min", horizon: str = "5min"
     return f
 
 
-def train_all(d: DataFrame, kinds: tuple[str, ...], path: str, folds: int = 5, **more) -> dict[str, list[dict]]:
+def train_all(d: DataFrame, kinds: tuple[str, ...], path: str, folds: int = 5, trees: int = 20, **more) -> dict[str, list[dict]]:
     """Train the models of a generation and save them with their metadata; the reports of their folds."""
     names = learning.feature_columns(d)
     d = written(d, "training")
     kept, reports = {}, {}
     for kind in kinds:
-        model, reports[kind] = learning.train(d, kind, names, folds)
+        model, reports[kind] = learning.train(d, kind, names, folds, trees=trees)
         if model:
             kept[kind] = model
     learning.save(kept, path, names, reports, **more)
