@@ -42,7 +42,7 @@ def test_same_as_sql(spark, duck, name):
 
 def test_registry_is_whole():
     assert set(q.SQL) <= set(q.QUERIES) <= set(entry.queries())
-    assert set(q.QUERIES) - set(q.SQL) == {"balanced_sample"}
+    assert set(q.QUERIES) == set(q.SQL)
 
 
 def test_entry_has_rows(spark):
