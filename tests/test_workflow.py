@@ -92,8 +92,9 @@ def test_charts_patterns_and_ingest(spark, folder, tmp_path):
     cli.main(["patterns", folder, "--window", "5min", "--min-vol", "100", "--min-balance", "0", "--min-body", "1", "--cache-dir", f"{out}/cache", "-o", f"{out}/events.csv"])
     first = binary.ingest(spark, folder, f"{out}/cache").count()
     assert first == 2 * 1620 == binary.ingest(spark, folder, f"{out}/cache").count()
+    (tmp_path / "empty").mkdir()
     with pytest.raises(ValueError):
-        binary.required(spark, str(tmp_path))
+        binary.required(spark, str(tmp_path / "empty"))
     v = binary.viewer_ticks(binary.read_ticks(spark, folder, glob="*.data")).agg(F.max(F.date_format("ts", "SSSSSS"))).first()[0]
     assert v == "000000"
 
