@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tickforge.llm import language
 
 
@@ -21,3 +23,13 @@ def test_rare_language_of_a_large_table(spark):
 def test_language_of_long_texts_alone(spark):
     rows = [(i, "lorem amet dolor " * 20, "xx") for i in range(20)] + [(100 + i, "quick brown jumps " * 1500, "yy") for i in range(20)]
     assert language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["xx", "yy"]
+
+
+def test_chosen_ids_are_those_of_smallest_hash(spark):
+    """One label of many ids, one whose rows repeat few ids, so that the first bound passes too few, and one with fewer ids than are asked for."""
+    rows = [("xx", i) for i in range(3000)] + [("yy", 5000 + i % 40) for i in range(4000)] + [("zz", 7000 + i % 4) for i in range(400)]
+    d = spark.createDataFrame(rows, "_label string, _id long")
+    hashed = sorted((r["_label"], r["h"], r["_id"]) for r in d.distinct().select("*", F.xxhash64(F.lit("language"), "_id").alias("h")).collect())
+    want = {(x, i) for k in ("xx", "yy", "zz") for x, _, i in [z for z in hashed if z[0] == k][:10]}
+    got = language.smallest_hashes(d, {"xx": 3000, "yy": 4000, "zz": 400}, 10).collect()
+    assert len(got) == 24 and {tuple(r) for r in got} == want

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_batches, materialize, table, without_ids
 
@@ -88,15 +89,33 @@ def half_of(id_: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("half"), id_), F.lit(2)).cast("int")
 
 
+def smallest_hashes(d: DataFrame, counts: dict, rows: int) -> DataFrame:
+    """(_label, _id): of each label in counts (its rows) the `rows` ids of smallest hash, an id counting once.
+
+    Only ids under a bound of the hash that about twice as many pass are compared, so that no task gets a whole label.  Where too few pass, as ids repeat, the
+    bound is raised; the ids chosen don't depend on it.
+    """
+    share = {x: min(1.0, 2 * (rows + 50) / n) for x, n in counts.items()}
+    schema = T.StructType([T.StructField("_label", d.schema["_label"].dataType), T.StructField("_bound", T.LongType())])
+    while True:
+        bounds = d.sparkSession.createDataFrame([(x, min((1 << 63) - 1, int(s * (1 << 64)) - (1 << 63))) for x, s in share.items()], schema)
+        near = d.select("_label", "_id", F.xxhash64(F.lit("language"), "_id").alias("_h")).join(F.broadcast(bounds), "_label").where("_h <= _bound")
+        near = materialize(near.select("_label", "_id", "_h").distinct(), "language-candidates")
+        found = {r["_label"]: r["count"] for r in near.groupBy("_label").count().collect()}
+        few = [x for x, s in share.items() if s < 1 and found.get(x, 0) < rows]
+        if not few:
+            best = Window.partitionBy("_label").orderBy("_h", "_id")
+            return near.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= rows).select("_label", "_id")
+        share |= {x: min(1.0, 4 * share[x]) for x in few}
+
+
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", rows: int = LABEL_ROWS) -> Model:
-    """The rows of a label are chosen by their ids alone, as each task sends on its best of each label; only the chosen texts follow."""
+    """The rows of a label are chosen by their ids alone; only the chosen texts follow."""
     d = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(label).alias("_label"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    enough = d.groupBy("_label").count().where(F.col("count") >= LEAST_ROWS).select("_label").limit(MOST_LANGUAGES + 1).collect()
+    enough = d.groupBy("_label").count().where(F.col("count") >= LEAST_ROWS).limit(MOST_LANGUAGES + 1).collect()
     if len(enough) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} labels have {LEAST_ROWS} rows: is {label} a language?")
-    best = Window.partitionBy("_label").orderBy("_h", "_id")
-    chosen = d.where(F.col("_label").isin([r["_label"] for r in enough])).select("_label", "_id", F.xxhash64(F.lit("language"), "_id").alias("_h"))
-    chosen = chosen.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= rows).select("_label", "_id").distinct()
+    chosen = smallest_hashes(d, {r["_label"]: r["count"] for r in enough}, rows)
     span = F.substr("_text", (F.lit(1) + F.pmod(F.xxhash64(F.lit("span"), "_id"), F.greatest(F.lit(1), F.length("_text") - TRAIN_CHARS + 1))).cast("int"), F.lit(TRAIN_CHARS))
     sample = d.join(F.broadcast(chosen), ["_label", "_id"], "left_semi").groupBy("_label", "_id").agg(F.min(span).alias("_text"))
     return Model(sorted((r["_label"], r["_half"], r["_text"].encode()) for r in sample.withColumn("_half", half_of(F.col("_id"))).collect()))
