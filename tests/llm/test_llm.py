@@ -477,5 +477,5 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
 def test_registry_has_every_number():
     names = registry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(registry.oracle_sql()) <= set(names)

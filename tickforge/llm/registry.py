@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, extract, language, mixing, pii, quality, simhash, substrings, warc
+from . import bpe, chat, decontaminate, extract, language, merkle, mixing, periodic, pii, quality, simhash, substrings, warc
 
-MODULES = (extract, pii, mixing, simhash, warc, substrings, chat, language, decontaminate, quality)
+MODULES = (extract, pii, mixing, simhash, warc, substrings, chat, language, decontaminate, quality, periodic, merkle, bpe)
 
 
 def queries() -> dict:
