@@ -229,7 +229,7 @@ def test_round_trip(both, text):
     own, library = both
     got = ids(own, text)
     assert got == library.encode_ordinary(text)
-    assert own.decode(np.array(got, np.int64))[0].tobytes() == text.encode() and "".join(own.text_stream(got)) == text
+    assert own.decode(got) == text.encode() and "".join(own.text_stream(got)) == text
 
 
 def test_long_pieces_and_forgotten_states(monkeypatch):

@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from .common import arrow_batches, table
 
 FILE_BYTES = 64 << 20
-MOST_STATES, MOST_PIECES, LONG_PIECE, PIECES, WINDOW = 1 << 17, 1 << 18, 64, 1 << 16, 1 << 10
+MOST_STATES, MOST_PIECES, LONG_PIECE, PIECES, WINDOW = 1 << 18, 1 << 19, 64, 1 << 16, 1 << 10
 VOCABULARY = "byte_bpe_50k.tiktoken"
 _ints = struct.Struct("<i")
 
@@ -71,6 +71,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
+        self.size = {v: len(k) for k, v in ranks.items()}
         # The trie: child by node and byte, whether a node has children, its depth, and the token that ends there, if any.
         self.child: dict[int, int] = {}
         self.inner, self.depth, self.ends = [True], [0], [-1]
@@ -152,9 +153,8 @@ class Transducer:
             node = child((config & low) << 8 | byte)
             if node is None:
                 continue
-            end = ends[node]
             last = config >> shift
-            if end >= 0 and found < 0:
+            if found < 0 and (end := ends[node]) >= 0:
                 pair = last << 32 | end
                 good = pairs.get(pair)
                 if good is None:
@@ -194,17 +194,26 @@ class Transducer:
         #: The last token of each prefix, from the end of what was sent.
         ending: list[int] = []
         state = 0
-        for byte in piece:
-            step = self.steps.get(state << 8 | byte)
-            if step is None:
-                step = self._step(state, byte)
-            state = step >> 32
-            ending.append(step & 0xFFFFFFFF)
-            if not len(ending) % WINDOW:
+        for at in range(0, len(piece), WINDOW):
+            known = self.steps.get
+            for byte in piece[at : at + WINDOW]:
+                step = known(state << 8 | byte)
+                if step is None:
+                    step = self._step(state, byte)
+                    known = self.steps.get
+                state = step >> 32
+                ending.append(step & 0xFFFFFFFF)
+            if len(ending) >= WINDOW:
                 sent = self._settled(ending, state)
                 out += sent
                 del ending[: sum(len(self.tokens[x]) for x in sent)]
-        return out + self._back(ending, len(ending))[::-1]
+        last, at = [], len(ending)
+        while at:
+            token = ending[at - 1]
+            last.append(token)
+            at -= self.size[token]
+        last.reverse()
+        return out + last if out else last
 
     def _settled(self, ending: list[int], state: int) -> list[int]:
         """The tokens that all configurations of the state share, whatever bytes follow."""
@@ -228,12 +237,7 @@ class Codec:
         #: Ids of pieces met, and those of the generation before: what is met again moves to the new one.
         self.kept: dict[str, bytes] = {}
         self.former: dict[str, bytes] = {}
-        order = [self.bytes_of[i] for i in sorted(self.bytes_of)]
-        #: The tokens' bytes in one buffer, with start and length of each id (length -1: no such token).
-        self.flat = np.frombuffer(b"".join(order), np.uint8)
-        size = np.fromiter(map(len, order), np.int64, len(order))
-        self.start, self.size = np.zeros(max(self.bytes_of) + 1, np.int64), np.full(max(self.bytes_of) + 1, -1, np.int64)
-        self.start[sorted(self.bytes_of)], self.size[sorted(self.bytes_of)] = np.cumsum(size) - size, size
+        self.table = [self.bytes_of.get(i) for i in range(max(self.bytes_of) + 1)]
         #: Decoding: machine states by number, and the step of (state, token) to (state, text).
         self.after: dict[tuple[bytes, int], tuple[bytes, str]] = {}
 
@@ -259,14 +263,12 @@ class Codec:
             out.append(b"".join([self.kept.get(p) or own(p) for p in part]))
         return b"".join(out)
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens' bytes one after the other, and where each token's end."""
-        bad = (ids < 0) | (ids >= len(self.size))
-        if bad.any() or (bad := self.size[ids] < 0).any():
-            raise ValueError(f"no token has the id {ids[bad][0]}")
-        size = self.size[ids]
-        end = np.cumsum(size)
-        return self.flat[np.repeat(self.start[ids] - end + size, size) + np.arange(end[-1] if len(end) else 0)], end
+    def decode(self, ids: list[int]) -> bytes:
+        try:
+            return b"".join(map(self.table.__getitem__, ids))
+        except (IndexError, TypeError):
+            bad = next(i for i in ids if not 0 <= i < len(self.table) or self.table[i] is None)
+            raise ValueError(f"no token has the id {bad}") from None
 
     def text_stream(self, ids: list[int]) -> Iterator[str]:
         """The text token by token; a character that tokens cut comes with its last byte."""
@@ -353,7 +355,7 @@ def _lists(parts: list[bytes]) -> pa.Array:
 
 def _flat(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a list array, and the number of each list (0 for null)."""
-    return ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    return ids.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -368,9 +370,8 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_c
 
     def make(ids: pa.Array) -> pa.Array:
         flat, size = _flat(ids)
-        data, end = codec(held.value, pattern).decode(flat)
-        at = np.append(0, end)[np.append(0, np.cumsum(size))]
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+        c, all_ids, end = codec(held.value, pattern), flat.tolist(), np.cumsum(size).tolist()
+        return pa.array([c.decode(all_ids[a:b]) for a, b in zip([0, *end], end, strict=False)], pa.binary())
 
     return _mapped(df, ids_col, bytes_col, T.BinaryType(), make)
 
