@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickforge import __main__ as cli
-from tickforge.operators import models
+from tickforge.operators import models, shapley
 from tickforge.plans import learning, workflow
 from tickforge.sources import binary, tables
 
@@ -61,15 +61,18 @@ def test_trading_chain(spark, folder, tmp_path, capsys):
     cli.main(["live", f"{out}/models", "--watch", folder, "--work", f"{out}/work", "--once"])
     said = spark.read.parquet(f"{out}/work/signals").collect()
     assert len(said) == 1 and str(said[0]["bar_time"]) == "2024-01-03 22:29:00" and said[0]["signal"] in ("LONG", "SHORT", "NO_TRADE") and said[0]["prob_long"] is not None
-    # ablation against scoring by hand, and permutation importance
+    # Shapley values sum to the margin, and permutation importance
     d = spark.read.parquet(f"{out}/features.parquet").dropna(subset=meta["features"]).orderBy("bar_seq").limit(3)
-    names, means = meta["features"], dict.fromkeys(meta["features"], 0.0)
-    got = {(r["bar_seq"], r["feature"]): r["contribution"] for r in learning.contributions(kept["signal"], d, names, means).collect()}
-    base = {r["bar_seq"]: r["_out"] for r in learning.outcome(kept["signal"], d.select("bar_seq", *names)).collect()}
-    for f in names[:3]:
-        without = {r["bar_seq"]: r["_out"] for r in learning.outcome(kept["signal"], d.select("bar_seq", *names).withColumn(f, F.lit(0.0))).collect()}
-        assert all(abs(got[k, f] - (base[k] - without[k])) < 1e-9 for k in base)
-    top = learning.top_factors(learning.contributions(kept["signal"], d, names, means)).collect()
+    names = meta["features"]
+    got = {(r["bar_seq"], r["feature"]): r["contribution"] for r in learning.contributions(kept["signal"], d, names).collect()}
+    margin = {r["bar_seq"]: r["rawPrediction_2"][1] for r in kept["signal"].transform(d).collect()}
+    base = shapley.expectations(spark, kept["signal"])[2]
+    assert len(got) == 3 * len(names) and all(abs(sum(got[k, f] for f in names) + base - m) < 1e-9 for k, m in margin.items())
+    said = learning.transformed(kept["signal"], d).collect()
+    assert all(abs(sum(r["probability"]) - 1) < 1e-9 and r["probability"][int(r["prediction"])] == max(r["probability"]) for r in said)
+    folds = meta["folds"]["signal"]
+    assert all(len(f["rounds"]) == 3 and 1 <= min(f["rounds"]) <= max(f["rounds"]) <= 2 and {"accuracy_trades", "precision_trades", "n_trades_test"} <= set(f) for f in folds)
+    top = learning.top_factors(learning.contributions(kept["signal"], d, names)).collect()
     assert len(top) == 15 and all(abs(got[r["bar_seq"], r["feature"]]) >= 0 for r in top)
     t = learning.labelled(spark.read.parquet(f"{out}/features.parquet").dropna(subset=names), "signal")
     loss = dict(learning.permutation_importance(kept["signal"], t, names, names[:3]))
@@ -104,3 +107,23 @@ def test_samples_and_distribution(spark):
     a, b = models.random_sample(d, 10, key="k"), models.random_sample(d, 10, key="k")
     assert a.count() == 10 and sorted(a.collect()) == sorted(b.collect())
     assert np.isclose(sum(r["pct"] for r in models.distribution(d, "c").collect()), 100)
+
+
+def test_figures_of_trades_alone(spark):
+    rows = [(1.0, 1.0)] * 9 + [(0.0, 0.0), (0.0, 1.0), (0.0, 2.0), (2.0, 2.0)]
+    d = spark.createDataFrame(rows, "label double, prediction double")
+    m = models.trade_metrics(d).first()
+    # Said: 0 once and rightly, 2 twice and once rightly; three rows are 0 and one is 2.
+    assert (m["accuracy_trades"], m["precision_trades"], m["n_trades_test"]) == (0.5, (3 * 1 + 1 * 0.5) / 4, 4)
+    assert tuple(models.trade_metrics(d.where("label = 1")).first()) == (0.0, 0.0, 0)
+
+
+def test_boosting_stops_by_held_rows_and_small_tables_are_left_out(spark):
+    r = random.Random(5)
+    rows = [(i, r.random(), r.random(), float(r.randint(0, 2))) for i in range(900)]
+    d = spark.createDataFrame(rows, "bar_seq long, x double, y double, label double").withColumns({"trade_label": F.col("label") - 1, "is_rth": F.lit(True), "has_trade_outcome": F.lit(1), "quality_label": (F.col("x") > 0.5).cast("int")})
+    # Labels of chance: a round that doesn't help on held rows ends it.
+    model, report = learning.train(d.drop("label"), "signal", ["x", "y"], folds=1, trees=30, depth=2)
+    assert all(n < 30 for n in report[0]["rounds"]) and len(learning.rounds(model)) == 3
+    assert learning.train(d.drop("label").limit(200), "quality", ["x", "y"], folds=1)[0] is None
+    assert learning.train(d.drop("label"), "quality", ["x", "y"], folds=1, trees=3)[1][0]["accuracy"] > 0.9

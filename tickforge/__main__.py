@@ -131,7 +131,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "run-trading":
         run_trading(spark, a)
     else:
-        d = written(matrix(spark, a.data, a), "features")
+        d = matrix(spark, a.data, a)
         tables.write_table(d, f"{a.output}/features.parquet")
         workflow.train_all(d, learning.FIRST, f"{a.output}/models", trees=a.trees)
         kept, meta = learning.load(spark, f"{a.output}/models")
@@ -140,7 +140,7 @@ def main(argv: list[str] | None = None) -> None:
 
 def run_trading(spark: SparkSession, a: argparse.Namespace) -> None:
     """Features, models, backtest, explanation and viewer files, one after another, under one folder."""
-    d = written(matrix(spark, a.data, a), "features")
+    d = matrix(spark, a.data, a)
     tables.write_table(d, f"{a.output}/features.parquet")
     workflow.train_all(d, learning.SECOND, f"{a.output}/models", int(a.folds), a.trees, rr=float(a.rr), max_hold=int(a.max_hold), window=a.window)
     kept, meta = learning.load(spark, f"{a.output}/models")

@@ -38,6 +38,22 @@ def regression_metrics(scored: DataFrame, label: str = "label", prediction: str
     return scored.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.sum(e * e), F.var_pop(label) * F.count(label))).alias("r2"))
 
 
+def trade_metrics(scored: DataFrame, label: str = "label", prediction: str = "prediction", flat: float = 1.0) -> DataFrame:
+    """One row: accuracy and weighted precision of the rows whose label is a trade, and their number; 0 without any."""
+    trades = scored.where(F.col(label) != flat)
+    by_class = trades.groupBy(F.col(label).alias("c")).agg(F.count(F.lit(1)).alias("actual"), F.count_if(F.col(label) == F.col(prediction)).alias("right"))
+    said = trades.groupBy(F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("said"))
+    # A class that no row was said to be has precision 0.
+    each = by_class.join(said, F.col("c") == F.col("p"), "left")
+    share = lambda x, y: F.coalesce(F.try_divide(F.sum(x).cast("double"), F.sum(y).cast("double")), F.lit(0.0))
+    precision = F.col("actual") * F.coalesce(F.col("right") / F.col("said"), F.lit(0.0))
+    return each.agg(share(F.col("right"), F.col("actual")).alias("accuracy_trades"), share(precision, F.col("actual")).alias("precision_trades"), F.coalesce(F.sum("actual"), F.lit(0)).alias("n_trades_test"))
+
+
+def effect_of(corr: Column) -> Column:
+    return F.when(corr > 0.1, "higher value: more bullish").when(corr < -0.1, "higher value: more bearish").otherwise("non-linear effect")
+
+
 def effects(d: DataFrame, features: list[str], outcome: str, k: int = 15) -> DataFrame:
     """Features by |correlation| with the outcome, ranked, with the sign of the effect (0.1 and more than ten rows)."""
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features)))
@@ -45,7 +61,7 @@ def effects(d: DataFrame, features: list[str], outcome: str, k: int = 15) -> Dat
     # Not corr, which fails on a feature that never changes.
     corr = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
     c = long.groupBy("feature").agg(corr.alias("corr"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 10) & F.col("corr").isNotNull() & ~F.isnan("corr"))
-    effect = F.when(F.col("corr") > 0.1, "higher value: more bullish").when(F.col("corr") < -0.1, "higher value: more bearish").otherwise("non-linear effect")
+    effect = effect_of(F.col("corr"))
     top = c.orderBy(F.abs("corr").desc(), "feature").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.abs("corr").desc(), "feature"))).select("rank", "feature", "corr", effect.alias("effect"))
 

@@ -1,22 +1,23 @@
 """Walk-forward training, scoring and explanation of the models with pyspark.ml.
 
-Another boosting library than LightGBM: splits, schemas and formulas are as described, figures differ.  Explanations are by ablation
-(what a row's prediction loses if a feature is put to the table's mean) and by permutation, as there is no SHAP.
+Another boosting library than LightGBM: splits, schemas and formulas are as described, figures differ.  Boosting stops early by the last
+VALIDATION of a fold's training rows, not by its test rows, so figures are of rows that no choice was made by.  The signal model has a boosted
+ensemble for each class against the rest, whose probabilities are scaled to one.  Explanations are exact Shapley values and permutation.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import Normalizer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickforge.operators import models
+from tickforge.operators import models, shapley
 from tickforge.operators.ordering import BLOCK, numbered
 from tickforge.sources.scratch import path_of, written
 from tickforge.sources.tables import read_json, write_json
@@ -30,6 +31,11 @@ RULES = {
     "volatility": {"ratio": 0.5, "least_train": 100, "least_test": 20}, "quality": {"ratio": 0.5, "least_train": 100, "least_test": 20},
 }
 REGRESSIONS = ("magnitude", "volatility")
+#: Models that are trained only if there are more rows than this.
+LEAST_ROWS = {"quality": 200}
+#: The share of training rows, the last in time, that boosting is stopped by, and the gain of a round that it goes on for.
+VALIDATION, GAIN = 0.15, 0.001
+SIGNAL_CLASSES = 3
 
 
 def feature_columns(df: DataFrame) -> list[str]:
@@ -37,13 +43,42 @@ def feature_columns(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if c not in EXCLUDED and not c.startswith("_") and t in ("int", "bigint", "double", "float")]
 
 
-def learner(kind: str, seed: int = 42, trees: int = 20, depth: int = 4):
-    """direction and quality: two classes; magnitude and volatility: a number; signal: three classes, for which MLlib's boosting has no form."""
-    if kind in ("direction", "quality"):
-        return GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed)
+def learner(kind: str, seed: int = 42, trees: int = 20, depth: int = 4, name: str = ""):
+    """magnitude and volatility: a number; else two classes.  Rows with _held stop the boosting."""
+    own = {"maxIter": trees, "maxDepth": depth, "seed": seed, "validationIndicatorCol": "_held", "validationTol": GAIN, "predictionCol": f"prediction{name}"}
     if kind in REGRESSIONS:
-        return GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed)
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
+        return GBTRegressor(**own)
+    return GBTClassifier(**own).setRawPredictionCol(f"rawPrediction{name}").setProbabilityCol(f"probability{name}")
+
+
+def fitted(kind: str, d: DataFrame, features: list[str], **learning) -> PipelineModel:
+    """A model of rows with label and _held."""
+    assembler = VectorAssembler(inputCols=features, outputCol="features")
+    d = assembler.transform(d).select("features", "label", "_held").cache()
+    try:
+        if kind != "signal":
+            return PipelineModel([assembler, learner(kind, **learning).fit(d)])
+        each = [learner(kind, name=f"_{k}", **learning).fit(d.withColumn("label", (F.col("label") == k).cast("double"))) for k in range(SIGNAL_CLASSES)]
+    finally:
+        d.unpersist()
+    # Of each ensemble the probability that a row is of its class, scaled to the sum of one.
+    every = VectorAssembler(inputCols=[f"probability_{k}" for k in range(SIGNAL_CLASSES)], outputCol="_every")
+    own = VectorSlicer(inputCol="_every", outputCol="_own", indices=[2 * k + 1 for k in range(SIGNAL_CLASSES)])
+    return PipelineModel([assembler, *each, every, own, Normalizer(p=1.0, inputCol="_own", outputCol="probability")])
+
+
+def transformed(model: PipelineModel, d: DataFrame) -> DataFrame:
+    """d with prediction, and with probability if the model has classes; the columns between go."""
+    p = model.transform(d)
+    if "prediction" not in p.columns:
+        each = vector_to_array("probability")
+        p = p.withColumn("prediction", (F.array_position(each, F.array_max(each)) - 1).cast("double"))
+    return p.select(*d.columns, *(c for c in ("probability", "prediction") if c in p.columns))
+
+
+def rounds(model: PipelineModel) -> list[int]:
+    """The trees of each ensemble, after early stopping."""
+    return [len(e.treeWeights) for e in shapley.ensembles(model)]
 
 
 def labelled(df: DataFrame, kind: str) -> DataFrame:
@@ -68,14 +103,15 @@ def train(df: DataFrame, kind: str, features: list[str] | None = None, folds: in
     rule = {"ratio": 0.5, "least_train": 0, "least_test": 0} | RULES[kind] | {k: v for k, v in (("ratio", ratio), ("least_train", least_train), ("least_test", least_test)) if v is not None}
     d = labelled(df.dropna(subset=features), kind).select("bar_seq", "label", *features)
     d = written(numbered(d, F.floor(F.col("bar_seq") / BLOCK), ["bar_seq"], "row_no"), f"train-{kind}")
-    best, report = None, []
-    for fold, start, end in models.walk_forward(d.count(), folds, **rule):
-        pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), learner(kind, **learning)])
-        model = pipe.fit(d.where(F.col("row_no") < start))
-        scored = model.transform(d.where((F.col("row_no") >= start) & (F.col("row_no") < end)))
-        m = (models.regression_metrics if kind in REGRESSIONS else models.classification_metrics)(scored).first().asDict()
-        score = -m["mae"] if kind in REGRESSIONS else m["f1"] if kind == "quality" else m["accuracy"]
-        report.append({"fold": fold, "train": start, "test": end - start, **m})
+    best, report, n = None, [], d.count()
+    for fold, start, end in models.walk_forward(n, folds, **rule) if n > LEAST_ROWS.get(kind, 0) else []:
+        model = fitted(kind, d.where(F.col("row_no") < start).withColumn("_held", F.col("row_no") >= int(start * (1 - VALIDATION))), features, **learning)
+        test = transformed(model, d.where((F.col("row_no") >= start) & (F.col("row_no") < end)))
+        m = (models.regression_metrics if kind in REGRESSIONS else models.classification_metrics)(test).first().asDict()
+        if kind == "signal":
+            m |= models.trade_metrics(test).first().asDict()
+        score = -m["mae"] if kind in REGRESSIONS else m["f1"] if kind == "quality" else m["accuracy_trades"] if kind == "signal" else m["accuracy"]
+        report.append({"fold": fold, "train": start, "test": end - start, "rounds": rounds(model), **m})
         if best is None or score > best[0]:
             best = (score, model)
     return (best[1] if best else None), report
@@ -83,19 +119,14 @@ def train(df: DataFrame, kind: str, features: list[str] | None = None, folds: in
 
 def averages(report: list[dict]) -> dict[str, float]:
     """The mean of each figure over a model's folds."""
-    names = [k for k in (report[0] if report else {}) if k not in ("fold", "train", "test")]
+    names = [k for k in (report[0] if report else {}) if k not in ("fold", "train", "test", "rounds")]
     return {k: sum(r[k] or 0.0 for r in report) / len(report) for k in names}
 
 
 def importance(model: PipelineModel, features: list[str], k: int = 20) -> list[tuple[str, float]]:
-    return sorted(zip(features, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:k]
-
-
-def outcome(model: PipelineModel, d: DataFrame, name: str = "_out") -> DataFrame:
-    """d with one number a row: the probability of the last class, or what a regression says."""
-    p = model.transform(d)
-    value = F.element_at(vector_to_array("probability"), -1) if "probability" in p.columns else F.col("prediction")
-    return p.withColumn(name, value).select(*d.columns, name)
+    """Features by the gain of their splits, the mean of the model's ensembles."""
+    each = [e.featureImportances.toArray() for e in shapley.ensembles(model)]
+    return sorted(zip(features, (sum(each) / len(each)).tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:k]
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], which: list[str] | None = None, seed: int = 7) -> list[tuple[str, float]]:
@@ -109,26 +140,16 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: list[s
     which = which or features
     before = d.select((F.col("_place") + 1).alias("_place"), *(F.col(f).alias(f"_b_{f}") for f in which))
     both = written(d.join(before, "_place", "left"), "permuted")
-    right = lambda x: models.classification_metrics(model.transform(x)).first()["accuracy"] or 0.0
+    right = lambda x: models.classification_metrics(transformed(model, x)).first()["accuracy"] or 0.0
     base = right(d)
     out = [(f, base - right(both.withColumn(f, F.coalesce(f"_b_{f}", f)))) for f in which]
     return sorted(out, key=lambda x: (-x[1], x[0]))
 
 
-def contributions(model: PipelineModel, rows: DataFrame, features: list[str], means: dict[str, float], key: str = "bar_seq") -> DataFrame:
-    """(key, feature, value, contribution): what each row's outcome owes to a feature's being other than the mean.
-
-    Each row is scored once for each feature, with that feature at its mean: rows are meant to be few (a report's trades, a balanced sample).
-    """
-    base = outcome(model, rows.select(key, *features))
-    names = F.array(*map(F.lit, features))
-    each = base.select(key, *features, "_out", F.explode(names).alias("_feature"))
-    mean = F.create_map(*(x for f in features for x in (F.lit(f), F.lit(float(means[f] or 0.0)))))
-    value = F.coalesce(*(F.when(F.col("_feature") == f, F.col(f).cast("double")) for f in features))
-    moved = each.withColumn("_value", value).withColumnsRenamed({f: f"_was_{f}" for f in features})
-    moved = moved.withColumns({f: F.when(F.col("_feature") == f, mean[F.lit(f)]).otherwise(F.col(f"_was_{f}").cast("double")) for f in features})
-    scored = outcome(model, moved, "_without")
-    return scored.select(key, F.col("_feature").alias("feature"), F.col("_value").alias("value"), (F.col("_out") - F.col("_without")).alias("contribution"))
+def contributions(model: PipelineModel, rows: DataFrame, features: list[str], key: str = "bar_seq") -> DataFrame:
+    """(key, feature, value, contribution): Shapley values of the last class (of the signal: long), or of the number that a regression gives."""
+    last = len(shapley.ensembles(model)) - 1
+    return shapley.contributions(model, rows, features, key).where(F.col("class") == last).drop("class")
 
 
 def top_factors(found: DataFrame, key: str = "bar_seq", k: int = 5) -> DataFrame:
@@ -147,23 +168,26 @@ def class_factors(found: DataFrame, won: DataFrame, key: str = "bar_seq", k: int
     return g.select("feature", "winner_mean", "loser_mean", "difference").orderBy(F.abs("difference").desc(), "feature").limit(k)
 
 
-def global_factors(model: PipelineModel, found: DataFrame, rows: DataFrame, features: list[str], label: str, k: int = 15) -> DataFrame:
-    """(rank, feature, importance, corr, effect) by mean |contribution|, with the sign of the correlation with the label."""
-    size = found.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("importance"))
-    signs = models.effects(rows, features, label, len(features)).select("feature", "corr", "effect")
-    top = size.join(signs, "feature", "left").orderBy(F.col("importance").desc(), "feature").limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature"))).select("rank", "feature", "importance", "corr", "effect")
+def global_factors(found: DataFrame, k: int = 15) -> DataFrame:
+    """(rank, feature, importance, corr, effect) of (class, feature, value, contribution): by mean |contribution| over rows and classes, with the correlation of value and contribution in the last class."""
+    last = F.col("class") == found.agg(F.max("class")).first()[0]
+    x, y = F.when(last, F.col("value")), F.when(last, F.col("contribution"))
+    size = found.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("importance"), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("corr"), F.count(x).alias("_n"))
+    corr = F.when((F.col("_n") > 10) & ~F.isnan("corr"), F.col("corr"))
+    order = [F.col("importance").desc(), F.col("feature")]
+    top = size.withColumns({"corr": corr, "effect": F.when(corr.isNotNull(), models.effect_of(corr))}).orderBy(*order).limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "feature", "importance", "corr", "effect")
 
 
 def probabilities(model: PipelineModel, df: DataFrame, names: list[str]) -> DataFrame:
     """df with a column for each class's probability; every bar with features, also the newest."""
-    p = model.transform(df).withColumn("_p", vector_to_array("probability"))
-    return p.withColumns({n: F.col("_p")[i] for i, n in enumerate(names)}).drop("_p", "probability", "rawPrediction", "features", "prediction")
+    p = transformed(model, df).withColumn("_p", vector_to_array("probability"))
+    return p.withColumns({n: F.col("_p")[i] for i, n in enumerate(names)}).drop("_p", "probability", "prediction")
 
 
 def predicted(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
     """df with a regression's number."""
-    return model.transform(df).withColumnRenamed("prediction", name).drop("features")
+    return transformed(model, df).withColumnRenamed("prediction", name)
 
 
 def scored(kept: dict[str, PipelineModel], features: list[str], bars: DataFrame) -> DataFrame:
@@ -190,8 +214,3 @@ def load(spark: SparkSession, path: str) -> tuple[dict[str, PipelineModel], dict
     meta = read_json(spark, f"{path}/training_meta.json")
     there = lambda kind: (lambda fs_p: fs_p[0].exists(fs_p[1]))(path_of(spark, f"{path}/{kind}"))
     return {k: PipelineModel.load(f"{path}/{k}") for k in meta["models"] if there(k)}, meta
-
-
-def latest_signal(d: DataFrame, signal: Column, columns: list[str]) -> DataFrame:
-    """The newest bar's row with its signal."""
-    return d.agg(F.max_by(F.struct(*columns, signal.alias("signal")), "bar_time").alias("x")).select("x.*")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.functions import market
-from tickforge.operators import asof, backtest, bars, features, labels, models
+from tickforge.operators import asof, backtest, bars, features, labels, models, shapley
 from tickforge.sources import tables
 from tickforge.sources.scratch import written
 
@@ -33,12 +33,15 @@ def width_of(text: str) -> str:
 
 
 def feature_matrix(ticks: DataFrame, window: str = "1min", horizon: str = "5min", rr: float = 1.5, max_hold: int = labels.MAX_HOLD) -> DataFrame:
-    """All features and labels; the newest bars stay, with NULL labels.  The horizon is counted in bars of the median gap."""
+    """All features and labels; the newest bars stay, with NULL labels.  The horizon is counted in bars of the median gap.
+
+    The matrix is written: filters on a hundred columns over the windows that make them would have the optimizer derive conditions without end.
+    """
     b = written(bars.sequence(bars.time_bars(ticks, width_of(window))), "bars")
     f = features.second_generation(b)
     for other in (labels.trade_labels(labels.triple_barrier(b, rr, max_hold)), labels.atr_target(b), labels.forward_labels(b, labels.bars_ahead(b, duration(horizon)))):
         f = f.join(other.select("bar_seq", *(c for c in other.columns if c not in f.columns)), "bar_seq")
-    return f
+    return written(f, "matrix")
 
 
 def train_all(d: DataFrame, kinds: tuple[str, ...], path: str, folds: int = 5, trees: int = 20, **more) -> dict[str, list[dict]]:
@@ -55,9 +58,10 @@ def train_all(d: DataFrame, kinds: tuple[str, ...], path: str, folds: int = 5, t
 
 
 def predictions(kept: dict[str, PipelineModel], names: list[str], d: DataFrame) -> DataFrame:
-    """The first generation's predictions of every bar that has features, also the newest."""
-    p = learning.probabilities(kept["direction"], d.dropna(subset=names), ["_down", "prob_up"]).drop("_down")
-    p = learning.predicted(kept["magnitude"], p, "magnitude_pred")
+    """The first generation's predictions of every bar that has features, also the newest; what the models say is written, as in feature_matrix."""
+    d = written(d.dropna(subset=names).select("bar_time", "close", *(n for n in names if n not in ("bar_time", "close"))), "to-predict")
+    p = learning.probabilities(kept["direction"], d, ["_down", "prob_up"]).drop("_down")
+    p = written(learning.predicted(kept["magnitude"], p, "magnitude_pred").select("bar_time", "close", "prob_up", "magnitude_pred"), "predicted")
     return p.select("bar_time", "close", "prob_up", "magnitude_pred").withColumns(market.prediction(F.col("prob_up"), F.col("magnitude_pred")))
 
 
@@ -77,7 +81,6 @@ def explain(kept: dict[str, PipelineModel], names: list[str], d: DataFrame, trad
     """Factors of each trade, of winners against losers and of all rows, by the signal model, written under out."""
     spark, model = d.sparkSession, kept["signal"]
     d = written(d.dropna(subset=names), "explained")
-    means = d.agg(*(F.avg(f).alias(f) for f in names)).first().asDict()
     at = asof.asof_join(trades.where("entry_time IS NOT NULL"), d.select("bar_time", "bar_seq"), "entry_time", "bar_time", "nearest")
     at = written(at.where(F.col("match").isNotNull()).withColumn("bar_seq", F.col("match.bar_seq")).drop("match"), "explained-trades")
     won = at.groupBy("bar_seq").agg((F.sum("pnl_points") > 0).alias("won"), F.max("entry_time").alias("entry_time"))
@@ -86,15 +89,15 @@ def explain(kept: dict[str, PipelineModel], names: list[str], d: DataFrame, trad
     sides = models.balanced_sample(won, "won", PER_SIDE, key="bar_seq")
     sample = models.random_sample(d.where("is_rth"), SAMPLE, key="bar_seq")
     found = {
-        "trade_factors": learning.top_factors(learning.contributions(model, of(latest), names, means)).join(won, "bar_seq"),
-        "class_factors": learning.class_factors(learning.contributions(model, of(sides), names, means), won.select("bar_seq", "won")),
-        "global_factors": learning.global_factors(model, learning.contributions(model, sample, names, means), d.where("is_rth"), names, "trade_label"),
+        "trade_factors": learning.top_factors(learning.contributions(model, of(latest), names)).join(won, "bar_seq"),
+        "class_factors": learning.class_factors(learning.contributions(model, of(sides), names), won.select("bar_seq", "won")),
+        "global_factors": learning.global_factors(written(shapley.contributions(model, sample, names), "contributions")),
     }
     found = {k: written(v, k) for k, v in found.items()}
     lines = []
     for k, v in found.items():
         v.coalesce(1).write.mode("overwrite").json(f"{out}/{k}")
-        lines.append(report(k.replace("_", " ").capitalize(), [r.asDict() for r in v.orderBy(*[c for c in ("entry_time", "rank") if c in v.columns] or ["feature"]).limit(100).collect()]))
+        lines.append(report(k.replace("_", " ").capitalize(), [r.asDict() for r in v.orderBy(*[c for c in ("entry_time", "rank") if c in v.columns] or ["feature"]).collect()]))
     tables.write_text(spark, "\n".join(lines), f"{out}/report.txt")
     return found
 
