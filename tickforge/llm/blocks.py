@@ -31,10 +31,12 @@ _tokens: dict[tuple[str, ...], np.ndarray] = {}
 
 
 class Block:
-    __slots__ = ("link_chars", "path", "text")
+    """Text with the path above it; boxes are the numbers, on the page, of the elements around its own: the next one and the one around that."""
 
-    def __init__(self, text: str, path: np.ndarray, link_chars: int):
-        self.text, self.path, self.link_chars = text, path, link_chars
+    __slots__ = ("boxes", "link_chars", "path", "text")
+
+    def __init__(self, text: str, path: np.ndarray, link_chars: int, boxes: tuple[int, int]):
+        self.text, self.path, self.link_chars, self.boxes = text, path, link_chars, boxes
 
 
 def pieces(page: str) -> Iterator[tuple[str | None, str, bool]]:
@@ -95,7 +97,8 @@ def path_vector(tokens: tuple[str, ...]) -> np.ndarray:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order.  Element names and the words of class, id and role make the path, the sum of its elements' vectors."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], int]] = []
+    made = 0
     opened: dict[str, int] = {}
     parts: list[str] = []
     links, in_link = 0, 0
@@ -105,13 +108,13 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         text = _WHITE.sub(" ", html.unescape("".join(parts))).strip(" ")
         if text:
-            out.append(Block(text, path.copy(), links))
+            out.append(Block(text, path.copy(), links, (stack[-2][2] if len(stack) > 1 else -1, stack[-3][2] if len(stack) > 2 else -1)))
         parts.clear()
         links = 0
 
     def pop() -> None:
         nonlocal path
-        name, tokens = stack.pop()
+        name, tokens, _ = stack.pop()
         opened[name] -= 1
         path -= path_vector(tokens)
 
@@ -143,7 +146,8 @@ def blocks(page: str) -> list[Block]:
             while stack and stack[-1][0] in CLOSES[tag]:
                 pop()
         named = [t for g in _NAMED.findall(rest) for x in g if x for t in _TOKEN.findall(x.lower())] if rest else []
-        stack.append((tag, (f"<{tag}>", *named)))
+        stack.append((tag, (f"<{tag}>", *named), made))
+        made += 1
         opened[tag] = opened.get(tag, 0) + 1
         path += path_vector(stack[-1][1])
     end()

@@ -34,8 +34,10 @@ from .common import arrow_batches, table
 from .lstm import BiLSTM
 from .textbytes import word_hashes
 
-TRAIN_PAGES, SEED = 2400, 11
-N_WORDS, N_PLAIN = 32, 14
+TRAIN_PAGES, SEED = 3200, 11
+N_WORDS, N_PLAIN = 32, 20
+#: Blocks from an end of the page after which all places are alike.
+ENDS = 30
 
 _FOLD = bytes(b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _MARKS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
@@ -58,11 +60,16 @@ def measures(bs: list[Block], count: np.ndarray) -> np.ndarray:
         held[1] += 1
         held[2] += s * own
     mass = np.array([of_kind[k][0] for k in kinds])
+    # The same of the boxes that blocks lie in: an article's box has most of the text, whatever else lies in it.
+    near, far = (np.unique([b.boxes[i] for b in bs], return_inverse=True)[1] for i in (0, 1))
+    held, links_held = np.bincount(near, size), np.bincount(near, size * links)
     same = np.array([False, *(a == b for a, b in zip(kinds, kinds[1:], strict=False))])
     return np.stack([
-        np.log1p(size) / 6, np.log1p(count) / 4, links, np.arange(n) / n, np.full(n, min(np.log1p(n) / 5, 1)),
+        # Blocks are counted from both ends, up to the same number on every page: a page's length says nothing of where its article ends.
+        np.log1p(size) / 6, np.log1p(count) / 4, links, np.log1p(np.minimum(np.arange(n), ENDS)) / 4, np.log1p(np.minimum(np.arange(n)[::-1], ENDS)) / 4, np.full(n, min(np.log1p(n) / 5, 1)),
         mass / size.sum(), np.minimum(np.log1p(np.array([of_kind[k][1] for k in kinds])) / 4, 1), np.array([of_kind[k][2] for k in kinds]) / mass,
         np.log1p(mass / np.array([of_kind[k][1] for k in kinds])) / 6, same,
+        held[near] / size.sum(), np.bincount(far, size)[far] / size.sum(), held[near] / held.max(), links_held[near] / held[near], np.minimum(np.log1p(np.bincount(near)[near]) / 4, 1),
         np.array([b.text.endswith(_STOPS) for b in bs]), np.minimum(size / np.maximum(count, 1) / 10, 3), share(_MARKS), share(string.digits.encode()),
     ], axis=1)
 
@@ -105,7 +112,7 @@ class Labeller:
         rows.sort(key=lambda row: len(row[0]))
         batches = [self._pad([x for x, _ in rows[i : i + 48]], [y for _, y in rows[i : i + 48]]) for i in range(0, len(rows), 48)]
         random.Random(seed).shuffle(batches)
-        self.net = BiLSTM(N_PATH + N_WORDS + N_PLAIN).fit(batches)
+        self.net = BiLSTM(N_PATH + N_WORDS + N_PLAIN).fit(batches, epochs=6)
 
     @staticmethod
     def _pad(x: list[np.ndarray], y: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +150,7 @@ MARK = "m41n"
 FAMILIES = ("telling-rich", "telling-plain", "opaque-rich", "opaque-plain", "bare-rich", "bare-plain")
 #: Regions around the main text: elements, and what pages call them.
 REGIONS = {
-    "nav": (("nav",), ("menu", "nav", "navbar", "main-menu", "breadcrumbs", "navigation", "topnav", "site-nav")),
+    "nav": (("nav",), ("menu", "nav", "navbar", "main-menu", "breadcrumbs", "navigation", "topnav", "site-nav", "toc", "contents-list")),
     "header": (("header",), ("header", "site-header", "masthead", "topbar", "logo", "branding")),
     "footer": (("footer",), ("footer", "site-footer", "copyright", "legal", "bottom", "colophon")),
     "ad": ((), ("ad", "ads", "advert", "advertisement", "banner", "sponsored", "promo", "ad-slot")),
@@ -180,6 +187,8 @@ class Layout:
         signs = "".join(r.choice("!#$%&*+/=?@^_|~-") for _ in range(r.randint(1, 4)))
         self.signs, self.dirt, self.loud = signs, r.choice((0, 0, 0, 0.2, 0.5, 1.0)), r.random() < 0.08
         self.stutter = r.random() < 0.06
+        #: A short article under which readers say more than it does, in plain paragraphs, where names tell them apart.
+        self.talk = self.names == "telling" and r.random() < 0.15
         #: Meaningless names are the same ones wherever a page has the same kind of box.
         self.opaque: dict[str, str] = {}
 
@@ -272,9 +281,11 @@ class Layout:
             inner = self.tag(r.choice(("h2", "h3", "h4", "div")), self.words(1, 3)) + r.choice((self.links(3, 7), para(1, 1), "".join(para(1, 2) for _ in range(3)), self.links(3, 6, True)))
         elif kind == "comments":
             said = lambda: self.tag("p", self.words(1, 2) if r.random() < 0.5 else f"{self.words(1, 2)} {r.randint(1, 28)}.{r.randint(1, 12)}.20{r.randint(10, 26)}") + para(1, 4) + r.choice(("", self.tag("span", "Reply"), '<a href="#">Reply</a>'))
-            boxed = r.random() < 0.8
+            # Comments that look like paragraphs are told by a name or a heading alone.
+            boxed = not self.talk and r.random() < (0.5 if self.names == "telling" else 0.8)
+            heading = heading or ("" if boxed or self.names == "telling" else self.tag("h3", r.choice(PHRASES[kind])))
             one = lambda: self.tag(r.choice(("div", "li", "div")), said() if r.random() < 0.7 else para(1, 3), self.name("comment", ("comment", "comment-body", "reply", "user-comment"))) if boxed else para(1, 3)
-            inner = heading + "".join(one() for _ in range(r.choice((1, 2, 3, 4, 6, 10, 20))))
+            inner = heading + "".join(one() for _ in range(r.choice((6, 10, 20, 40) if self.talk else (1, 2, 3, 4, 6, 10, 20, 40))))
         elif kind == "form":
             inner = heading + self.tag("label", self.phrase(kind)) + '<input type="text">' + self.tag("button", self.phrase(kind)) + (para(1, 1) if r.random() < 0.4 else "")
         elif kind == "notice":
@@ -292,26 +303,41 @@ class Layout:
             title = self.tag(r.choice(("h1", "h1", "h1", "h2")), self.marked(self.words(1, 9)))
             out.append(self.tag("header", title) if self.elements == "rich" and r.random() < 0.1 else title)
         paragraph = r.choice(("p", "p", "p", "p", "div", "br"))
-        for _ in range(r.choice((1, 2, 3, 5, 8, 14)) if r.random() < 0.98 else r.randint(30, 60)):
+        # Some articles are mostly lists or code, and some say the same short thing again and again.
+        lists, code = r.choice((0.06, 0.06, 0.06, 0.25)), r.choice((0.03, 0.03, 0.03, 0.2))
+        count = r.choice((1, 1, 2, 2, 3, 5, 8, 14)) if r.random() < 0.97 else r.choice((40, 80, 160, 320))
+        count = r.choice((1, 2, 3)) if self.talk else count
+        same = self.main() if r.random() < (0.5 if count > 30 else 0.02) else None
+        for _ in range(count):
             form = r.random()
-            if form < 0.7:
+            if same and form < 0.95:
+                out.append(self.tag("p", same))
+            elif form < lists:
+                out.append(self.tag(r.choice(("ul", "ul", "ol")), "".join(self.tag("li", self.main() if r.random() < 0.5 else self.marked(self.words(1, 5))) for _ in range(r.randint(1, 6)))))
+            elif form < lists + code:
+                inner = "\n".join(self.marked(" ".join(self.word() + r.choice(("", "", "()", ";", ":", " =", "/", "--")) for _ in range(r.randint(1, 6)))) for _ in range(r.randint(1, 5)))
+                out.append(self.tag("pre", self.tag("code", inner) if r.random() < 0.6 else inner))
+            elif form < 0.78:
                 out.append(self.main() + "<br><br>" if paragraph == "br" else f"<p><b>{self.main()}<br>" if r.random() < 0.08 else self.tag(paragraph, self.main(), self.name("par") if r.random() < 0.1 else ""))
-            elif form < 0.76:
-                out.append(self.tag("ul", "".join(self.tag("li", self.main() if r.random() < 0.6 else self.marked(self.words(1, 5))) for _ in range(r.randint(1, 5)))))
-            elif form < 0.83:
-                out.append(self.tag(r.choice(("h2", "h3")), self.marked(self.words(1, 7))))
             elif form < 0.88:
-                out.append(self.tag(r.choice(("blockquote", "pre", "div", "figcaption")), self.main()))
-            elif form < 0.91:
-                out.append(self.tag("table", "".join(self.tag("tr", "".join(self.tag("td", self.marked(self.words(1, 2))) for _ in range(3))) for _ in range(r.randint(1, 3)))))
+                out.append(self.tag(r.choice(("h2", "h3")), self.marked(self.words(1, 7))))
+            elif form < 0.93:
+                out.append(self.tag(r.choice(("blockquote", "div", "figcaption", "dd")), self.main()))
             elif form < 0.96:
-                out.append(self.boiler(r.choice(("ad", "share", "related", "form", "notice"))))
-        return "".join(out) if any(MARK in x for x in out) else self.tag("p", self.main())
+                out.append(self.tag("table", "".join(self.tag("tr", "".join(self.tag("td", self.marked(self.words(1, 2))) for _ in range(3))) for _ in range(r.randint(1, 3)))))
+            else:
+                out.append(self.tag(paragraph if paragraph != "br" else "p", self.main()))
+        if not any(MARK in x for x in out):
+            out.append(self.tag("p", self.main()))
+        # Boilerplate of every kind, in every place of the article, also of a very short one.
+        for _ in range(r.choice((0, 0, 0, 1, 1, 2)) if self.names != "bare" else r.choice((0, 0, 0, 1))):
+            out.insert(r.randint(0, len(out)), self.boiler(r.choice(("ad", "share", "related", "form", "notice", "notice"))))
+        return "".join(out)
 
     def page(self) -> str:
         r = self.r
         before = [self.boiler(k) for k in ("nav", "header", "ad", "notice", "sidebar", "form", "ad") if r.random() < 0.4]
-        after = [self.boiler(k) for k in ("footer", "sidebar", "comments", "related", "ad", "share", "form", "notice") if r.random() < 0.4]
+        after = [self.boiler(k) for k in ("footer", "sidebar", "comments", "related", "ad", "share", "form", "notice") if r.random() < (1 if k == "comments" and self.talk else 0.4)]
         r.shuffle(before)
         inner = self.body() + "".join(self.boiler(k) for k, p in (("comments", 0.15), ("share", 0.1), ("related", 0.1)) if r.random() < p)
         if r.random() < 0.9:
