@@ -84,6 +84,21 @@ def test_chain_over_blocks(spark):
         d = spark.createDataFrame(c, "seq long, free long")
         assert sorted(r[0] for r in chain.greedy_chain(d, "seq", "free", block=100).select("seq").collect()) == sequential_chain(c)
     assert chain.greedy_chain(spark.createDataFrame([], "seq long, free long"), "seq", "free").count() == 0
+    # Far jumps over empty blocks, long chains of small blocks, negative places.
+    for low, high, reach, block in ((-500, 500, 5, 3), (0, 100_000, 30_000, 50), (-10_000, 10_000, 400, 64)):
+        seqs = sorted(rnd.sample(range(low, high), 700))
+        c = [(s, s + rnd.randint(1, reach)) for s in seqs]
+        d = spark.createDataFrame(c, "seq long, free long")
+        assert sorted(r[0] for r in chain.greedy_chain(d, "seq", "free", block=block).select("seq").collect()) == sequential_chain(c)
+
+
+def test_pointers_are_doubled(spark):
+    """A chain of 1,000 runs is walked in ten rounds or so; runs beside it aren't seen."""
+    p = spark.createDataFrame([(i, i + 1) for i in range(999)] + [(5000 + i, i) for i in range(50)], "hi long, next long")
+    assert sorted(r[0] for r in chain.visited(p, 0).collect()) == list(range(1000))
+    assert sorted(r[0] for r in chain.visited(p, 995).collect()) == [995, 996, 997, 998, 999]
+    assert [r[0] for r in chain.visited(p, 999).collect()] == [999]
+
 
 
 def test_barriers_against_a_loop(spark):

@@ -95,6 +95,10 @@ def test_charts_patterns_and_ingest(spark, folder, tmp_path):
     cli.main(["patterns", folder, "--window", "5min", "--min-vol", "100", "--min-balance", "0", "--min-body", "1", "--cache-dir", f"{out}/cache", "-o", f"{out}/events.csv"])
     first = binary.ingest(spark, folder, f"{out}/cache").count()
     assert first == 2 * 1620 == binary.ingest(spark, folder, f"{out}/cache").count()
+    # Bars of seven minutes start at midnight, not at a multiple of seven since 1970.
+    cli.main(["charts", f"{folder}/day1.data", "--interval", "7min", "-o", f"{out}/seven"])
+    first = {n: str(spark.read.parquet(f"{out}/seven/{n}.parquet").agg(F.min("bar_time")).first()[0]) for n in ("bars", "cvd", "footprint")}
+    assert set(first.values()) == {"2024-01-03 13:25:00"}
     (tmp_path / "empty").mkdir()
     with pytest.raises(ValueError):
         binary.required(spark, str(tmp_path / "empty"))
@@ -127,3 +131,28 @@ def test_boosting_stops_by_held_rows_and_small_tables_are_left_out(spark):
     assert all(n < 30 for n in report[0]["rounds"]) and len(learning.rounds(model)) == 3
     assert learning.train(d.drop("label").limit(200), "quality", ["x", "y"], folds=1)[0] is None
     assert learning.train(d.drop("label"), "quality", ["x", "y"], folds=1, trees=3)[1][0]["accuracy"] > 0.9
+
+
+def test_bar_files_appear_whole_or_not_at_all(spark, tmp_path):
+    rows = [(f"2024-01-0{1 + i % 3} 10:{i % 60:02d}:00", 1.0 + i, 2.0 + i, 0.5, 1.5, i, 2 * i, 3 * i) for i in range(180)]
+    d = spark.createDataFrame(rows, "t string, open double, high double, low double, close double, buy_volume long, sell_volume long, volume long").withColumn("bar_time", F.to_timestamp_ntz("t"))
+    out = tmp_path / "bars"
+    assert tables.write_bar_files(d, str(out)) == 180 and sorted(os.listdir(out)) == [f"2024-01-0{k}.data" for k in (1, 2, 3)]
+    got = binary.read_minute_bars(spark, str(out), glob="*.data")
+    assert got.count() == 180 and got.agg(F.sum("volume")).first()[0] == 3 * sum(range(180))
+    last = got.groupBy("source_file").agg(F.max_by("cumulative_volume", "record_num").alias("c"), F.sum("volume").alias("v")).collect()
+    assert all(r["c"] == r["v"] for r in last)
+    # A task that fails: what was there stays as it was, and nothing is left beside it.
+    before = {f: (out / f).read_bytes() for f in os.listdir(out)}
+    broken = d.withColumn("high", F.when(F.col("t") == "2024-01-03 10:02:00", F.raise_error(F.lit("broken"))).otherwise(F.col("high") + 1))
+    with pytest.raises(Exception, match="broken"):
+        tables.write_bar_files(broken, str(out))
+    assert {f: (out / f).read_bytes() for f in os.listdir(out)} == before
+    assert tables.write_bar_files(d.where("t < '2024-01-02'"), f"file://{out}") == 60 and len(os.listdir(out)) == 3
+
+
+def test_chains_have_defaults():
+    a = cli.arguments().parse_args(["run-trading"])
+    assert (a.data, a.window, a.rr, a.max_hold, a.folds, a.output) == ("data", "1min", "1.5", "60", "5", None)
+    a = cli.arguments().parse_args(["run-all", "/x", "5min"])
+    assert (a.data, a.window, a.horizon) == ("/x", "5min", "5min")

@@ -16,7 +16,7 @@ from tickforge.operators import bars, models, patterns
 from tickforge.plans import learning, workflow
 from tickforge.sources import binary, tables
 from tickforge.sources.scratch import written
-from tickforge.streaming import live
+from tickforge.streaming import live, state
 from tickforge.streaming.growing import TickFolder
 
 
@@ -51,13 +51,15 @@ def arguments() -> argparse.ArgumentParser:
         c = command(name, "models_dir")
         for flag in ("--features", "--trades", "--output"):
             c.add_argument(flag, required=True)
-    c = command("live", "models_dir", window="1min", tail=30, work=None, once=False, lookback="2d", **trading)
+    c = command("live", "models_dir", window="1min", tail=30, work=None, once=False, late="1min", **trading)
     either = c.add_mutually_exclusive_group(required=True)
     either.add_argument("--watch", help="a folder of growing binary files")
     either.add_argument("--file", help="a binary file to replay")
-    c = command("run-trading", "data", "window", "rr", "max_hold", "folds", trees=20)
-    c.add_argument("--output", required=True)
-    command("run-all", "data", "window", "horizon", trees=20).add_argument("--output", required=True)
+    # What may be left out has the defaults of the chains; results go to `models` under the data unless said otherwise.
+    for name, positional in (("run-trading", {"data": "data", "window": "1min", "rr": "1.5", "max_hold": "60", "folds": "5"}), ("run-all", {"data": ".", "window": "1min", "horizon": "5min"})):
+        c = command(name, trees=20, output=None)
+        for x, default in positional.items():
+            c.add_argument(x, nargs="?", default=default)
     return p
 
 
@@ -72,6 +74,8 @@ def matrix(spark: SparkSession, path: str, a: argparse.Namespace):
 
 def main(argv: list[str] | None = None) -> None:
     a = arguments().parse_args(argv)
+    if a.command in ("run-trading", "run-all") and not a.output:
+        a.output = f"{a.data.rstrip('/')}/models"
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command in ("ticks", "minutes"):
         d = bars.session_cvd(binary.read_ticks(spark, a.input_file)) if a.command == "ticks" else binary.read_minute_bars(spark, a.input_file)
@@ -80,13 +84,20 @@ def main(argv: list[str] | None = None) -> None:
         elif a.summary:
             (bars.tick_summary(d) if a.command == "ticks" else bars.bar_summary(d.withColumnsRenamed({"ts": "bar_time", "buy_count": "buy_volume", "sell_count": "sell_volume"}))).show(vertical=True, truncate=False)
         else:
-            tables.preview(d, limit=None if a.all else a.limit).show(1_000_000 if a.all else a.limit, truncate=False)
+            if a.all:
+                # Row by row, a partition at a time on the driver.
+                print("\t".join(d.columns))
+                for row in tables.preview(d, limit=None).toLocalIterator():
+                    print("\t".join(map(str, row)))
+            else:
+                tables.preview(d, limit=a.limit).show(a.limit, truncate=False)
     elif a.command == "features":
         tables.write_table(matrix(spark, a.data_dir, a), a.output)
     elif a.command == "charts":
         binary.required(spark, a.input_file, glob="*")
         t, width = binary.read_ticks(spark, a.input_file), workflow.width_of(a.interval)
-        for name, d in (("bars", bars.time_bars(t, width, runs=False)), ("cvd", bars.cvd_bars(t, width)), ("footprint", bars.footprint(t, width))):
+        start = bars.anchor(t, width)
+        for name, d in (("bars", bars.time_bars(t, width, runs=False, start=start)), ("cvd", bars.cvd_bars(t, width, start)), ("footprint", bars.footprint(t, width, start=start))):
             tables.write_table(d, f"{a.output}/{name}.parquet")
     elif a.command == "patterns":
         width = workflow.width_of(a.window)
@@ -121,13 +132,14 @@ def main(argv: list[str] | None = None) -> None:
         workflow.viewer(spark, tables.read_trades(spark, a.trades), tables.read_table(spark, a.features), a.output)
     elif a.command == "live":
         kept, meta = learning.load(spark, a.models_dir)
-        signal = lambda t: workflow.live_signals(kept, meta["features"], t, a.window, rr=a.rr, threshold=a.signal_threshold, quality_threshold=a.quality_threshold)
+        rules = {"rr": a.rr, "threshold": a.signal_threshold, "quality_threshold": a.quality_threshold}
         if a.file:
-            live.replay(signal(binary.read_ticks(spark, a.file)), a.tail).orderBy("bar_time").show(a.tail, truncate=False)
+            live.replay(workflow.live_signals(kept, meta["features"], binary.read_ticks(spark, a.file), a.window, **rules), a.tail).orderBy("bar_time").show(a.tail, truncate=False)
         else:
             spark.dataSource.register(TickFolder)
             stream = spark.readStream.format("tick_folder").option("path", a.watch).load()
-            live.watch_ticks(stream, f"{a.work}/history", signal, f"{a.work}/checkpoint", f"{a.work}/signals", workflow.duration(a.lookback), once=a.once).awaitTermination()
+            signal = lambda b: workflow.bar_signals(kept, meta["features"], b, **rules)
+            state.watch(stream, signal, f"{a.work}/checkpoint", f"{a.work}/signals", workflow.width_of(a.window), workflow.duration(a.late), newest=True, once=a.once).awaitTermination()
     elif a.command == "run-trading":
         run_trading(spark, a)
     else:

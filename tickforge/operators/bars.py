@@ -20,6 +20,15 @@ def bar_time(width: str, start: str | None = None) -> Column:
     return (F.window("ts", width, width, start) if start else F.window("ts", width))["start"]
 
 
+def anchor(ticks: DataFrame, width: str) -> str | None:
+    """Where the grid of bars starts so that one starts at the midnight of the first day; None for widths that divide a day."""
+    n = seconds(width)
+    if 86_400 % n == 0:
+        return None
+    first = ticks.agg(F.unix_seconds(F.min(F.date_trunc("day", "ts")).cast("timestamp")).alias("s")).first()["s"]
+    return f"{(first or 0) % n} seconds"
+
+
 def _islands(ticks: DataFrame, width: str, start: str | None = None) -> DataFrame:
     """ticks with bar_time and island, a number that each run of a direction has in its bar: one sort within bars."""
     order = Window.partitionBy("bar_time").orderBy("ts", "record_num")
@@ -79,7 +88,11 @@ def time_bars(ticks: DataFrame, width: str = "1 minute", runs: bool = True, star
             *top("max_single_txn", "max_single_buy", "max_single_sell"), *total("price_volume"), _longest(1).alias("max_buy_run"), _longest(-1).alias("max_sell_run"),
         )
     out = ["bar_time", "open", "high", "low", "close", "volume", "num_events", "buy_volume", "sell_volume", F.try_divide("_wide", "_spreads").alias("wide_spread_frac"), "max_single_txn", "max_single_buy", "max_single_sell", "price_volume"]
-    bars = bars.select(*out, *(["max_buy_run", "max_sell_run"] if runs else []))
+    return with_ratios(bars.select(*out, *(["max_buy_run", "max_sell_run"] if runs else [])), width)
+
+
+def with_ratios(bars: DataFrame, width: str) -> DataFrame:
+    """bars with what follows from their sums."""
     return bars.withColumns({
         "flow_imbalance": safe_divide((F.col("buy_volume") - F.col("sell_volume")).cast("double"), F.col("volume").cast("double")),
         "intensity": F.col("num_events") / F.lit(float(seconds(width))),
@@ -102,10 +115,10 @@ def session_cvd(ticks: DataFrame) -> DataFrame:
     return prefix_sums(ticks, block, ["record_num"], {"cumulative_volume_delta": F.col("volume_delta")}, ["source_file", "session_date"])
 
 
-def cvd_bars(ticks: DataFrame, width: str) -> DataFrame:
+def cvd_bars(ticks: DataFrame, width: str, start: str | None = None) -> DataFrame:
     """Bars of the session's cumulative delta, with the price bar's up flag."""
     at, cvd = F.struct("ts", "record_num"), "cumulative_volume_delta"
-    return session_cvd(ticks).groupBy(bar_time(width).alias("bar_time")).agg(
+    return session_cvd(ticks).groupBy(bar_time(width, start).alias("bar_time")).agg(
         F.min_by(cvd, at).alias("cvd_open"), F.max(cvd).alias("cvd_high"), F.min(cvd).alias("cvd_low"), F.max_by(cvd, at).alias("cvd_close"), (F.max_by("price", at) >= F.min_by("price", at)).alias("up")
     )
 
@@ -125,10 +138,10 @@ def cvd_candles_of_bars(bars: DataFrame) -> DataFrame:
     return b.select("bar_time", opened.alias("cvd_open"), F.greatest(opened, "cvd_close").alias("cvd_high"), F.least(opened, "cvd_close").alias("cvd_low"), "cvd_close")
 
 
-def footprint(ticks: DataFrame, width: str, known_only: bool = True) -> DataFrame:
+def footprint(ticks: DataFrame, width: str, known_only: bool = True, start: str | None = None) -> DataFrame:
     """(bar_time, price, buy, sell); levels without a buy or sale go if known_only."""
     side = lambda d: F.sum(F.when(F.col("direction") == d, F.col("txn_count")).otherwise(0))
-    f = ticks.groupBy(bar_time(width).alias("bar_time"), "price").agg(side(1).alias("buy"), side(-1).alias("sell"))
+    f = ticks.groupBy(bar_time(width, start).alias("bar_time"), "price").agg(side(1).alias("buy"), side(-1).alias("sell"))
     return f.where((F.col("buy") > 0) | (F.col("sell") > 0)) if known_only else f
 
 

@@ -139,7 +139,7 @@ def first_generation(bars: DataFrame) -> DataFrame:
 
 
 def second_generation(bars: DataFrame) -> DataFrame:
-    """And the 37 microstructure and 14 multi-timeframe features."""
-    d = with_margin(add_cvd(bars), "bar_seq", BACK).withColumns(returns()).withColumns(rolling())
+    """And the 37 microstructure and 14 multi-timeframe features.  A cvd that bars have already, as live ones do, is taken."""
+    d = with_margin(bars if "cvd" in bars.columns else add_cvd(bars), "bar_seq", BACK).withColumns(returns()).withColumns(rolling())
     d = d.withColumns(true_range()).withColumns(atr(5, 14) | micro_first()).withColumns(micro_second() | multi_timeframe())
     return own_rows(d).drop("_tr").withColumns(time_features(F.col("bar_time")))

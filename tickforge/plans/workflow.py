@@ -37,7 +37,8 @@ def feature_matrix(ticks: DataFrame, window: str = "1min", horizon: str = "5min"
 
     The matrix is written: filters on a hundred columns over the windows that make them would have the optimizer derive conditions without end.
     """
-    b = written(bars.sequence(bars.time_bars(ticks, width_of(window))), "bars")
+    width = width_of(window)
+    b = written(bars.sequence(bars.time_bars(ticks, width, start=bars.anchor(ticks, width))), "bars")
     f = features.second_generation(b)
     for other in (labels.trade_labels(labels.triple_barrier(b, rr, max_hold)), labels.atr_target(b), labels.forward_labels(b, labels.bars_ahead(b, duration(horizon)))):
         f = f.join(other.select("bar_seq", *(c for c in other.columns if c not in f.columns)), "bar_seq")
@@ -129,8 +130,13 @@ def signals(scored: DataFrame, rr: float = 1.5, threshold: float = 0.55, quality
 
 def live_signals(kept: dict[str, PipelineModel], names: list[str], ticks: DataFrame, window: str = "1min", **rules) -> DataFrame:
     """The signals of all bars of some ticks, the newest and unfinished one too."""
-    b = written(bars.sequence(bars.time_bars(ticks, width_of(window))), "live-bars")
-    f = written(features.second_generation(b), "live-features")
+    width = width_of(window)
+    return bar_signals(kept, names, bars.sequence(bars.time_bars(ticks, width, start=bars.anchor(ticks, width))), **rules)
+
+
+def bar_signals(kept: dict[str, PipelineModel], names: list[str], b: DataFrame, **rules) -> DataFrame:
+    """The signals of bars with bar_seq; a cvd that they have is taken."""
+    f = written(features.second_generation(written(b, "live-bars")), "live-features")
     return written(signals(learning.scored(kept, names, f), **rules), "live-signals")
 
 

@@ -5,13 +5,12 @@ from __future__ import annotations
 import json
 from datetime import datetime, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.functions import market
 
-from .binary import BAR, encode
+from .barfiles import BarFiles
 from .scratch import path_of
 
 TRADES = "entry_time timestamp_ntz, exit_time timestamp_ntz, direction string, entry_price double, exit_price double, sl_price double, tp_price double, exit_reason string, pnl_points double, pnl_dollars double, bars_held int, mae double, mfe double"
@@ -67,28 +66,19 @@ def write_metrics_json(metrics: DataFrame, path: str) -> None:
 
 
 def write_bar_files(bars: DataFrame, folder: str) -> int:
-    """60-byte records, a file a day, in any file system that Spark writes to.  Returns the bars written.
+    """60-byte records, a file a day, by a task a day; files of days that are there already are replaced.  Returns the bars written.
 
-    bars has bar_time, OHLC, buy_volume, sell_volume and volume; the cumulative volume runs over the day.  A day's records are packed in one task
-    (at most 86,400 bars of a second: 5 MB) and written one day after another, as a viewer's files are few.
+    bars has bar_time, OHLC, buy_volume, sell_volume and volume; the cumulative volume runs over the day.
     """
-    d = bars.select(market.dotnet_ticks(F.col("bar_time")).alias("ticks"), F.to_date("bar_time").alias("day"), "open", "high", "low", "close", F.col("sell_volume").alias("sell_count"), F.col("buy_volume").alias("buy_count"), "volume")
-
-    def packed(pdf):
-        pdf = pdf.sort_values("ticks")
-        pdf["cumulative_volume"] = pdf["volume"].cumsum()
-        return pd.DataFrame({"day": [str(pdf["day"].iloc[0])], "n": [len(pdf)], "data": [encode(BAR, pdf)]})
-
-    spark, total = bars.sparkSession, 0
-    for r in d.groupBy("day").applyInPandas(packed, "day string, n long, data binary").toLocalIterator():
-        fs, p = path_of(spark, f"{folder}/{r['day']}.data")
-        out = fs.create(p, True)
-        try:
-            out.write(bytearray(r["data"]))
-        finally:
-            out.close()
-        total += r["n"]
-    return total
+    spark, seen = bars.sparkSession, Observation()
+    spark.dataSource.register(BarFiles)
+    d = bars.select(
+        F.date_format("bar_time", "yyyy-MM-dd").alias("day"), market.dotnet_ticks(F.col("bar_time")).alias("ticks"), *(F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")),
+        F.col("sell_volume").cast("long").alias("sell_count"), F.col("buy_volume").cast("long").alias("buy_count"), F.col("volume").cast("long").alias("volume"),
+    )
+    d = d.observe(seen, F.count(F.lit(1)).alias("n")).repartition("day").sortWithinPartitions("day", "ticks")
+    d.write.format("bar_files").option("path", folder).mode("append").save()
+    return seen.get["n"]
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
