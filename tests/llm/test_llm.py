@@ -78,6 +78,18 @@ def repeat_words(words):
     return len({p for x in seen.values() if len(x) > 1 for i in x for p in range(i, i + 8)})
 
 
+def test_frequent_lines_are_cut_from_texts(spark, none):
+    """Boilerplate of a host goes from its texts in every spelling, and from no other host's; all else stays to the letter."""
+    menu = ["Home | News 2024", "  HOME |  news 1999 "]
+    rows = [(i, f"{menu[i % 2]}\n\nstory {i} of its own\t x\nHome", "a") for i in range(30)] + [(100 + i, f"{menu[0]}\nother {i}", "b") for i in range(5)] + [(200, None, "a"), (201, "", None), (0, f"{menu[0]}\n\nstory 0 of its own\t x\nHome", "a"), (None, menu[0], "a")]
+    d = spark.createDataFrame([(i, t, h, 1) for i, t, h in rows], "doc_id long, text string, source string, host int")
+    # Digits count as 0, so the stories of two-digit numbers are one line in 20 documents: under the limit.
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in quality.cleaned(d, max_docs=25).collect())
+    want = sorted((i if i is not None else -1, t if h != "a" or t is None else "\n".join(x for x in t.split("\n") if "|" not in x and x != "Home")) for i, t, h in rows)
+    assert [x for x in got if x[1] is not None] == [x for x in want if x[1] is not None] and len(got) == len(want)
+    assert quality.cleaned(none).count() == 0 and quality.cleaned(none).columns == none.columns
+
+
 def test_quality_base_rules(spark, docs, none):
     more = spark.createDataFrame([(200 + i, " ".join(R.choice(VOCAB[:3]) for _ in range(R.randint(5, 90))) + "\n#a\n#a\n  \n", "en", "s", None, 1, "", "", "") for i in range(30)], SCHEMA)
     for r in quality.base_rules(docs.union(more)).collect():

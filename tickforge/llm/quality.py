@@ -3,7 +3,7 @@
 Lines are normalised (trimmed, lower case, runs of white space to one space, digits to 0) and
 hashed; the distinct documents of a line are counted per host, rows of equal text being one document.  A line in more than
 `max_docs` documents of its host is boilerplate, whatever the host's size, and is removed; a
-document that keeps less than `min_left` of its words is depleted and is rejected.
+document that keeps less than `min_left` of its words is depleted and is rejected.  `cleaned` gives the texts without those lines.
 
 Texts are read once: the base figures of a row and the hashes of its lines are written, and all that follows reads these.
 
@@ -30,7 +30,9 @@ MIN_LEFT = 0.5
 
 def repeat_words(words: Column, window: int = WINDOW) -> Column:
     """Words that lie in a window of `window` words which the text has twice or more."""
-    hashed = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - window + 1), lambda i: F.xxhash64(F.slice(w, i, window)))
+    # Each word is hashed once, and a window from its words' hashes.
+    each = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(window))))
+    hashed = lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), each)
 
     def covered(w: Column, by_hash: Column) -> Column:
         n = F.size(by_hash)
@@ -54,9 +56,13 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) <= window, F.lit(0)).otherwise(let(words, lambda w: let(hashed(w), lambda h: counted(w, h)))).cast("long")
 
 
+def normal(line: Column) -> Column:
+    """What two lines that count as one have in common."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(line, F.lit(SPACE))), SPACES, " "), "[0-9]", "0")
+
+
 def line_hashes(text: Column) -> Column:
     """Of each line with a word, in order: the hash of its normal form and its number of words."""
-    normal = lambda x: F.regexp_replace(F.regexp_replace(F.lower(F.trim(x, F.lit(SPACE))), SPACES, " "), "[0-9]", "0")
     lines = F.filter(F.transform(F.split(text, "\n"), normal), lambda x: x != "")
     return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).cast("long").alias("n")))
 
@@ -109,8 +115,28 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     return out.withColumn("kept", kept).drop("_row", "_lost", "lost", "lines")
 
 
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
+    """docs with the frequent lines of their host cut from the text; line ends of the lines that stay are kept as they are.
+
+    Only the hashes of lines are shuffled; which lines a row loses is joined back by id, host and text, broadcast if few rows lose any.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("_cid"), F.col(host_col).alias("host"), F.xxhash64(text_col).alias("text_key"), line_hashes(text).alias("lines"))
+    rows = materialize(rows.dropDuplicates(["_cid", "host", "text_key"]), "quality-lines")
+    frequent = materialize(frequent_lines(rows, max_docs), "frequent-lines")
+    lines = rows.select("_cid", "host", "text_key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+    hit = lines.join(sized(frequent), F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line")))
+    gone = hit.groupBy(F.col("_cid"), F.col("host").alias("_chost"), F.col("text_key").alias("_ckey")).agg(F.collect_set("line").alias("_gone"))
+    gone = sized(materialize(gone, "quality-gone"))
+    d = docs.withColumn("_key", F.xxhash64(docs[text_col]))
+    d = d.join(gone, docs[id_col].eqNullSafe(F.col("_cid")) & docs[host_col].eqNullSafe(F.col("_chost")) & (F.col("_key") == F.col("_ckey")), "left")
+    stays = lambda x: (normal(x) == "") | ~F.array_contains("_gone", F.xxhash64(normal(x)))
+    kept = F.array_join(F.filter(F.split(docs[text_col], "\n"), stays), "\n")
+    return d.select(*(F.when(F.col("_gone").isNull(), docs[c]).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns))
+
+
 def op10_quality(spark, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
 
 
 OP10_SQL = r"""
@@ -128,7 +154,7 @@ a AS (SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(array_to_
              CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lost.n, 0) AS lost
       FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN lost USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed) AND lost <= 0.5 * n_words AS kept FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed) AND lost <= 0.5 * n_words AS kept, CAST(lost AS BIGINT) AS lost_words FROM b
 """
 
 QUERIES = {"op10_quality": op10_quality}
