@@ -33,7 +33,8 @@ from .binary import TICK
 from .events import enrich
 from .scratch import written
 
-SCHEMA = "source_file string, record_num long, ticks long, price double, level_low double, level_high double, txn_count long, txn_count_dup long, cumulative_txn long, reserved_1 long, reserved_2 long, reserved_3 long, flag short, ts timestamp_ntz"
+SCHEMA = "source_file string, record_num long, ticks long, price double, level_low double, level_high double, txn_count long, txn_count_dup long, cumulative_txn long, reserved_1 long, reserved_2 long, reserved_3 long, flag short, ts timestamp_ntz, source_path string"
+_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 #: Records of a range and of a batch, unless an option says otherwise.
 RANGE, ROWS = 2_000_000, 100_000
 #: Ticks of 100 ns from the year 1 to 1970.
@@ -132,8 +133,9 @@ class TickReader(DataSourceReader):
             columns = {"source_file": pa.array([name]).take(pa.array(np.zeros(len(r), np.int64))), "record_num": pa.array(np.arange(at, at + len(r)))}
             for n in TICK.names:
                 columns[n] = pa.array(r[n].astype("int16" if n == "flag" else "int64" if r[n].dtype.kind in "ui" else "float64"))
+            columns["source_path"] = pa.array([part.path]).take(pa.array(np.zeros(len(r), np.int64)))
             columns["ts"] = pa.array((r["ticks"] - EPOCH) // 10).cast(pa.timestamp("us"))
-            yield pa.RecordBatch.from_pydict(columns)
+            yield pa.RecordBatch.from_pydict({n: columns[n] for n in _NAMES})
 
 
 class TickFiles(DataSource):
@@ -180,15 +182,15 @@ def options_of(paths: str | Sequence[str], since: datetime.datetime | None, unti
     return {k: str(v) for k, v in ({"paths": paths if isinstance(paths, str) else ",".join(paths), "range": span, "ordered": str(ordered).lower(), "suffix": suffix} | bounds | more).items()}
 
 
-def read_ticks(spark: SparkSession, paths: str | Sequence[str], since: datetime.datetime | None = None, until: datetime.datetime | None = None, span: int = RANGE, ordered: bool = False, index: str | None = None, suffix: str = ".data") -> DataFrame:
-    """What binary.read_ticks gives of times from since to before until, from ranges of files."""
+def read_ticks(spark: SparkSession, paths: str | Sequence[str], since: datetime.datetime | None = None, until: datetime.datetime | None = None, span: int = RANGE, ordered: bool = False, index: str | None = None, suffix: str = ".data", full_path: bool = False) -> DataFrame:
+    """What binary.read_ticks gives of times from since to before until, from ranges of files; and source_path if full_path."""
     spark.dataSource.register(TickFiles)
     d = spark.read.format("tick_files").options(**options_of(paths, since, until, span, ordered, index, suffix)).load()
     if since:
         d = d.where(F.col("ticks") >= ticks_at(since))
     if until:
         d = d.where(F.col("ticks") < ticks_at(until))
-    return enrich(d)
+    return enrich(d if full_path else d.drop("source_path"))
 
 
 def skipped(paths: str | Sequence[str], since: datetime.datetime | None = None, until: datetime.datetime | None = None, span: int = RANGE, ordered: bool = False, index: str | None = None, suffix: str = ".data") -> tuple[int, int]:
