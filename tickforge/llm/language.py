@@ -10,7 +10,8 @@ The last three come from grouped sums of text posteriors over all rows; a row's
 taken out of what it is judged by.  The trigram model is fitted on the driver on at most LABEL_ROWS rows of each label (those whose ids have the smallest hashes), of
 each a span of at most TRAIN_CHARS characters at a place that its hash chooses; all else covers every row and whole texts.  It is fitted in two halves, by a hash of the
 id, and a row is scored with the half that rows like it had no part in: so a row's declared label never stands behind its text's likelihood as well.
-A label is a language of the model if LEAST_ROWS rows of the whole table have it, however many rows others have; more than MOST_LANGUAGES are refused with an error.
+A label is a language of the model if LEAST_ROWS rows of the whole table have it, however many rows others have; of more such labels than MOST_LANGUAGES those
+with the most rows are (ties by label), and the rest count as labels of too few rows do.
 
 Sums of the groups come from one table of all combinations of label, suffix, domain and host; each level's is broadcast up to BROADCAST_VALUES
 numbers, and joined by shuffle beyond, where adaptive execution splits a hot host.
@@ -29,6 +30,7 @@ Defined cases
 
 from __future__ import annotations
 
+import html
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import INLINE, pieces
 from .common import arrow_batches, materialize, table, without_ids
 
 LABEL_ROWS, TRAIN_CHARS, LEAST_ROWS, MOST_LANGUAGES = 500, 20_000, 15, 1000
@@ -112,9 +115,7 @@ def smallest_hashes(d: DataFrame, counts: dict, rows: int) -> DataFrame:
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", rows: int = LABEL_ROWS) -> Model:
     """The rows of a label are chosen by their ids alone; only the chosen texts follow."""
     d = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(label).alias("_label"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    enough = d.groupBy("_label").count().where(F.col("count") >= LEAST_ROWS).limit(MOST_LANGUAGES + 1).collect()
-    if len(enough) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} labels have {LEAST_ROWS} rows: is {label} a language?")
+    enough = d.groupBy("_label").count().where(F.col("count") >= LEAST_ROWS).orderBy(F.col("count").desc(), "_label").limit(MOST_LANGUAGES).collect()
     chosen = smallest_hashes(d, {r["_label"]: r["count"] for r in enough}, rows)
     span = F.substr("_text", (F.lit(1) + F.pmod(F.xxhash64(F.lit("span"), "_id"), F.greatest(F.lit(1), F.length("_text") - TRAIN_CHARS + 1))).cast("int"), F.lit(TRAIN_CHARS))
     sample = d.join(F.broadcast(chosen), ["_label", "_id"], "left_semi").groupBy("_label", "_id").agg(F.min(span).alias("_text"))
@@ -197,14 +198,26 @@ def keep(docs: DataFrame, id_col: str = "doc_id", **named) -> DataFrame:
     return without_ids(docs, id_col, gone)
 
 
+def page_text(page: str) -> str:
+    """What a page says, character references decoded; elements other than those of running text end a word."""
+    return html.unescape("".join(rest if tag is None else "" if tag in INLINE and tag != "br" else " " for tag, rest, _ in pieces(page)))
+
+
 def page_columns(pages: DataFrame) -> DataFrame:
-    """pages as rows with text (markup stripped), declared language, host, domain and suffix."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>|&[#\w]+;", " ")
-    lang = F.lower(F.regexp_extract(html, r"""(?i)<html[^>]*\blang=["']?([A-Za-z]+)""", 1))
+    """pages as rows with text (markup stripped, references decoded), declared language, host, domain and suffix."""
+    arrow_batches(pages.sparkSession)
+    page = F.coalesce(F.col("html"), F.lit(""))
+    lang = F.lower(F.regexp_extract(page, r"""(?i)<html[^>]*\blang=["']?([A-Za-z]+)""", 1))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     empty = lambda c: F.when(c != "", c)
-    return pages.select("page_id", bare.alias("text"), empty(lang).alias("declared"), empty(host).alias("host"), empty(F.substring_index(host, ".", -2)).alias("domain"), empty(F.substring_index(host, ".", -1)).alias("suffix"))
+    d = pages.select("page_id", page.alias("text"), empty(lang).alias("declared"), empty(host).alias("host"), empty(F.substring_index(host, ".", -2)).alias("domain"), empty(F.substring_index(host, ".", -1)).alias("suffix"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [page_text((x or b"").decode("utf-8", "replace")) for x in b.column(1).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), *b.columns[2:]], names=b.schema.names)
+
+    return d.mapInArrow(run, d.schema)
 
 
 def op8_language(spark, sf_dir: str) -> DataFrame:
