@@ -5,7 +5,7 @@ from math import factorial
 
 import numpy as np
 import pytest
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -78,10 +78,13 @@ def rows(spark):
 
 
 @pytest.mark.parametrize("kind", [GBTRegressor, RandomForestRegressor, GBTClassifier, RandomForestClassifier])
-def test_values_sum_to_the_prediction(spark, rows, kind):
+def test_values_sum_to_the_prediction(spark, rows, kind, tmp_path):
     trees = {"maxIter": 5} if "GBT" in kind.__name__ else {"numTrees": 5}
     learner = kind(maxDepth=4, seed=1, **trees, labelCol="label" if "Class" in kind.__name__ else "y")
     model = Pipeline(stages=[VectorAssembler(inputCols=NAMES, outputCol="features"), learner]).fit(rows)
+    # As read back: a forest's classifier that was just fitted holds its session by its summary, and a session that observes can't go to tasks.
+    model.write().save(f"{tmp_path}/model")
+    model = PipelineModel.load(f"{tmp_path}/model")
     said = model.transform(rows)
     if kind is GBTClassifier:
         value = vector_to_array("rawPrediction")[1]
