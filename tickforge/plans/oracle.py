@@ -13,7 +13,7 @@ ticks AS (SELECT event_id AS record_num, ts, price, CASE side WHEN 1 THEN price
 
 def bars(width: str) -> str:
     """CTEs up to bars: every bar column and bar_seq."""
-    seconds = {"1 hour": 3600, "30 minutes": 1800}[width]
+    seconds = {"1 day": 86400, "1 hour": 3600, "30 minutes": 1800, "1 minute": 60}[width]
     return f"""{TICKS},
 tb AS (SELECT *, time_bucket(INTERVAL '{width}', ts) AS bar_time FROM ticks),
 isl AS (SELECT bar_time, direction, row_number() OVER (PARTITION BY bar_time ORDER BY ts, record_num) - row_number() OVER (PARTITION BY bar_time, direction ORDER BY ts, record_num) AS g FROM tb),

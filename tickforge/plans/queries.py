@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.functions import market
-from tickforge.operators import asof, backtest, bars, features, labels, models, patterns
+from tickforge.operators import asof, backtest, bars, features, labels, models, partial, patterns
 from tickforge.sources import events
 from tickforge.sources.cache import cached
 
@@ -68,6 +68,20 @@ def bars_max_run(spark, d):
     return bars.longest_runs(events.ticks(spark, d), HOUR)
 
 
+_MERGED = "bar_time, open, high, low, close, volume, num_events, buy_volume, sell_volume, max_single_txn, max_buy_run, max_sell_run"
+
+
+@query(f"WITH {o.bars('1 day')} SELECT {_MERGED} FROM bars")
+def bars_merged_day(spark, d):
+    """Bars of a day from slices of five minutes that merge, runs over slices too."""
+    return partial.sliced_bars(events.ticks(spark, d), "1 day").select(*_MERGED.split(", "))
+
+
+@query(f"WITH {o.bars('1 minute')} SELECT {_MERGED} FROM bars")
+def bars_merged_minute(spark, d):
+    return partial.sliced_bars(events.ticks(spark, d), "1 minute").select(*_MERGED.split(", "))
+
+
 @query(f"WITH {o.bars(HOUR)} SELECT bar_time, (high - low) / 0.25 AS range_ticks, (close - open) / 0.25 AS body_ticks, CASE WHEN close - open > 1e-9 THEN 'up' WHEN close - open < -1e-9 THEN 'down' ELSE 'flat' END AS change FROM bars")
 def bar_shape(spark, d):
     b = bars.bar_shape(bars.time_bars(events.ticks(spark, d), HOUR, runs=False))
