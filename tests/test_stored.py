@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tickforge.operators import bars, ordering
+from tickforge.operators import asof, bars, ordering
 from tickforge.sources import events, stored
 
 
@@ -56,3 +56,22 @@ def test_other_sessions_are_not_read(spark, table):
     more = table.limit(10).withColumn("session_date", F.lit(datetime.date(2030, 1, 1)))
     stored.store_ticks(more, "stored_ticks", buckets=6, mode="append")
     assert spark.table("stored_ticks").where("session_date = DATE '2030-01-01'").count() == 10
+
+
+def test_asof_without_an_exchange_of_ticks(spark, table):
+    left, right = table.where("record_num % 7 = 3"), table.where("record_num % 11 = 5").select("ts", "record_num", "price", "session_date")
+    stored.store_ticks(left, "stored_left", buckets=6)
+    stored.store_ticks(right, "stored_right", buckets=6)
+    a, b = (stored.read_stored(spark, t) for t in ("stored_left", "stored_right"))
+    try:
+        for how in ("backward", "forward", "nearest"):
+            got, want = stored.asof_stored(a, b, how), asof.asof_join(left, right, "ts", "ts", how, tie="record_num")
+            pick = lambda d: sorted(tuple(str(x) for x in r) for r in d.select("record_num", "ts", "match.record_num", "match.price").collect())
+            assert pick(got) == pick(want) != []
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+        plan = plan_of(stored.asof_stored(a, b))
+        assert not re.search(r"Exchange hashpartitioning\(_block", plan), plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE stored_left")
+        spark.sql("DROP TABLE stored_right")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickforge.functions.market import COMMISSION, POINT_VALUE, SLIPPAGE_TICKS, TICK_SIZE, clip, is_rth, is_session_end, round_to_tick, trade_result
 
 from .chain import greedy_chain
-from .ordering import margin_window, own_rows, prefix_max, prefix_sums, with_margin
+from .ordering import LANE, margin_window, own_rows, prefix_max, prefix_sums, with_margin
 
 SLIP = SLIPPAGE_TICKS * TICK_SIZE
 
@@ -43,10 +45,11 @@ def _exit(path: Column, side: Column, entry: Column, stop: Column, target: Colum
     return F.aggregate(path, start, step)
 
 
-def candidates(scored: DataFrame, rr: float = 1.5, threshold: float = 0.55, quality_threshold: float = 0.5, max_hold: int = 60) -> DataFrame:
+def candidates(scored: DataFrame, rr: float = 1.5, threshold: float = 0.55, quality_threshold: float = 0.5, max_hold: int = 60, by: Sequence[str] = ()) -> DataFrame:
     """Every bar at which a flat trader would enter, with the exit of that entry.
 
     scored has bar_seq, bar_time, high, low, close, prob_long, prob_short, quality (NULL: no filter) and atr (the predicted one).
+    Of several instruments, named by the columns `by`, bar_seq has lanes.
     """
     d = with_margin(scored.withColumn("_closing", is_session_end(F.col("bar_time"))), "bar_seq", 0, max_hold)
     d = d.withColumn("_path", F.collect_list(F.struct("bar_seq", "bar_time", "high", "low", "close", F.col("_closing").alias("closing"))).over(margin_window().rowsBetween(1, max_hold)))
@@ -62,37 +65,37 @@ def candidates(scored: DataFrame, rr: float = 1.5, threshold: float = 0.55, qual
     d = d.withColumn("pnl_points", (F.col("exit_price") - F.col("entry_price")) * side)
     d = d.withColumn("pnl_dollars", F.col("pnl_points") * POINT_VALUE - 2 * COMMISSION)
     d = d.withColumn("next_free", F.when(F.col("exit_reason") != "END", F.col("exit_seq")))
-    return d.select("bar_seq", F.col("bar_time").alias("entry_time"), "exit_time", F.when(side == 1, "LONG").otherwise("SHORT").alias("direction"), "entry_price", "exit_price", "sl_price", "tp_price", "exit_reason", "pnl_points", "pnl_dollars", "bars_held", "mae", "mfe", "exit_seq", "next_free")
+    return d.select(*by, "bar_seq", F.col("bar_time").alias("entry_time"), "exit_time", F.when(side == 1, "LONG").otherwise("SHORT").alias("direction"), "entry_price", "exit_price", "sl_price", "tp_price", "exit_reason", "pnl_points", "pnl_dollars", "bars_held", "mae", "mfe", "exit_seq", "next_free")
 
 
-def trades(scored: DataFrame, **rules) -> DataFrame:
-    """The trades of one position at a time; after an exit the same bar may enter again."""
-    return greedy_chain(candidates(scored, **rules), "bar_seq", "next_free")
+def trades(scored: DataFrame, by: Sequence[str] = (), **rules) -> DataFrame:
+    """The trades of one position at a time (of each instrument); after an exit the same bar may enter again."""
+    return greedy_chain(candidates(scored, by=by, **rules), "bar_seq", "next_free", lane=LANE if by else None)
 
 
-def equity_curve(bars: DataFrame, taken: DataFrame) -> DataFrame:
-    """(bar_time, equity) a bar: dollars of the trades closed by then.  A position open at the end isn't in it."""
+def equity_curve(bars: DataFrame, taken: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(bar_time, equity) a bar, after the columns `by`: dollars of the trades closed by then.  A position open at the end isn't in it."""
     closed = taken.where("exit_reason <> 'END'").groupBy(F.col("exit_seq").alias("s")).agg(F.sum("pnl_dollars").alias("pnl"))
-    d = bars.select("bar_seq", "bar_time").join(closed, F.col("bar_seq") == F.col("s"), "left")
-    return prefix_sums(d, F.to_date("bar_time"), ["bar_time"], {"equity": F.coalesce("pnl", F.lit(0.0))}).select("bar_time", "equity")
+    d = bars.select(*by, "bar_seq", "bar_time").join(closed, F.col("bar_seq") == F.col("s"), "left")
+    return prefix_sums(d, F.to_date("bar_time"), ["bar_time"], {"equity": F.coalesce("pnl", F.lit(0.0))}, by).select(*by, "bar_time", "equity")
 
 
-def drawdown(taken: DataFrame) -> DataFrame:
+def drawdown(taken: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """trades with cum_pnl, peak (which starts at the first trade's, not at 0) and drawdown, by exit and then entry time."""
     block, order = F.to_date("exit_time"), ["exit_time", "entry_time"]
-    d = prefix_sums(taken, block, order, {"cum_pnl": F.col("pnl_dollars")})
-    return prefix_max(d, block, order, "peak", F.col("cum_pnl")).withColumn("drawdown", F.col("peak") - F.col("cum_pnl"))
+    d = prefix_sums(taken, block, order, {"cum_pnl": F.col("pnl_dollars")}, by)
+    return prefix_max(d, block, order, "peak", F.col("cum_pnl"), by).withColumn("drawdown", F.col("peak") - F.col("cum_pnl"))
 
 
-def metrics(taken: DataFrame) -> DataFrame:
-    """One row of performance figures; all zero if there are no trades."""
+def metrics(taken: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row of performance figures, all zero if there are no trades; or a row an instrument that has trades."""
     p = F.col("pnl_dollars")
     win, loss = p > 0, p < 0
     share = lambda d: F.coalesce(F.try_divide(F.count_if((F.col("direction") == d) & win).cast("double"), F.count_if(F.col("direction") == d).cast("double")), F.lit(0.0))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     n = F.count(F.lit(1))
     sharpe = F.when(F.stddev_pop(p) > 0, F.avg(p) / F.stddev_pop(p) * (252 * 4) ** 0.5)
-    return drawdown(taken).agg(
+    return drawdown(taken, by).groupBy(*by).agg(
         n.alias("n_trades"),
         zero(F.avg(win.cast("double"))).alias("win_rate"),
         F.when(n == 0, 0.0).otherwise(F.coalesce(F.try_divide(F.sum(F.when(win, p)), F.abs(F.sum(F.when(loss, p)))), F.when(F.count_if(loss) > 0, F.lit(0.0)).otherwise(F.lit(float("inf"))))).alias("profit_factor"),

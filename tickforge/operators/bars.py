@@ -1,13 +1,18 @@
-"""Time bars and what they are made of: order flow, runs, cumulative delta, footprints."""
+"""Time bars and what they are made of: order flow, runs, cumulative delta, footprints.
+
+The columns `by` name the instrument, if ticks have several; each has bars of its own, in one pass for all.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions.market import TICK_SIZE, safe_divide
 
-from .ordering import BLOCK_RECORDS, numbered, prefix_sums, time_block
+from .ordering import BLOCK_RECORDS, in_lanes, numbered, prefix_sums, time_block
 
 
 def seconds(width: str) -> int:
@@ -29,9 +34,9 @@ def anchor(ticks: DataFrame, width: str) -> str | None:
     return f"{(first or 0) % n} seconds"
 
 
-def _islands(ticks: DataFrame, width: str, start: str | None = None) -> DataFrame:
+def _islands(ticks: DataFrame, width: str, start: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """ticks with bar_time and island, a number that each run of a direction has in its bar: one sort within bars."""
-    order = Window.partitionBy("bar_time").orderBy("ts", "record_num")
+    order = Window.partitionBy(*by, "bar_time").orderBy("ts", "record_num")
     t = ticks.withColumn("bar_time", bar_time(width, start))
     turns = ~F.col("direction").eqNullSafe(F.lag("direction").over(order))
     return t.withColumn("_turn", turns.cast("int")).withColumn("island", F.sum("_turn").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_turn")
@@ -48,7 +53,7 @@ def longest_runs(ticks: DataFrame, width: str, start: str | None = None) -> Data
     return runs.groupBy("bar_time").agg(_longest(1).alias("max_buy_run"), _longest(-1).alias("max_sell_run"))
 
 
-def time_bars(ticks: DataFrame, width: str = "1 minute", runs: bool = True, start: str | None = None) -> DataFrame:
+def time_bars(ticks: DataFrame, width: str = "1 minute", runs: bool = True, start: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """A bar for each bucket that has ticks, labelled by its start.
 
     Open and close go by (ts, record_num), which makes them definite; all else is sums.  Without runs, partial sums are
@@ -57,9 +62,9 @@ def time_bars(ticks: DataFrame, width: str = "1 minute", runs: bool = True, star
     at = F.struct("ts", "record_num")
     side = lambda d: F.sum(F.when(F.col("direction") == d, F.col("txn_count")).otherwise(0))
     largest = lambda d: F.coalesce(F.max(F.when(F.col("direction") == d, F.col("txn_count"))), F.lit(0))
-    keys = ["bar_time"]
+    keys = [*by, "bar_time"]
     if runs:
-        t = _islands(ticks.select("ts", "record_num", "price", "txn_count", "direction", "level_low", "level_high"), width, start)
+        t = _islands(ticks.select(*by, "ts", "record_num", "price", "txn_count", "direction", "level_low", "level_high"), width, start, by)
         keys += ["island"]
     else:
         t = ticks.withColumn("bar_time", bar_time(width, start))
@@ -83,11 +88,11 @@ def time_bars(ticks: DataFrame, width: str = "1 minute", runs: bool = True, star
     if runs:
         total = lambda *names: [F.sum(n).alias(n) for n in names]
         top = lambda *names: [F.max(n).alias(n) for n in names]
-        bars = bars.groupBy("bar_time").agg(
+        bars = bars.groupBy(*by, "bar_time").agg(
             F.min_by("open", "_from").alias("open"), *top("high"), F.min("low").alias("low"), F.max_by("close", "_to").alias("close"), *total("volume", "num_events", "buy_volume", "sell_volume", "_wide", "_spreads"),
             *top("max_single_txn", "max_single_buy", "max_single_sell"), *total("price_volume"), _longest(1).alias("max_buy_run"), _longest(-1).alias("max_sell_run"),
         )
-    out = ["bar_time", "open", "high", "low", "close", "volume", "num_events", "buy_volume", "sell_volume", F.try_divide("_wide", "_spreads").alias("wide_spread_frac"), "max_single_txn", "max_single_buy", "max_single_sell", "price_volume"]
+    out = [*by, "bar_time", "open", "high", "low", "close", "volume", "num_events", "buy_volume", "sell_volume", F.try_divide("_wide", "_spreads").alias("wide_spread_frac"), "max_single_txn", "max_single_buy", "max_single_sell", "price_volume"]
     return with_ratios(bars.select(*out, *(["max_buy_run", "max_sell_run"] if runs else [])), width)
 
 
@@ -104,21 +109,22 @@ def bar_shape(bars: DataFrame, tick: float = TICK_SIZE) -> DataFrame:
     return bars.withColumns({"range_ticks": (F.col("high") - F.col("low")) / tick, "body_ticks": (F.col("close") - F.col("open")) / tick})
 
 
-def sequence(bars: DataFrame) -> DataFrame:
-    """bars with bar_seq from 0, numbered day by day."""
-    return numbered(bars, F.to_date("bar_time"), ["bar_time"], "bar_seq")
+def sequence(bars: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """bars with bar_seq from 0, numbered day by day; of several instruments each has a lane of numbers, from a multiple of LANE."""
+    d = numbered(bars, F.to_date("bar_time"), ["bar_time"], "bar_seq", by)
+    return in_lanes(d, "bar_seq", by) if by else d
 
 
-def session_cvd(ticks: DataFrame) -> DataFrame:
+def session_cvd(ticks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """ticks with cumulative_volume_delta, which restarts with each file and session."""
     block = F.floor(F.col("record_num") / BLOCK_RECORDS)
-    return prefix_sums(ticks, block, ["record_num"], {"cumulative_volume_delta": F.col("volume_delta")}, ["source_file", "session_date"])
+    return prefix_sums(ticks, block, ["record_num"], {"cumulative_volume_delta": F.col("volume_delta")}, [*by, "source_file", "session_date"])
 
 
-def cvd_bars(ticks: DataFrame, width: str, start: str | None = None) -> DataFrame:
+def cvd_bars(ticks: DataFrame, width: str, start: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Bars of the session's cumulative delta, with the price bar's up flag."""
     at, cvd = F.struct("ts", "record_num"), "cumulative_volume_delta"
-    return session_cvd(ticks).groupBy(bar_time(width, start).alias("bar_time")).agg(
+    return session_cvd(ticks, by).groupBy(*by, bar_time(width, start).alias("bar_time")).agg(
         F.min_by(cvd, at).alias("cvd_open"), F.max(cvd).alias("cvd_high"), F.min(cvd).alias("cvd_low"), F.max_by(cvd, at).alias("cvd_close"), (F.max_by("price", at) >= F.min_by("price", at)).alias("up")
     )
 
@@ -138,16 +144,16 @@ def cvd_candles_of_bars(bars: DataFrame) -> DataFrame:
     return b.select("bar_time", opened.alias("cvd_open"), F.greatest(opened, "cvd_close").alias("cvd_high"), F.least(opened, "cvd_close").alias("cvd_low"), "cvd_close")
 
 
-def footprint(ticks: DataFrame, width: str, known_only: bool = True, start: str | None = None) -> DataFrame:
-    """(bar_time, price, buy, sell); levels without a buy or sale go if known_only."""
+def footprint(ticks: DataFrame, width: str, known_only: bool = True, start: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(bar_time, price, buy, sell), after the columns `by`; levels without a buy or sale go if known_only."""
     side = lambda d: F.sum(F.when(F.col("direction") == d, F.col("txn_count")).otherwise(0))
-    f = ticks.groupBy(bar_time(width, start).alias("bar_time"), "price").agg(side(1).alias("buy"), side(-1).alias("sell"))
+    f = ticks.groupBy(*by, bar_time(width, start).alias("bar_time"), "price").agg(side(1).alias("buy"), side(-1).alias("sell"))
     return f.where((F.col("buy") > 0) | (F.col("sell") > 0)) if known_only else f
 
 
-def diagonal_imbalance(levels: DataFrame, ratio: int = 3, tick: float = TICK_SIZE) -> DataFrame:
+def diagonal_imbalance(levels: DataFrame, ratio: int = 3, tick: float = TICK_SIZE, by: Sequence[str] = ()) -> DataFrame:
     """Levels with flags: buys against the sales a tick below, sales against the buys a tick above."""
-    w = Window.partitionBy("bar_time").orderBy("price")
+    w = Window.partitionBy(*by, "bar_time").orderBy("price")
     below = F.when(F.lag("price").over(w) == F.col("price") - tick, F.lag("sell").over(w))
     above = F.when(F.lead("price").over(w) == F.col("price") + tick, F.lead("buy").over(w))
     flag = lambda own, other: F.coalesce((other > 0) & (own >= ratio * other), F.lit(False))

@@ -70,15 +70,19 @@ def visited(pointers: DataFrame, start: int) -> DataFrame:
         old = [path, far]
 
 
-def greedy_chain(candidates: DataFrame, seq: str, next_free: str, block: int = BLOCK) -> DataFrame:
+def greedy_chain(candidates: DataFrame, seq: str, next_free: str, block: int = BLOCK, lane: int | None = None) -> DataFrame:
     """The candidates that the chain takes.
 
     candidates has a unique integer seq and next_free > seq, the first place at which another may
-    start; a null next_free ends the chain.  The chain starts at the smallest seq.
+    start; a null next_free ends the chain.  The chain starts at the smallest seq.  With a lane, each lane of so many
+    numbers has a chain of its own: where one ends, or would leave its lane, the next begins, so all are found as one.
     """
     spark = candidates.sparkSession
     candidates = written(candidates, "chain-candidates")
-    slim = candidates.select(F.col(seq).cast("long").alias("s"), F.coalesce(F.col(next_free).cast("long"), F.lit(NEVER)).alias("f"), F.floor(F.col(seq) / block).alias("b"))
+    free = F.coalesce(F.col(next_free).cast("long"), F.lit(NEVER))
+    if lane:
+        free = F.least(free, (F.floor(F.col(seq) / lane) + 1) * lane)
+    slim = candidates.select(F.col(seq).cast("long").alias("s"), free.alias("f"), F.floor(F.col(seq) / block).alias("b"))
     size = slim.agg(F.min("b").alias("low"), F.max("b").alias("high")).first()
     entries = spark.createDataFrame([(size["low"], -NEVER)] if size["low"] is not None else [], "eb long, e long")
     if size["low"] != size["high"]:

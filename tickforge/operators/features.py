@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,16 +122,9 @@ def multi_timeframe(frames=(5, 15)) -> dict[str, Column]:
     return out
 
 
-def add_cvd(bars: DataFrame, session: bool = False) -> DataFrame:
-    """bars with cvd, the running delta of all bars, or of each session's."""
-    if session:
-        from pyspark.sql import Window
-
-        from tickforge.functions.market import session_date
-
-        w = Window.partitionBy(session_date(F.col("bar_time"))).orderBy("bar_time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return bars.withColumn("cvd", F.sum(F.col("buy_volume") - F.col("sell_volume")).over(w))
-    return prefix_sums(bars, F.to_date("bar_time"), ["bar_time"], {"cvd": F.col("buy_volume") - F.col("sell_volume")})
+def add_cvd(bars: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """bars with cvd, the running delta of all bars, each instrument's by itself."""
+    return prefix_sums(bars, F.to_date("bar_time"), ["bar_time"], {"cvd": F.col("buy_volume") - F.col("sell_volume")}, by)
 
 
 def first_generation(bars: DataFrame) -> DataFrame:
@@ -138,8 +133,8 @@ def first_generation(bars: DataFrame) -> DataFrame:
     return own_rows(d).withColumns(time_features(F.col("bar_time")))
 
 
-def second_generation(bars: DataFrame) -> DataFrame:
+def second_generation(bars: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """And the 37 microstructure and 14 multi-timeframe features.  A cvd that bars have already, as live ones do, is taken."""
-    d = with_margin(bars if "cvd" in bars.columns else add_cvd(bars), "bar_seq", BACK).withColumns(returns()).withColumns(rolling())
+    d = with_margin(bars if "cvd" in bars.columns else add_cvd(bars, by), "bar_seq", BACK).withColumns(returns()).withColumns(rolling())
     d = d.withColumns(true_range()).withColumns(atr(5, 14) | micro_first()).withColumns(micro_second() | multi_timeframe())
     return own_rows(d).drop("_tr").withColumns(time_features(F.col("bar_time")))

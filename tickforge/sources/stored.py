@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.functions.market import session_date
-from tickforge.operators import partial
+from tickforge.operators import asof, partial
 from tickforge.operators.ordering import BLOCK_SECONDS, prefix_sums, time_block
 
 #: Buckets of a table: tasks of a pass over it, whatever the number of sessions.
@@ -47,3 +47,11 @@ def running(stored: DataFrame, sums: dict[str, Column]) -> DataFrame:
 def stored_bars(stored: DataFrame, width: str, start: str | None = None) -> DataFrame:
     """What time_bars gives of stored ticks; their blocks are the slices, and only partial bars are shuffled."""
     return partial.merged(partial.partial_bars(stored, width, start, by=(BLOCK,)), width).drop("overlaps")
+
+
+def asof_stored(left: DataFrame, right: DataFrame, how: str = "backward") -> DataFrame:
+    """asof_join by ts of two tables that were stored with as many buckets and blocks as long: windows are over blocks, which lie in one task already.
+
+    Of right rows at one time the last, or first, by record_num matches.
+    """
+    return asof.asof_join(left, right, "ts", "ts", how, tie="record_num", block=BLOCK)
