@@ -9,7 +9,8 @@ the bucket of that minimiser, where the windows are sorted and so counted exactl
    what it has sent: what it has sent before with a smaller id is settled there and isn't sent again,
    so copies meet as one row a task.  Buckets of more than HOT windows are split by window: each goes, as its words, to the bucket
    of their digest, so a passage that a third of all documents share is spread and never gathered, and is still compared word by word.
-3. In a bucket, windows are sorted with their documents; all but those of the smallest id are removed.
+3. In a bucket, windows are sorted with their documents; all but those of the smallest id are removed.  Rows of a split
+   bucket come by id, so the first of a window is its smallest and the others are told as they pass: a task holds each distinct window once.
 4. The removed windows go back to their documents.
 
 Texts are shuffled once by document; both later passes read that one shuffle.
@@ -146,18 +147,21 @@ def _pack(d: DataFrame, window: int, gram: int) -> DataFrame:
     return d.mapInArrow(run, f"bucket long, id {d.schema['id'].dataType.simpleString()}, key long, start int, n int, packed binary, more array<int>")
 
 
+class SplitBucket:
+    """The windows of one split bucket, in the order of their documents: the first of each is kept in mind, and others are told as they come."""
+
+    def __init__(self) -> None:
+        self.first: dict[bytes, int] = {}
+
+    def removals(self, doc: int, key: int, starts: Iterator[int], own: bytes) -> list[tuple]:
+        return [(doc, key, s, 1) for s in starts] if self.first.setdefault(own, doc) < doc else []
+
+
 def bucket_removals(rows: list[tuple], window: int) -> list[tuple]:
-    """(id, key, start, n): the windows of one bucket to remove; rows are (id, key, start, n, packed, more) by id."""
+    """(id, key, start, n): the windows of one bucket to remove; rows are (id, key, start, n, packed) by id."""
     out, firsts = [], {}
     windows: list[tuple[bytes, int, int]] = []
-    for doc, key, start, n, packed, more in rows:
-        if packed is None:
-            out.append((doc, key, start, n))
-            continue
-        if n == 0:  # one window of a split bucket
-            windows.append((packed, doc, len(firsts)))
-            firsts[len(firsts)] = (doc, key, (start, *more))
-            continue
+    for doc, key, start, n, packed in rows:
         whole = firsts.setdefault(packed, doc)
         if whole < doc:  # all of it is in a smaller document
             out.append((doc, key, start, n))
@@ -167,7 +171,7 @@ def bucket_removals(rows: list[tuple], window: int) -> list[tuple]:
         end = (np.cumsum(size) - 1)[window - 1 :].tolist()
         for i, (a, b) in enumerate(zip(begin, end, strict=True)):
             windows.append((packed[a:b], doc, len(firsts)))
-            firsts[len(firsts)] = (doc, key, (start + i,))
+            firsts[len(firsts)] = (doc, key, start + i)
     if len(rows) > 1:
         windows.sort()
         now, least = None, None
@@ -175,8 +179,7 @@ def bucket_removals(rows: list[tuple], window: int) -> list[tuple]:
             if w != now:
                 now, least = w, doc
             elif doc > least:
-                d, key, starts = firsts[k]
-                out += [(d, key, s, 1) for s in starts]
+                out.append((*firsts[k], 1))
     return out
 
 
@@ -191,16 +194,22 @@ def _count(buckets: DataFrame, window: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["id", "key", "start", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out = None, [], []
+        now, held, split, out = None, [], SplitBucket(), []
         for b in batches:
-            for bucket, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for bucket, doc, key, start, n, packed, more in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bucket != now:
                     out += bucket_removals(held, window)
-                    now, held = bucket, []
-                    if len(out) > 20_000:
-                        yield batch(out)
-                        out = []
-                held.append(tuple(row))
+                    now, held, split = bucket, [], SplitBucket()
+                # A settled row and a window of a split bucket aren't held: of those there is no bound.
+                if packed is None:
+                    out.append((doc, key, start, n))
+                elif n == 0:
+                    out += split.removals(doc, key, (start, *more), packed)
+                else:
+                    held.append((doc, key, start, n, packed))
+                if len(out) > 20_000:
+                    yield batch(out)
+                    out = []
         out += bucket_removals(held, window)
         if out:
             yield batch(out)
