@@ -1,4 +1,4 @@
-"""Connected components over a table of links, in rounds of joins with partial minima."""
+"""Connected components over a table of links, by contraction: what a round has joined is one node in the next."""
 
 from __future__ import annotations
 
@@ -8,28 +8,40 @@ from pyspark.sql import functions as F
 from .common import drop_scratch, materialize
 
 
+def _tops(up: DataFrame) -> DataFrame:
+    """(node, root) with the end of the way that each node's (node, root) begin, by pointer doubling; roots are smaller than their nodes."""
+    while True:
+        far = up.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        new = materialize(up.join(far, "root", "left").select("node", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")), "tops")
+        moved = new.where("moved").limit(1).count()
+        drop_scratch(up)
+        up = new.select("node", "root")
+        if not moved:
+            return up
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b); root is the smallest node reachable.
 
-    Each round takes, for every node, the smallest root among its neighbours and itself, and then
-    the root of that root (which halves the paths), until nothing changes.  Rounds are written to
-    the shared folder.  Joins have the roots on one side, once a node, so a node with very many
-    links is only many rows on the other side, which adaptive execution splits.
+    Each round hangs every node under its smallest neighbour, if that is smaller, and takes the tops of the trees that
+    this makes as the nodes of the next round: links inside a tree go and those that become equal are one, so a link
+    is joined again only while it still leads from one tree to another.  Rounds are written to the shared folder.  Joins have
+    the tops on one side, once a node, so a node with very many links is only many rows on the other side, which adaptive execution splits.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = materialize(both, "links")
-    roots = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "roots")
-    while True:
-        seen = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = roots.join(seen, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        step = materialize(step, "step")
-        jump = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = step.join(jump, "root", "left").select("node", F.least("root", "far").alias("root"), "was")
-        new = materialize(new, "roots")
-        changed = new.where("root <> was").limit(1).count()
-        drop_scratch(step)
-        drop_scratch(roots)
-        roots = new.select("node", "root")
-        if not changed:
-            drop_scratch(both)
-            return roots
+
+    def ordered(a, b, found: DataFrame) -> DataFrame:
+        return materialize(found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct(), "links")
+
+    left = ordered(F.col("a"), F.col("b"), links)
+    roots = materialize(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "roots")
+    while left.limit(1).count():
+        tops = _tops(materialize(left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), "smallest-neighbours"))
+        new = materialize(roots.join(tops.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+        # A greater node of a link always has a top, as the other is smaller.
+        rest = left.join(tops.toDF("a", "top_a"), "a", "left").join(tops.toDF("b", "top_b"), "b")
+        rest = ordered(F.coalesce("top_a", "a"), F.col("top_b"), rest)
+        for old in (tops, roots, left):
+            drop_scratch(old)
+        roots, left = new, rest
+    drop_scratch(left)
+    return roots
