@@ -9,6 +9,7 @@ the bucket of that minimiser, where the windows are sorted and so counted exactl
    what it has sent: what it has sent before with a smaller id is settled there and isn't sent again,
    so copies meet as one row a task.  Buckets of more than HOT windows are split by window: each goes, as its words, to the bucket
    of their digest, so a passage that a third of all documents share is spread and never gathered, and is still compared word by word.
+   A super-k-mer that the task has met with a smaller id isn't split, and settled windows side by side are one row: a passage costs a document few rows, not one a window.
 3. In a bucket, windows are sorted with their documents; all but those of the smallest id are removed.  Rows of a split
    bucket come by id, so the first of a window is its smallest and the others are told as they pass: a task holds each distinct window once.
 4. The removed windows go back to their documents.
@@ -76,6 +77,13 @@ def super_kmers(texts: list[bytes], window: int, gram: int) -> Iterator[tuple[li
         yield words, place, runs[own, 0], runs[own, 1] + place - first[own], size, least[place].view(np.int64)
 
 
+def stretches(places: list[int]) -> list[tuple[int, int]]:
+    """(first, number) of each stretch of consecutive places, which are distinct."""
+    at = np.sort(np.array(places, np.int64))
+    first = np.flatnonzero(np.diff(at, prepend=at[:1] - 2) != 1)
+    return list(zip(at[first].tolist(), np.diff(first, append=len(at)).tolist(), strict=True))
+
+
 def _minimisers(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(id, key, start, size, mini) of every super-k-mer."""
 
@@ -116,23 +124,26 @@ def _pack(d: DataFrame, window: int, gram: int) -> DataFrame:
             out: list[tuple] = []
             for words, place, doc, start, size, mini in super_kmers(texts, window, gram):
                 split: dict[tuple[int, bytes], list[int]] = {}
+                gone: dict[int, list[int]] = {}
                 for p, d, s, n, m in zip(place.tolist(), doc.tolist(), start.tolist(), size.tolist(), mini.tolist(), strict=True):
                     hot = wanted[d].get(s + 1)
                     if hot is None:
                         continue
-                    if not hot:
-                        packed = b" ".join(words[p : p + n + window - 1])
-                        done = settled(packed, ids[d])
+                    packed = b" ".join(words[p : p + n + window - 1])
+                    done = settled(packed, ids[d])
+                    if done or not hot:
                         out.append((ids[d] if done else m, ids[d], keys[d], s, n, None if done else packed, None))
                         continue
                     for i in range(n):
                         split.setdefault((d, b" ".join(words[p + i : p + i + window])), []).append(s + i)
                 for (d, own), places in split.items():
                     if settled(own, ids[d]):
-                        out += [(ids[d], ids[d], keys[d], s, 1, None, None) for s in places]
+                        gone.setdefault(d, []).extend(places)
                     else:
                         bucket = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True)
                         out.append((bucket, ids[d], keys[d], places[0], 0, own, places[1:]))
+                for d, places in gone.items():
+                    out += [(ids[d], ids[d], keys[d], s, n, None, None) for s, n in stretches(places)]
                 if len(out) > 4000:
                     yield _rows(out)
                     out = []
@@ -161,6 +172,7 @@ def bucket_removals(rows: list[tuple], window: int) -> list[tuple]:
     """(id, key, start, n): the windows of one bucket to remove; rows are (id, key, start, n, packed) by id."""
     out, firsts = [], {}
     windows: list[tuple[bytes, int, int]] = []
+    gone: dict[tuple[int, int], list[int]] = {}
     for doc, key, start, n, packed in rows:
         whole = firsts.setdefault(packed, doc)
         if whole < doc:  # all of it is in a smaller document
@@ -171,7 +183,7 @@ def bucket_removals(rows: list[tuple], window: int) -> list[tuple]:
         end = (np.cumsum(size) - 1)[window - 1 :].tolist()
         for i, (a, b) in enumerate(zip(begin, end, strict=True)):
             windows.append((packed[a:b], doc, len(firsts)))
-            firsts[len(firsts)] = (doc, key, start + i)
+            firsts[len(firsts)] = (key, start + i)
     if len(rows) > 1:
         windows.sort()
         now, least = None, None
@@ -179,7 +191,11 @@ def bucket_removals(rows: list[tuple], window: int) -> list[tuple]:
             if w != now:
                 now, least = w, doc
             elif doc > least:
-                out.append((*firsts[k], 1))
+                key, start = firsts[k]
+                gone.setdefault((doc, key), []).append(start)
+    # Windows side by side go as one row; a row that repeats an id and its text has the same places.
+    for (doc, key), places in gone.items():
+        out += [(doc, key, s, n) for s, n in stretches(list(set(places)))]
     return out
 
 
