@@ -190,6 +190,27 @@ class Transducer:
         return out
 
     def run(self, piece: bytes) -> list[int]:
+        return self._short(piece) if len(piece) < WINDOW else self._long(piece)
+
+    def _short(self, piece: bytes) -> list[int]:
+        """Nothing is sent before the end."""
+        known, size, state, steps, last = self.steps.get, self.size, 0, [], []
+        for byte in piece:
+            step = known(state << 8 | byte)
+            if step is None:
+                step = self._step(state, byte)
+                known = self.steps.get
+            state = step >> 32
+            steps.append(step)
+        at = len(steps)
+        while at:
+            token = steps[at - 1] & 0xFFFFFFFF
+            last.append(token)
+            at -= size[token]
+        last.reverse()
+        return last
+
+    def _long(self, piece: bytes) -> list[int]:
         out: list[int] = []
         #: The last token of each prefix, from the end of what was sent.
         ending: list[int] = []
@@ -227,6 +248,17 @@ class Transducer:
         return chains[0][:shared]
 
 
+class Kept(dict):
+    """Ids of pieces by piece; one that is missing is made, and kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.make(piece)
+
+
 class Codec:
     """Ids of texts, and bytes and texts of ids."""
 
@@ -235,9 +267,9 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.bytes_of = {v: k for k, v in ranks.items()}
         #: Ids of pieces met, and those of the generation before: what is met again moves to the new one.
-        self.kept: dict[str, bytes] = {}
+        self.kept = Kept(self.piece_ids)
         self.former: dict[str, bytes] = {}
-        self.table = [self.bytes_of.get(i) for i in range(max(self.bytes_of) + 1)]
+        self.table = pa.array([self.bytes_of.get(i) for i in range(max(self.bytes_of) + 1)], pa.large_binary())
         #: Decoding: machine states by number, and the step of (state, token) to (state, text).
         self.after: dict[tuple[bytes, int], tuple[bytes, str]] = {}
 
@@ -250,25 +282,34 @@ class Codec:
             out = _ints.pack(whole) if whole is not None else struct.pack(f"<{len(ids := self.transducer.run(raw))}i", *ids)
         if len(piece) <= LONG_PIECE:
             if len(self.kept) >= MOST_PIECES:
-                self.kept, self.former = {}, self.kept
+                # In place, as a text's pieces are being looked up in it.
+                self.former = dict(self.kept)
+                self.kept.clear()
             self.kept[piece] = out
         return out
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as in piece_ids."""
-        found = (m.group() for m in self.pattern.finditer(text)) if len(text) > PIECES else iter(self.pattern.findall(text))
-        out = []
+        if len(text) <= PIECES:
+            return b"".join(map(self.kept.__getitem__, self.pattern.findall(text)))
+        found, out = (m.group() for m in self.pattern.finditer(text)), []
         while part := list(islice(found, PIECES)):
-            own = self.piece_ids
-            out.append(b"".join([self.kept.get(p) or own(p) for p in part]))
+            out.append(b"".join(map(self.kept.__getitem__, part)))
         return b"".join(out)
 
+    def decode_all(self, ids: np.ndarray, size: np.ndarray) -> pa.Array:
+        """Bytes of the lists of so many ids that lie side by side in ids: tokens taken from the table, and their borders left out."""
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.table):
+            raise ValueError(f"no token has the id {ids[(ids < 0) | (ids >= len(self.table))][0]}")
+        taken = self.table.take(pa.array(ids))
+        if taken.null_count:
+            raise ValueError(f"no token has the id {ids[taken.is_null().to_numpy(zero_copy_only=False)][0]}")
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(ids) + 1) if len(ids) else np.zeros(1, np.int64)
+        places = ends[np.cumsum([0, *size], dtype=np.int64)]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(places), taken.buffers()[2] or pa.py_buffer(b"")]).cast(pa.binary())
+
     def decode(self, ids: list[int]) -> bytes:
-        try:
-            return b"".join(map(self.table.__getitem__, ids))
-        except (IndexError, TypeError):
-            bad = next(i for i in ids if not 0 <= i < len(self.table) or self.table[i] is None)
-            raise ValueError(f"no token has the id {bad}") from None
+        return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[0].as_py()
 
     def text_stream(self, ids: list[int]) -> Iterator[str]:
         """The text token by token; a character that tokens cut comes with its last byte."""
@@ -368,12 +409,25 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_c
     """df with the bytes of ids."""
     held = vocabulary(df.sparkSession, path)
 
-    def make(ids: pa.Array) -> pa.Array:
-        flat, size = _flat(ids)
-        c, all_ids, end = codec(held.value, pattern), flat.tolist(), np.cumsum(size).tolist()
-        return pa.array([c.decode(all_ids[a:b]) for a, b in zip([0, *end], end, strict=False)], pa.binary())
+    return _mapped(df, ids_col, bytes_col, T.BinaryType(), lambda ids: codec(held.value, pattern).decode_all(*_flat(ids)))
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """df without its texts, with the ids and the bytes decoded from them, as `encode` and then `decode` give them.
+
+    One pass: a worker has one codec and learns its states once, and ids don't travel between two.
+    """
+    arrow_batches(df.sparkSession)
+    held = vocabulary(df.sparkSession, path)
+    at, kept = df.columns.index(text_col), [i for i, c in enumerate(df.columns) if c not in (text_col, ids_col, bytes_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(held.value, pattern)
+        for b in batches:
+            ids = _lists([c.encode(x or "") for x in b.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), ids, c.decode_all(*_flat(ids))], names=[*(b.schema.names[i] for i in kept), ids_col, bytes_col])
 
-    return _mapped(df, ids_col, bytes_col, T.BinaryType(), make)
+    return df.mapInArrow(run, T.StructType([*(df.schema[i] for i in kept), T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(bytes_col, T.BinaryType())]))
 
 
 def decode_text(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded_text") -> DataFrame:
@@ -392,8 +446,7 @@ def op13_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
-    d = decode(ids, path, pattern)
+    d = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
