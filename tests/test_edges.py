@@ -41,11 +41,16 @@ def test_contrast_without_winners(compare):
 
 
 def even(n=40):
-    """Hours with a trade of 100 each, so that the largest is always the same, and prices that go up and down."""
-    return [(3600 * i + 60 * j, kind, k) for i in range(n) for j, (kind, k) in enumerate((("click", 99), ("signup", i * i % 97), ("view", i * 7 % 31)))]
+    """Hours of some trades with one of 100 each, so that the largest is always the same and all else varies."""
+    return [(3600 * i + 60 * j, "signup" if (i + j * j) % 3 else "view", (i * i + 7 * j) % 97 if j else 99) for i in range(n) for j in range(3 + i % 4)]
 
 
 def test_feature_that_never_changes(compare):
     """Its correlation is NaN, which SQL ranks before all others."""
     got, want = compare(even())("effect_correlation")
     assert got == want and len(got) == 6 and "nan" in got[0]
+
+
+def test_top_features_with_one_that_never_changes(compare):
+    got, want = compare(even())("top_k_importance")
+    assert got == want and len(got) == 3 and sum("nan" in r for r in got) == 1
