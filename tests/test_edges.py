@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import duckdb
 import pytest
 
+from tickforge.operators import backtest
 from tickforge.plans import queries as q
 
 T0 = datetime(2024, 1, 1)
@@ -26,7 +27,7 @@ def compare(spark, tmp_path):
             got = q.QUERIES[name](spark, str(tmp_path))
             sql = con.execute(q.SQL[name])
             at = [[c[0] for c in sql.description].index(c) for c in got.columns]
-            return [sorted(repr(tuple(r)) for r in rows) for rows in (got.collect(), [tuple(r[i] for i in at) for r in sql.fetchall()])]
+            return [sorted(repr(dict(zip(got.columns, r, strict=True))) for r in rows) for rows in (map(tuple, got.collect()), [tuple(r[i] for i in at) for r in sql.fetchall()])]
 
         return both
 
@@ -54,3 +55,42 @@ def test_feature_that_never_changes(compare):
 def test_top_features_with_one_that_never_changes(compare):
     got, want = compare(even())("top_k_importance")
     assert got == want and len(got) == 3 and sum("nan" in r for r in got) == 1
+
+
+def hourly(*sides):
+    """Six ticks a half hour from 14:30, which is 9:30 in New York; k moves the price."""
+    return [(52_200 + 1800 * i + 300 * j, *side) for i, side in enumerate(sides) for j in range(6)]
+
+
+QUIET = ("error", 4)
+DAYS = {
+    "no trade": hourly(*[QUIET] * 12),
+    "one that wins": hourly(("signup", 4), ("error", 8), ("error", 8), ("error", 8), QUIET, QUIET),
+    "one that loses": hourly(("signup", 4), ("error", 0), ("error", 0), ("error", 0), QUIET, QUIET),
+    "a short that wins": hourly(("click", 4), ("error", 0), ("error", 0), ("error", 0), QUIET, QUIET),
+    "two that lose": hourly(("signup", 4), ("error", 0), ("error", 0), ("signup", 4), ("error", 0), ("error", 0), QUIET),
+}
+
+
+@pytest.mark.parametrize("day", DAYS)
+def test_figures_that_are_not_defined(compare, day):
+    """No trades, no winners, no losers, one side alone, a single trade."""
+    got, want = compare(DAYS[day])("backtest_metrics")
+    assert got == want and ("'n_trades': 0," in got[0]) == (day == "no trade")
+
+
+def test_figures_keep_the_stand_ins_of_a_report(spark):
+    kinds = "exit_time timestamp_ntz, entry_time timestamp_ntz, direction string, pnl_dollars double, pnl_points double, bars_held int"
+    of = lambda *p: backtest.metrics(spark.createDataFrame([(T0 + timedelta(hours=i), T0, "LONG", x, x / 50, 1) for i, x in enumerate(p)], kinds)).first().asDict()
+    assert set(of().values()) == {0}
+    won, lost = of(45.0, 45.0), of(-55.0)
+    assert (won["profit_factor"], won["avg_loser"], won["sharpe_approx"], won["short_win_rate"]) == (float("inf"), 1, 0, 0)
+    assert (lost["profit_factor"], lost["avg_loser"], lost["avg_winner"], lost["win_rate"]) == (0, 55, 0, 0)
+
+
+def test_rounding_is_that_of_sql(spark):
+    """Halves that a double can't hold, as shares of trades have."""
+    pairs = [(k, n) for n in (320, 640, 1280, 3200) for k in range(n + 1)]
+    got = q.rounded(spark.createDataFrame([(k, n, k / n) for k, n in pairs], "k int, n int, x double")).orderBy("n", "k").collect()
+    want = duckdb.connect().execute("SELECT k, n, round(k::DOUBLE / n, 6) FROM (VALUES (320), (640), (1280), (3200)) t(n), range(3201) r(k) WHERE k <= n ORDER BY n, k").fetchall()
+    assert [tuple(r) for r in got] == want

@@ -87,33 +87,45 @@ def drawdown(taken: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return prefix_max(d, block, order, "peak", F.col("cum_pnl"), by).withColumn("drawdown", F.col("peak") - F.col("cum_pnl"))
 
 
-def metrics(taken: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row of performance figures, all zero if there are no trades; or a row an instrument that has trades."""
+def figures(taken: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row of performance figures, or a row an instrument that has trades; those that aren't defined are NULL.
+
+    The Sharpe ratio of trades that are all alike is infinite, or NaN if they bring nothing.
+    """
     p = F.col("pnl_dollars")
     win, loss = p > 0, p < 0
-    share = lambda d: F.coalesce(F.try_divide(F.count_if((F.col("direction") == d) & win).cast("double"), F.count_if(F.col("direction") == d).cast("double")), F.lit(0.0))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    n = F.count(F.lit(1))
-    sharpe = F.when(F.stddev_pop(p) > 0, F.avg(p) / F.stddev_pop(p) * (252 * 4) ** 0.5)
+    share = lambda d: F.avg(F.when(F.col("direction") == d, win.cast("double"))).alias(f"{d.lower()}_win_rate")
+    mean, spread = F.avg(p), F.stddev_pop(p)
+    alike = F.when(spread.isNotNull(), F.when(mean == 0, float("nan")).otherwise(F.signum(mean) * float("inf")))
     return drawdown(taken, by).groupBy(*by).agg(
-        n.alias("n_trades"),
-        zero(F.avg(win.cast("double"))).alias("win_rate"),
-        F.when(n == 0, 0.0).otherwise(F.coalesce(F.try_divide(F.sum(F.when(win, p)), F.abs(F.sum(F.when(loss, p)))), F.when(F.count_if(loss) > 0, F.lit(0.0)).otherwise(F.lit(float("inf"))))).alias("profit_factor"),
-        zero(F.avg(F.when(win, p))).alias("avg_winner"),
-        F.coalesce(F.abs(F.avg(F.when(loss, p))), F.when(n == 0, 0.0).otherwise(1.0)).alias("avg_loser"),
-        zero(F.avg(p)).alias("expectancy"),
-        zero(F.sum(p)).alias("total_pnl"),
-        zero(F.sum("pnl_points")).alias("total_points"),
-        zero(F.max("drawdown")).alias("max_drawdown"),
-        zero(sharpe).alias("sharpe_approx"),
-        zero(F.avg("bars_held")).alias("avg_bars_held"),
+        F.count(F.lit(1)).alias("n_trades"),
+        F.avg(win.cast("double")).alias("win_rate"),
+        F.try_divide(F.sum(F.when(win, p)), F.abs(F.sum(F.when(loss, p)))).alias("profit_factor"),
+        F.avg(F.when(win, p)).alias("avg_winner"),
+        F.abs(F.avg(F.when(loss, p))).alias("avg_loser"),
+        mean.alias("expectancy"),
+        F.sum(p).alias("total_pnl"),
+        F.sum("pnl_points").alias("total_points"),
+        F.max("drawdown").alias("max_drawdown"),
+        F.when(spread > 0, mean / spread * (252 * 4) ** 0.5).otherwise(alike).alias("sharpe_approx"),
+        F.avg("bars_held").alias("avg_bars_held"),
         F.count_if(F.col("direction") == "LONG").alias("n_longs"),
         F.count_if(F.col("direction") == "SHORT").alias("n_shorts"),
-        share("LONG").alias("long_win_rate"),
-        share("SHORT").alias("short_win_rate"),
+        share("LONG"),
+        share("SHORT"),
     )
 
 
+def metrics(taken: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """figures with stand-ins for what isn't defined: all zero if there are no trades, a profit factor of infinity and a loser of 1 without losers, else zero."""
+    f = figures(taken, by)
+    none, lost = F.col("n_trades") == 0, F.col("avg_loser").isNotNull()
+    stands = {"profit_factor": F.when(none | lost, 0.0).otherwise(float("inf")), "avg_loser": F.when(none, 0.0).otherwise(1.0)}
+    finite = F.when(F.abs("sharpe_approx") < float("inf"), F.col("sharpe_approx"))
+    filled = {c: F.coalesce(F.col(c), stands.get(c, F.lit(0.0))) for c, t in f.dtypes if t == "double" and c not in by}
+    return f.withColumns(filled | {"sharpe_approx": F.coalesce(finite, F.lit(0.0))})
+
+
 #: A viewer's filters.  Whatever isn't a win counts as a loss there.
 FILTERS = ("all", "win", "loss", "long", "short")
 
