@@ -4,7 +4,9 @@ from datetime import datetime, timedelta
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from tickforge.functions import market
 from tickforge.operators import backtest
 from tickforge.plans import queries as q
 
@@ -105,3 +107,17 @@ def test_viewer_without_trades(compare, day):
 def test_totals_without_patterns(compare):
     got, want = compare(DAYS["no trade"])("pattern_totals")
     assert got == want and "'successes': None" in got[0]
+
+
+def test_volume_labels_are_those_of_printf(spark):
+    """Every volume halfway between two labels up to two millions, and some between and beyond."""
+    v = [None, -5, 0, 999, *range(1000, 2_000_000, 50), *range(1001, 400_000, 37), 10**12 + 50, 123_456_789_050]
+    got = spark.createDataFrame([(x,) for x in v], "v long").select("v", market.volume_label(F.col("v"))).collect()
+    assert {r[0]: r[1] for r in got} == {x: f"{x / 1000:.1f}K" if x is not None and x >= 1000 else x if x is None else str(x) for x in v}
+
+
+def test_labels_of_bars_halfway(compare):
+    """Hours of 1,250, 43,650 and 1,150 trades: SQL has 1.2K, 43.6K and 1.1K."""
+    hours = [(1250, 50), (43_650, 90), (1150, 50)]
+    got, want = compare([(3600 * i + j, "view", k - 1) for i, (n, k) in enumerate(hours) for j in range(n // k)])("footprint_lookup")
+    assert got == want and [r.count(x) for r, x in zip(got, ("1.2K", "43.6K", "1.1K"), strict=True)] == [1, 1, 1]

@@ -73,8 +73,8 @@ def trade_result(pnl: Column) -> Column:
 
 
 def volume_label(v: Column) -> Column:
-    """1234 as 1.2K."""
-    return F.when(v >= 1000, F.format_string("%.1fK", v / F.lit(1000.0))).otherwise(v.cast("string"))
+    """1234 as 1.2K: the double's own value is rounded and halves go to even, as C's printf does.  Java's goes by the number as printed, halves up."""
+    return F.when(v >= 1000, F.concat(F.call_function("format_number", v / F.lit(1000.0), F.lit("0.0")), F.lit("K"))).otherwise(v.cast("string"))
 
 
 def dotnet_ticks(ts: Column) -> Column:
